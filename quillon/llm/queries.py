@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import END, TEXT, TURN, chat_format, read_back
 from .common import documents
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .language_id import held_out, language_id, learn
+from .token_counts import token_counts
 
 #: \x00-\x7F but for digits and a-z, for RE2.
 ALNUM_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -17,6 +20,18 @@ SPACED_RE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts(documents(spark, sf_dir), "word_bpe_49k.json", limit=2048, keep=["doc_id"])
+    return found.select("row.doc_id", "found.n_bytes", "found.n_tokens", (F.col("found.n_tokens") > 2048).alias("over_limit"), "found.fit_words", "found.fit_tokens")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = learn(docs.where(~held_out(F.col("doc_id"))))
+    found = language_id(docs, model, keep=["doc_id"])
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score", F.array_join("found.langs", ",").alias("langs"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
     return found.select("row.doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"))
@@ -50,9 +65,29 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return read_back(chat_format(rows.unionByName(probe)))
+
+
+OP10_SQL = rf"""
+WITH r AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + {len(TURN + TEXT + END)}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_decontamination": op8_decontamination, "op9_exact_dedup": op9_exact_dedup}
+    own = (op4_token_counts, op6_language_id, op8_decontamination, op9_exact_dedup, op10_chat_format)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op8_decontamination": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
