@@ -23,9 +23,8 @@ KEY = ["id", "n", "h"]
 
 
 def _names(values: DataFrame, label: str) -> DataFrame:
-    """Distinct rows with an integer each, in sorted order."""
-    cols = values.columns
-    return stash(values.distinct().orderBy(*cols).withColumn("name", F.monotonically_increasing_id()), label)
+    """Distinct rows with an integer each: partitioned by value, sorted, and numbered, so that no value goes to the driver."""
+    return stash(values.distinct().sortWithinPartitions(*values.columns).withColumn("name", F.monotonically_increasing_id()), label)
 
 
 def _blocks(raw: Column, n: Column, block: int) -> Column:
