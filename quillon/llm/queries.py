@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import END, TEXT, TURN, chat_format, read_back
-from .common import documents
+from .common import documents, stash
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import held_out, language_id, learn
+from .mixing import mix, sized
+from .sharding import shard_documents
 from .token_counts import token_counts
 
 #: \x00-\x7F but for digits and a-z, for RE2.
@@ -20,11 +22,20 @@ SPACED_RE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir), shards=24).withColumnRenamed("id", "doc_id")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts(documents(spark, sf_dir), "word_bpe_49k.json", limit=2048, keep=["doc_id"])
     return found.select("row.doc_id", "found.n_bytes", "found.n_tokens", (F.col("found.n_tokens") > 2048).alias("over_limit"), "found.fit_words", "found.fit_tokens")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = stash(sized(documents(spark, sf_dir)), "documents")
+    return mix(sizes).apply(sizes).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = learn(docs.where(~held_out(F.col("doc_id"))))
@@ -85,7 +96,7 @@ FROM t GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op4_token_counts, op6_language_id, op8_decontamination, op9_exact_dedup, op10_chat_format)
+    own = (op2_sharding, op4_token_counts, op5_mixing, op6_language_id, op8_decontamination, op9_exact_dedup, op10_chat_format)
     return {f.__name__: f for f in own}
 
 
