@@ -11,6 +11,7 @@ from .chat_format import END, TEXT, TURN, chat_format, read_back
 from .common import documents, stash
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from . import lm_score
 from .language_id import held_out, language_id, learn
 from .mixing import mix, sized
 from .sharding import shard_documents
@@ -26,6 +27,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), shards=24).withColumnRenamed("id", "doc_id")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    model = lm_score.train(docs.where(~held))
+    scored = lm_score.score(docs, model, keep=["doc_id"])
+    return scored.select("row.doc_id", F.crc32(F.col("row.doc_id").cast("string")) % 7 == 2, "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score").toDF("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts(documents(spark, sf_dir), "word_bpe_49k.json", limit=2048, keep=["doc_id"])
     return found.select("row.doc_id", "found.n_bytes", "found.n_tokens", (F.col("found.n_tokens") > 2048).alias("over_limit"), "found.fit_words", "found.fit_tokens")
@@ -96,7 +105,7 @@ FROM t GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_sharding, op4_token_counts, op5_mixing, op6_language_id, op8_decontamination, op9_exact_dedup, op10_chat_format)
+    own = (op2_sharding, op3_lm_scoring, op4_token_counts, op5_mixing, op6_language_id, op8_decontamination, op9_exact_dedup, op10_chat_format)
     return {f.__name__: f for f in own}
 
 
