@@ -13,6 +13,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from . import lm_score
 from .language_id import held_out, language_id, learn
+from .license_scan import license_scan, summary
 from .mixing import mix, sized
 from .sharding import shard_documents
 from .token_counts import token_counts
@@ -23,6 +24,10 @@ SPACED_RE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(license_scan(documents(spark, sf_dir), keep=["doc_id"])).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_detections")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), shards=24).withColumnRenamed("id", "doc_id")
 
@@ -105,7 +110,7 @@ FROM t GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_sharding, op3_lm_scoring, op4_token_counts, op5_mixing, op6_language_id, op8_decontamination, op9_exact_dedup, op10_chat_format)
+    own = (op1_license_scan, op2_sharding, op3_lm_scoring, op4_token_counts, op5_mixing, op6_language_id, op8_decontamination, op9_exact_dedup, op10_chat_format)
     return {f.__name__: f for f in own}
 
 
