@@ -89,8 +89,7 @@ def _weights(ix: Index) -> DataFrame:
 
 
 def _language(query: Sequence[str], lam: float) -> Callable[[Index], DataFrame]:
-    log = F.when(F.col("score") > 0, F.round(F.log10("score"), 7))
-    return lambda ix: rank.language_model(ix, query, lam, K).select("review_id", log.alias("log_score"))
+    return lambda ix: rank.language_model(ix, query, lam, K).select("review_id", F.when(F.col("score") > 0, F.round(F.log10("score"), 7)).alias("log_score"))
 
 
 def vsm_zero_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
