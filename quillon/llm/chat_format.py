@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import plain
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURNS = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.S)
@@ -80,6 +82,7 @@ SCHEMA = "conv_id {id}, n_turns long, formatted string, token_ids array<int>, st
 
 def chat_format(rows: DataFrame, tokenizer: str = "byte_bpe_50k.json", conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row a conversation: its string, its tokens with their offsets, and the mask of the tokens under the loss."""
+    rows = plain(rows)
     c = lambda n: rows[f"`{n}`"]
     turns = rows.select(c(conv).alias("conv_id"), F.struct(c(turn).alias("turn"), F.coalesce(c(role).cast("string"), F.lit("")).alias("role"), F.coalesce(c(text).cast("string"), F.lit("")).alias("text")).alias("t"))
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))

@@ -47,6 +47,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """df with names told apart that are equal but for case: all but the first get their place as a suffix."""
+    seen: set[str] = set()
+    names = [n if n.lower() not in seen and not seen.add(n.lower()) else f"{n}__{i}" for i, n in enumerate(df.columns)]
+    return df if names == df.columns else df.toDF(*names)
+
+
 def slices(texts: pa.Array, budget: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about budget bytes each."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
@@ -66,6 +73,7 @@ def map_text(docs: DataFrame, text: str, keep: Sequence[str], kernel: Callable[[
     Nulls in the text column reach the kernel as empty texts. Columns that docs has besides are not read. As keep and
     fields stay in structs of their own, their names may clash.
     """
+    docs = plain(docs)
     names = list(dict.fromkeys([*keep, text, *beside]))
     at = {n: i for i, n in enumerate(names)}
     inner = docs.select(F.struct(*[docs[f"`{n}`"].alias(f"c{i}") for n, i in at.items()]).alias("row"))

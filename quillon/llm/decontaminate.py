@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import map_text, stash
+from .common import map_text, plain, stash
 
 SPAN = 10
 GRAM = 5
@@ -151,6 +151,7 @@ def _covered(spans):
 
 def decontaminate(docs: DataFrame, bench: DataFrame, keep: list[str] | None = None, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: row (struct of the columns keep) and found (n_words, n_hit, spans of hit words, items)."""
+    docs, bench = plain(docs), plain(bench)
     keep = keep or docs.columns
     source = bench.select(bench[f"`{item}`"].cast("string").alias("i"), F.coalesce(bench[f"`{item_text}`"], F.lit("")).alias("t"))
     n_bytes = source.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0

@@ -7,15 +7,19 @@ and hash has no copy and isn't cut. The rows that aren't alone are found by a se
 buckets, which is what is broadcast.
 
 Defined results: null counts as empty text; repeated rows count as copies of each other; of copies the row with the
-largest id stays (rows that repeat that id all stay); other columns aren't read.
+largest id stays (rows that repeat that id all stay; a null id stays only if its copies have none either); other columns
+aren't read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, unstash
+from .common import plain, stash, unstash
 
 BLOCK = 8192
 BUCKET_BITS = 18
@@ -58,6 +62,7 @@ def block_names(texts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """id, keep_id, group_size, kept, text_sha256 (hex), a row for each row of docs."""
+    docs = plain(docs)
     raw = F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))
     n, h = F.octet_length(raw).cast("long"), F.xxhash64(raw)
     bucket = F.pmod(F.col("h"), F.lit(1 << BUCKET_BITS))
@@ -66,8 +71,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", blo
     buckets = twice.select(bucket.alias("bucket")).distinct()
     texts = docs.select(docs[f"`{id_col}`"].alias("id"), n.alias("n"), h.alias("h"), raw.cast("binary").alias("raw"))
     named = block_names(texts.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket"), block)
-    rows = stash(seen.join(named, KEY, "left"), "rows")
+    same = reduce(and_, [seen[k].eqNullSafe(named[k]) for k in KEY])
+    rows = stash(seen.join(named, same, "left").select(*[seen[k] for k in KEY], "sha", "name"), "rows")
     groups = rows.where("name is not null").groupBy("n", "name").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     copies = rows.where("name is not null").join(groups, ["n", "name"]).select("id", "keep_id", "group_size", "sha")
     alone = rows.where("name is null").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
-    return copies.unionByName(alone).select("id", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return copies.unionByName(alone).select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

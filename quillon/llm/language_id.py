@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import map_text
+from .common import map_text, plain
 
 BUCKETS = 1 << 16
 SMOOTH = 0.2
@@ -117,6 +117,7 @@ class Model:
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> Model:
     """Counts over all rows of labelled; the driver gets buckets numbers a language."""
+    labelled = plain(labelled)
     rows = labelled.where(labelled[f"`{lang}`"].isNotNull()).select(labelled[f"`{lang}`"].cast("string").alias("lang"), F.coalesce(labelled[f"`{text}`"].cast("string"), F.lit("")).alias("text"))
 
     def count(batches):
@@ -151,6 +152,8 @@ FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("scor
 def language_id(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """row (struct of the columns keep) and found: lang, score, and the chosen set with its proportions."""
 
+    docs = plain(docs)
+
     def kernel(texts: pa.Array, _):
         names, scores, sets, shares = model.predict(texts)
         return {"lang": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), "langs": pa.array(sets, pa.list_(pa.string())), "shares": pa.array(shares, pa.list_(pa.float64()))}

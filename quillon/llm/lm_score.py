@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import map_text, slices, stash
+from .common import map_text, plain, slices, stash
 
 GROWTH = 1.5
 MU = 400.0
@@ -208,6 +208,7 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
+    docs = plain(docs)
     parts = max(1, docs.rdd.getNumPartitions())
     segments = 1 << max(4, min(16, (2 * parts - 1).bit_length()))
     raw = docs.select(F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
@@ -325,7 +326,7 @@ def _chunked(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", head: int = HEAD, broadcast_bytes: int = BROADCAST_BYTES, mu: float = MU) -> DataFrame:
     """row (struct of the columns keep), n_tokens, n_known, base_score and score."""
-    spark = docs.sparkSession
+    docs, spark = plain(docs), docs.sparkSession
     counts = stash(model.counts(), "counts")
     routed = model.filter_bytes > broadcast_bytes
     shared = spark.sparkContext.broadcast((_head(counts, head), None if routed else model.filters()))

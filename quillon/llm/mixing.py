@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import stash, unstash
+from .common import plain, stash, unstash
 
 SHARE = 1.5
 MOST = 2
@@ -118,6 +118,7 @@ class Mix:
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """id, key, size, and row: a struct of the columns keep."""
+    docs = plain(docs)
     row = [F.struct(*[docs[f"`{n}`"] for n in keep]).alias("row")] if keep else []
     return docs.select(docs[f"`{id_col}`"].alias("id"), _key(docs[f"`{source}`"]).alias("key"), word_count(docs[f"`{text}`"]).alias("size"), *row)
 

@@ -3,7 +3,7 @@
 Documents are linked through groups. Each document starts in a shard that its id's hash gives, with the other documents
 of its group in the same one of CELLS cells; such a unit moves as one. In each round a group calls its units to the
 shards that hold most of it, as few as the quota allows; shards take no more than their quota, so of what wants to move
-from one shard to another a share is let through, group by group. When nothing moves any more, rows without a link, and
+from one shard to another a share is let through, group by group and, of large groups, cell by cell. When nothing moves any more, rows without a link, and
 rows beyond a shard's quota, fill the shards up until the counts are at most one apart.
 
 Defined results: a null text has no bytes and counts as equal to the empty text; repeated rows are documents of one group;
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stash, unstash
+from .common import plain, stash, unstash
 
 SHARDS = 24
 CELLS_PER_SHARD = 8
@@ -67,7 +67,8 @@ def propagate(units: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -
         part = let_through(demand, load, quota)
         shares = F.create_map(*[F.lit(x) for (a, b), p in part.items() for x in (a * shards + b, p)])
         share = F.coalesce(F.try_element_at(shares, F.col("shard") * shards + F.col("to")), F.lit(0.0))
-        goes = F.pmod(F.xxhash64("g", F.lit(r)), F.lit(1 << 30)) / float(1 << 30) < share
+        part_of = F.when(F.col("total") * CELLS_PER_SHARD > quota, F.col("cell")).otherwise(-1)  # a large group goes cell by cell
+        goes = F.pmod(F.xxhash64("g", part_of, F.lit(r)), F.lit(1 << 30)) / float(1 << 30) < share
         new = stash(called.withColumn("shard", F.when(goes, F.col("to")).otherwise(F.col("shard"))).drop("to"), "units")
         unstash(units, called)
         units = new
@@ -118,6 +119,7 @@ def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard, and row: a struct of the columns keep. Equal texts are linked."""
+    docs = plain(docs)
     raw = docs[f"`{text}`"].cast("string")
     row = [F.struct(*[docs[f"`{n}`"] for n in keep]).alias("row")] if keep else []
     whole = F.coalesce(raw, F.lit(""))

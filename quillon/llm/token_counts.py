@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import map_text, plain
 
 #: Words kept with their counts by one worker, at most; the store starts anew beyond that.
 STORE = 1_500_000
@@ -191,6 +191,8 @@ FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_tok
 def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """row (struct of the columns keep) and found: n_bytes, n_tokens, and of the longest prefix within limit that ends with a word its words and tokens. tokenizer: a name for public_tokenizers.path, or a path."""
 
+    docs = plain(docs)
+
     def kernel(texts: pa.Array, _):
         import public_tokenizers
 
