@@ -36,7 +36,8 @@ def query_weights(index: Index, query: Sequence[str]) -> DataFrame:
     """term, qtf, df, weight (before the norm), norm and unit (weight / norm, null where the norm is 0)."""
     spark = index.postings.sparkSession
     counts = sorted(Counter(_terms(query)).items())
-    q = spark.createDataFrame(counts, "term string, qtf long")
+    given = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("qtf")) for t, n in counts]).cast("array<struct<term:string,qtf:bigint>>")
+    q = spark.range(0, 1, 1, 1).select(F.inline(given))  # a constant: no job for the query itself
     known = index.lexicon.where(F.col("term").isin([t for t, _ in counts])).select("term", "df")
     n = index.stats.select("n_reviews")
     w = F.when(F.col("df") > 0, (1 + F.log10("qtf")) * F.log10(F.col("n_reviews") / F.col("df"))).otherwise(F.lit(0.0))
@@ -65,7 +66,7 @@ def _language_scores(index: Index, query: Sequence[str], lam: float) -> DataFram
         tf, cf = (F.coalesce(F.try_element_at(m, t), F.lit(0)) for m in ("tfs", "cfs"))
         return F.lit(lam) * tf / F.col("length") + F.lit(1.0 - lam) * cf / F.col("n_tokens")
 
-    factors = F.transform(F.array(*[F.lit(t) for t in terms]), factor)
+    factors = F.transform(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), factor)
     return rows.select("review_id", F.aggregate(factors, F.lit(1.0), lambda a, x: a * x).alias("score"))
 
 

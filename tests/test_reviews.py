@@ -96,6 +96,10 @@ def test_language_model(golden, query, lam, expected):
     assert [(r.review_id, round(r.score, 9)) for r in language_model(golden, query.split(), lam, 10).collect()] == expected
 
 
+def test_empty_query(golden):
+    assert vector_space(golden, [], 3).collect() == language_model(golden, [], 0.5, 3).collect() == product_search(golden, [], 3).collect() == []
+
+
 def test_product_search(golden):
     assert [tuple(r) for r in product_search(golden, ["great", "tea"], 2).collect()] == [("B000000002", 0.7), ("B000000010", 0.65)]
     assert Reader(golden).product_search(["great", "tea"], 1) == ["B000000002"]
