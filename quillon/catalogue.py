@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions.codec import TERM_BLOCK, front_decode, front_encode, gamma_decode, gamma_encode
+from .functions.codec import PRODUCT_BLOCK, TERM_BLOCK, front_decode, front_encode, gamma_decode, gamma_encode
 from .functions.text import tokens
 from .operators import gaps as G
 from .operators import lookup, rank
@@ -78,6 +78,13 @@ def front_decoding(ix: Index) -> DataFrame:
     return lists.select(F.posexplode(front_decode(F.col("coded"))).alias("pos", "term"), "block").select((F.col("block") * TERM_BLOCK + F.col("pos")).cast("long").alias("term_id"), "term")
 
 
+def product_front_coding(ix: Index) -> DataFrame:
+    before = F.lag("product_id").over(Window.partitionBy(F.floor(F.col("product_ord") / PRODUCT_BLOCK)).orderBy("product_ord"))
+    rows = ix.products.withColumn("previous", before)
+    prefix, rest = front_encode(F.col("product_ord"), F.col("product_id"), F.col("previous"), PRODUCT_BLOCK)
+    return rows.select("product_ord", prefix.cast("long").alias("prefix"), rest.alias("rest"))
+
+
 def lexicon_blocks(ix: Index) -> DataFrame:
     block = F.floor(F.col("term_id") / TERM_BLOCK).cast("long")
     return ix.lexicon.groupBy(block.alias("block")).agg(F.min("term").alias("head"), F.count("*").alias("n"))
@@ -129,6 +136,7 @@ QUERIES: dict[str, Query] = {
     "gamma_roundtrip": _over(gamma_roundtrip),
     "front_coding": _over(front_coding),
     "front_decoding": _over(front_decoding),
+    "product_front_coding": _over(product_front_coding),
     "lexicon_blocks": _over(lexicon_blocks),
     "candidates": _over(lambda ix: rank.candidates(ix, ["anly", "worthless", "notaword"])),
     "query_weights": _over(_weights),
@@ -212,10 +220,13 @@ def _select(body: str, reviews: str = _DOCS) -> str:
     return f"WITH {reviews}{_INDEX}\n{body}"
 
 
-_FRONT = f"""WITH {_DOCS}{_INDEX},
-p AS (SELECT term_id, term, CASE WHEN term_id % {TERM_BLOCK} > 0 THEN lag(term) OVER (ORDER BY term_id) END AS prev FROM lexicon),
-c AS (SELECT term_id, term, CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(prev), length(term)) + 1), lambda i: substr(prev, 1, i) = substr(term, 1, i))) END AS prefix FROM p)
-SELECT term_id, CAST(prefix AS BIGINT) AS prefix, substr(term, CAST(prefix + 1 AS BIGINT)) AS rest FROM c"""
+
+def _front(table: str, ordinal: str, column: str, block: int) -> str:
+    return f"""WITH {_DOCS}{_INDEX},
+p AS (SELECT {ordinal}, {column} AS x, CASE WHEN {ordinal} % {block} > 0 THEN lag({column}) OVER (ORDER BY {ordinal}) END AS prev FROM {table}),
+c AS (SELECT {ordinal}, x, CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(prev), length(x)) + 1), lambda i: substr(prev, 1, i) = substr(x, 1, i))) END AS prefix FROM p)
+SELECT {ordinal}, CAST(prefix AS BIGINT) AS prefix, substr(x, CAST(prefix + 1 AS BIGINT)) AS rest FROM c"""
+
 
 SQL: dict[str, str] = {
     "review_lookup": _select(f"SELECT r.review_id, product_id, score, helpful_num, helpful_den, CAST(length AS INTEGER) AS length FROM reviews r JOIN lengths l ON l.review_id = r.review_id WHERE r.review_id IN ({', '.join(map(str, IDS))}) AND r.review_id >= 1"),
@@ -237,8 +248,9 @@ SQL: dict[str, str] = {
     "gap_prefix_sum": _select("SELECT term, row_number() OVER (PARTITION BY term ORDER BY review_id) - 1 AS seq, review_id FROM postings"),
     "gamma_codes": _select(f"SELECT tf, count(*) AS n, {_gamma('tf')} AS code FROM postings GROUP BY tf"),
     "gamma_roundtrip": _select(f"SELECT gap, count(*) AS n, CAST(max(length({_gamma('gap')})) AS BIGINT) AS bits FROM gaps GROUP BY gap"),
-    "front_coding": _FRONT,
+    "front_coding": _front("lexicon", "term_id", "term", TERM_BLOCK),
     "front_decoding": _select("SELECT term_id, term FROM lexicon"),
+    "product_front_coding": _front("products", "product_ord", "product_id", PRODUCT_BLOCK),
     "lexicon_blocks": _select(f"SELECT term_id // {TERM_BLOCK} AS block, min(term) AS head, count(*) AS n FROM lexicon GROUP BY 1"),
     "candidates": _select(f"SELECT DISTINCT review_id FROM postings WHERE term IN ({_list(['anly', 'worthless', 'notaword'])})"),
     "query_weights": f"WITH {_DOCS}{_INDEX},{_query([*REPEATED, 'anly', 'notaword'])}\nSELECT term, qtf, df, round(weight, 9) AS weight, round(unit, 9) AS unit FROM unit",
