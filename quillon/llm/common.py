@@ -25,9 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quillon/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that this application has stashed; for when no result is read any more."""
+    _delete(spark, _own_dir(spark))
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quillon/{uuid.uuid4().hex}-{label}"
+    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._quillon_path = path
@@ -37,9 +51,7 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 def unstash(*frames: DataFrame) -> None:
     """Deletes stashed tables that no later plan reads."""
     for df in frames:
-        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df._quillon_path)
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(df.sparkSession, df._quillon_path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
