@@ -3,17 +3,20 @@
 Documents are linked through groups. Each document starts in a shard that its id's hash gives, with the other documents
 of its group in the same one of CELLS cells; such a unit moves as one. In each round a group calls its units to the
 shards that hold most of it, as few as the quota allows; shards take no more than their quota, so of what wants to move
-from one shard to another a share is let through, group by group and, of large groups, cell by cell. When nothing moves any more, rows without a link, and
+from one shard to another a share is let through, group by group. Groups above a CELLS_PER_SHARD-th of a quota, of which there
+are no more than cells, are packed before all others, as whole as the quota allows. When nothing moves any more, rows without a link, and
 rows beyond a shard's quota, fill the shards up until the counts are at most one apart.
 
 Defined results: a null text has no bytes and counts as equal to the empty text; repeated rows are documents of one group;
-an empty table has no shards. The driver sees counts by shard, and by pairs of shards; broadcast are at most
+an empty table has no shards. The driver sees counts by shard, by pairs of shards, and of large groups; broadcast are at most
 (shards + 1) * BUCKETS offsets.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,12 +50,35 @@ def let_through(demand: dict[tuple[int, int], int], load: list[int], quota: int)
     return part
 
 
-def propagate(units: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
-    """units: g, cell, w (rows), total (rows of g), shard; stashed. Returns them with their last shards."""
+def pack(large: list[tuple[bytes, int]], shards: int, quota: int) -> tuple[list[tuple[bytes, float, float, int]], list[int]]:
+    """(group, from, to, shard): which part of each large group goes where, the largest first into the emptiest shards; and the room that is left."""
+    room, out = [quota] * shards, []
+    for g, total in sorted(large, key=lambda x: (-x[1], x[0])):
+        done = 0
+        while done < total:
+            s = max(range(shards), key=lambda k: (room[k], -k))
+            take = min(total - done, max(1, room[s]))
+            out.append((g, done / total, (done + take) / total, s))
+            room[s] -= take
+            done += take
+    return out, [max(0, x) for x in room]
+
+
+def cell_shards(room: list[int], cells: int) -> list[int]:
+    """A shard for each cell, in proportion to the room."""
+    total = sum(room)
+    if not total:
+        return [c % len(room) for c in range(cells)]
+    ends = list(accumulate(room))
+    return [bisect_right(ends, (c + 0.5) * total / cells) for c in range(cells)]
+
+
+def propagate(units: DataFrame, fixed: list[int], shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
+    """units: g, cell, w (rows), total (rows of g), shard; stashed. fixed: rows by shard that stay. Returns units with their last shards."""
     for r in range(rounds):
-        load = [0] * shards
+        load = list(fixed)
         for row in units.groupBy("shard").agg(F.sum("w").alias("w")).collect():
-            load[row.shard] = row.w
+            load[row.shard] += row.w
         held = units.groupBy("g", "shard").agg(F.sum("w").alias("w"), F.max("total").alias("total"))
         wanted = F.least(F.lit(shards), F.ceil(F.col("total") / quota))
         place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("w"), F.xxhash64("g", "shard"), "shard"))
@@ -67,8 +93,7 @@ def propagate(units: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -
         part = let_through(demand, load, quota)
         shares = F.create_map(*[F.lit(x) for (a, b), p in part.items() for x in (a * shards + b, p)])
         share = F.coalesce(F.try_element_at(shares, F.col("shard") * shards + F.col("to")), F.lit(0.0))
-        part_of = F.when(F.col("total") * CELLS_PER_SHARD > quota, F.col("cell")).otherwise(-1)  # a large group goes cell by cell
-        goes = F.pmod(F.xxhash64("g", part_of, F.lit(r)), F.lit(1 << 30)) / float(1 << 30) < share
+        goes = F.pmod(F.xxhash64("g", F.lit(r)), F.lit(1 << 30)) / float(1 << 30) < share
         new = stash(called.withColumn("shard", F.when(goes, F.col("to")).otherwise(F.col("shard"))).drop("to"), "units")
         unstash(units, called)
         units = new
@@ -82,8 +107,19 @@ def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     n = base.count()
     quota = max(1, math.ceil(n / shards))
     units = base.groupBy("g", "cell").agg(F.count("*").alias("w")).withColumn("total", F.sum("w").over(Window.partitionBy("g")))
-    units = stash(units.where("total > 1").withColumn("shard", F.col("cell") % shards), "units")
-    units = propagate(units, shards, quota)
+    units = stash(units.where("total > 1"), "linked")
+    is_large = F.col("total") * CELLS_PER_SHARD > quota  # so there are at most `cells` of them
+    large = [(bytes(x.g), x.total) for x in units.where(is_large).groupBy("g").agg(F.max("total").alias("total")).collect()]
+    parts, room = pack(large, shards, quota)
+    ranges = base.sparkSession.createDataFrame(parts, "g binary, lo double, hi double, shard int")
+    middle = (F.col("cell") + 0.5) / cells
+    placed_large = stash(units.where(is_large).join(F.broadcast(ranges), "g").where((middle >= F.col("lo")) & (middle < F.col("hi"))).select("g", "cell", "w", "shard"), "large")
+    fixed = [0] * shards
+    for row in placed_large.groupBy("shard").agg(F.sum("w").alias("w")).collect():
+        fixed[row.shard] = row.w
+    start = F.get(F.array(*[F.lit(s) for s in cell_shards(room, cells)]), F.col("cell"))
+    units = propagate(stash(units.where(~is_large).withColumn("shard", start), "units"), fixed, shards, quota)
+    units = units.select("g", "cell", "w", "shard").unionByName(placed_large)
     buckets = min(BUCKETS, max(1, n // ROWS_A_BUCKET))
     placed = base.join(units.select("g", "cell", "shard"), ["g", "cell"], "left").withColumn("kind", F.coalesce("shard", F.lit(-1))).drop("shard", "cell")
     placed = stash(placed.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(buckets)).cast("int")), "placed")
