@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a kernel sees at once; a longer text comes alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Bytes of a batch of rows that goes to Python at once.
+BATCH = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +62,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has Arrow batches of at most BATCH from now on, unless the session has a bound of its own: they stand in each task's
+    JVM and Python memory several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") == "67108864b":
+        spark.conf.set(key, BATCH)
+
+
+def release() -> None:
+    """Gives back to the system what a task has freed: Python workers are used again, and idle ones keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """df with names told apart that are equal but for case: all but the first get their place as a suffix."""
     seen: set[str] = set()
@@ -86,6 +105,7 @@ def map_text(docs: DataFrame, text: str, keep: Sequence[str], kernel: Callable[[
     fields stay in structs of their own, their names may clash.
     """
     docs = plain(docs)
+    small_batches(docs.sparkSession)
     names = list(dict.fromkeys([*keep, text, *beside]))
     at = {n: i for i, n in enumerate(names)}
     inner = docs.select(F.struct(*[docs[f"`{n}`"].alias(f"c{i}") for n, i in at.items()]).alias("row"))
@@ -101,6 +121,7 @@ def map_text(docs: DataFrame, text: str, keep: Sequence[str], kernel: Callable[[
                 part = [c.slice(lo, hi - lo) for c in columns]
                 got = kernel(pc.fill_null(part[at[text]], ""), [part[at[n]] for n in beside])
                 yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([part[i] for i in kept], names=list(keep)), pa.StructArray.from_arrays([got[n] for n in order], names=order)], names=["row", "found"])
+        release()
 
     return inner.mapInArrow(run, schema)
 

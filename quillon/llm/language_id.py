@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import map_text, plain
+from .common import map_text, plain, release, small_batches
 
 BUCKETS = 1 << 16
 SMOOTH = 0.2
@@ -118,6 +118,7 @@ class Model:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> Model:
     """Counts over all rows of labelled; the driver gets buckets numbers a language."""
     labelled = plain(labelled)
+    small_batches(labelled.sparkSession)
     rows = labelled.where(labelled[f"`{lang}`"].isNotNull()).select(labelled[f"`{lang}`"].cast("string").alias("lang"), F.coalesce(labelled[f"`{text}`"].cast("string"), F.lit("")).alias("text"))
 
     def count(batches):
@@ -136,6 +137,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets:
         for name, c in held.items():
             some = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(c[some], pa.int64())], names=["lang", "bucket", "n"])
+        release()
 
     counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(pc.unique(counts["lang"]).to_pylist())

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import map_text, plain, slices, stash
+from .common import map_text, plain, release, slices, small_batches, stash
 
 GROWTH = 1.5
 MU = 400.0
@@ -38,7 +38,7 @@ BITS = 8.0
 HEAD = 1 << 20
 BROADCAST_BYTES = 160 << 20
 #: n-grams that a task holds before it merges and, beyond twice as many, sends them on.
-HELD = 3_000_000
+HELD = 2_000_000
 
 END = np.uint64(0x2545F4914F6CDD1D)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -166,6 +166,7 @@ def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
                             yield from sent(kind)
         for kind in held:
             yield from sent(kind)
+        release()
 
     return texts.mapInArrow(run, "kind int, seg int, keys binary, counts binary")
 
@@ -209,6 +210,7 @@ class Model:
 
 def train(docs: DataFrame, text: str = "text") -> Model:
     docs = plain(docs)
+    small_batches(docs.sparkSession)
     parts = max(1, docs.rdd.getNumPartitions())
     segments = 1 << max(4, min(16, (2 * parts - 1).bit_length()))
     raw = docs.select(F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))

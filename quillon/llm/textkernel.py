@@ -12,7 +12,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes hashed at once.
-SEGMENT = 4 << 20
+SEGMENT = 1 << 19
 
 #: Bytes of words that [^\x20\x09-\x0D]+ takes, and of words that [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ takes after A-Z became a-z.
 NOT_SPACE = np.ones(256, bool)
