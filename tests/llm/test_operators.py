@@ -388,6 +388,22 @@ def test_components(spark):
     assert {x.v: x.c for x in components(spark.createDataFrame(edges, "a long, b long")).collect()} == up
 
 
+@pytest.mark.parametrize("order", ["shuffled", "falling"])
+def test_components_of_long_paths(spark, order):
+    """Paths whose labels would cross a link a round: shuffled ids, and ids that fall towards one end with the least at the other."""
+    n = 3000
+    ids = random.Random(4).sample(range(n), n) if order == "shuffled" else [0, *range(n - 1, 0, -1)]
+    edges = [(min(e), max(e)) for e in zip(ids, ids[1:])]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(x.v for x in got) == list(range(n)) and {x.c for x in got} == {0}
+
+
+def test_components_raises_at_its_bound(spark):
+    edges = spark.createDataFrame([(0, 9), (9, 8), (8, 1), (1, 7), (7, 2)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(edges, most_rounds=1)
+
+
 # 8
 
 
