@@ -81,7 +81,7 @@ FAMILIES: list[Family] = [
     Family("mpl-2.0", "mozilla| mpl~", "mpl 2 0", rf"(?:mozilla public {L}|mpl) {_v('2')}", "mozilla org mpl 2 0"),
     Family("epl-1.0", "eclipse| epl~", "epl 1 0", rf"(?:eclipse public {L}|epl) {_v('1')}", "eclipse org legal epl v10"),
     Family("epl-2.0", "eclipse| epl~", "epl 2 0", rf"(?:eclipse public {L}|epl) {_v('2')}", "eclipse org legal epl 2 0"),
-    Family("edl-1.0", "eclipse", "edl 1 0", rf"eclipse distribution {L}(?: {_v('1')})?", "eclipse org org documents edl v10"),
+    Family("edl-1.0", "eclipse| edl~", "edl 1 0", rf"eclipse distribution {L}(?: {_v('1')})?", "eclipse org org documents edl v10"),
     Family("eupl-1.1", "european| eupl~", "eupl 1 1", rf"(?:european union public {L}|eupl) {_v('1', '1')}"),
     Family("eupl-1.2", "european| eupl~", "eupl 1 2", rf"(?:european union public {L}|eupl) {_v('1', '2')}"),
     Family("cddl-1.0", "development| cddl~", "cddl 1 0", rf"(?:common development and distribution {L}|cddl) {_v('1')}"),

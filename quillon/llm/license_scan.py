@@ -1,6 +1,6 @@
 """License scans with ordered signature rules, in built-in expressions only.
 
-A text goes on if it has one of the strings of GATE. Its words are joined, each with its number, so that a match tells where
+A text goes on if it has a keyword of some rule or the first word of a base phrase. Its words are joined, each with its number, so that a match tells where
 it begins and ends: `mit~4 license~5`. Of some hundred rules (license_rules) those whose keyword the text contains are
 matched. A detection is suppressed if one of the same or a stronger priority covers its words; with equal words the
 stronger one, then the first rule, stays. Labels of the detections that stay are joined by those of the base phrases,
@@ -24,7 +24,6 @@ from .license_rules import Rule, rules
 
 #: (label, phrase) that are found at every place.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
-GATE = ("licen", "spdx", "rights reserved", "confidential", "public domain", "publicdomain", "permission", "redistribution", "warrant", "commons", "cc by", "cc-by", "cc0", "gpl", "wtfpl", "sspl", "odbl", "pddl", "openrail", "open rail")
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Score of the best detection by priority, and of base phrases alone.
 SURE = (1.0, 0.9, 0.7, 0.5)
@@ -39,6 +38,25 @@ def pattern(text: str) -> str:
     return f"(?<= )(?:{text.replace(' ?', '(?: )?').replace(' ', _NUMBER + ' ')}){_NUMBER}(?= )"
 
 
+def keywords(table: list[Rule]) -> list[str]:
+    """Of which any text with a detection or a base phrase contains one when its words are numbered."""
+    return sorted({k for r in table for k in r.keyword.split("|")} | {f" {phrase.split()[0]}~" for _, phrase in BASE})
+
+
+#: The keywords without word boundaries, as the rules have them.
+GATE = tuple(sorted({k.strip(" ~") for k in keywords(rules())}))
+
+
+def _gate(lower: Column, table: list[Rule]) -> Column:
+    """Whether the raw text in lower case has one of the keywords, each of which is within one word."""
+    inside = {k for k in keywords(table) if k == k.strip(" ~")}
+    whole = {k.strip(" ~") for k in keywords(table)} - inside
+    loose = [F.contains(lower, F.lit(k)) for k in sorted(inside) if not any(x in k for x in inside - {k})]
+    edge = WORD[:-1].replace("[^", "[")
+    alone = [F.contains(lower, F.lit(k)) & lower.rlike(f"(?:^|{edge}){k}(?:$|{edge})") for k in sorted(whole)]
+    return reduce(or_, [*loose, *alone])
+
+
 def _numbered(text: Column) -> Column:
     words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w, i: F.concat(w, F.lit("~"), i.cast("string")))
     return F.translate(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), _UPPER, _LOWER)
@@ -53,13 +71,17 @@ def _last(match: Column) -> Column:
 
 
 def _detections(numbered: Column, table: list[Rule]) -> Column:
-    spelled = [{"keywords": r.keyword.split("|"), "regex": pattern(r.text), "label": r.label, "priority": r.priority, "rule": k} for k, r in enumerate(table)]
-    listed = F.from_json(F.lit(json.dumps(spelled)), "array<struct<keywords:array<string>,regex:string,label:string,priority:int,rule:int>>")  # folded to a constant
+    groups: dict[str, list] = {}
+    for k, r in enumerate(table):
+        groups.setdefault(r.keyword, []).append({"regex": pattern(r.text), "label": r.label, "priority": r.priority, "rule": k})
+    spelled = [{"keywords": words.split("|"), "rules": own} for words, own in groups.items()]
+    listed = F.from_json(F.lit(json.dumps(spelled)), "array<struct<keywords:array<string>,rules:array<struct<regex:string,label:string,priority:int,rule:int>>>>")  # folded to a constant
+    tried = F.flatten(F.transform(F.filter(listed, lambda g: F.exists(g["keywords"], lambda k: F.contains(numbered, k))), lambda g: g["rules"]))
 
     def found(r: Column) -> Column:
         return F.transform(F.regexp_extract_all(numbered, r["regex"], F.lit(0)), lambda m: F.struct(_first(m).alias("first"), (-_last(m)).alias("last"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))
 
-    return F.array_sort(F.flatten(F.transform(F.filter(listed, lambda r: F.exists(r["keywords"], lambda k: F.contains(numbered, k))), found)))
+    return F.array_sort(F.flatten(F.transform(tried, found)))
 
 
 def _suppressed(sorted_: Column) -> Column:
@@ -99,7 +121,7 @@ def license_scan(docs: DataFrame, keep: list[str] | None = None, text: str = "te
     whole = F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))
     row = F.struct(*[docs[f"`{n}`"] for n in keep or docs.columns]).alias("row")
     lowered = docs.select(row, whole.alias("whole"), F.lower(whole).alias("lower"))
-    gate = reduce(or_, [F.contains("lower", F.lit(w)) for w in GATE])
+    gate = _gate(F.col("lower"), table)
     gated = lowered.select("row", F.regexp_count("whole", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, _numbered(F.col("whole"))).alias("numbered"))
 
     def places(label: str, phrase: str) -> Column:

@@ -90,6 +90,26 @@ def test_license_detections_equal_python(spark):
     assert [x[2] for x in got[0]] == ["apache-2.0"] and [x[2] for x in got[3]] == ["cc-by-nc-sa-4.0", "cc-by-sa-4.0"] and len(got[6]) == 300
 
 
+def test_license_rules_are_tried_on_every_text(spark):
+    """Brute force without gate or keywords: all rules on all texts."""
+    texts = ["Released under Apache 2.0", "distributed under MPL 2.0", "available under the terms of the 3-clause BSD", "see mozilla.org/MPL/2.0", "https://www.eclipse.org/legal/epl-v10.html", "http://scripts.sil.org/OFL", "licensed under\nEUPL 1.2", "covered by CDDL 1.1", "provided under GFDL 1.3", "All rights\nreserved", "is in the public\n domain", "(c) All  Rights\tReserved", "spdx license identifier EDL 1.0", "nothing here but a permit, a summit and the 3rd option", "released under (MPL 2.0)", "mpl 2.0", None]
+    texts += ["released under " + f.name.split("|")[0].replace(license_rules.L, "license") + " x" for f in license_rules.FAMILIES if "(" not in f.name and "[" not in f.name.replace(license_rules.L, "")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table_ = license_rules.rules()
+    got = {r.row.doc_id: [(d.first, d.last, d.label) for d in r.detections] for r in LS.license_scan(docs).collect()}
+    for i, text in enumerate(texts):
+        numbered = " " + " ".join(f"{w}~{k}" for k, w in enumerate(words(text, ALNUM))) + " "
+        found = []
+        for k, rule in enumerate(table_):
+            for m in re.finditer(LS.pattern(rule.text), numbered):
+                n = re.findall(r"~(\d+)", m[0])
+                found.append((int(n[0]), -int(n[-1]), rule.priority, k, rule.label))
+        found.sort()
+        kept = [(a, -b, label) for k, (a, b, p, _, label) in enumerate(found) if not any(e <= b and q <= p for _, e, q, _, _ in found[:k])]
+        assert got[i] == kept, text
+    assert all(got[i] for i in range(13)) and not got[13]
+
+
 # 2
 
 
