@@ -2,7 +2,7 @@
 
 Learning counts the byte trigrams of letters in each language, over all labelled training rows, in BUCKETS hash buckets.
 A text is a mixture: each word is drawn from one language, with the probability of its trigrams there; expectation-
-maximisation estimates the proportions. Of the sets of its 1, 2, ... MOST likeliest languages the one with the greatest
+maximisation estimates the proportions. Of the sets of its 1, 2, ... likeliest languages, up to all, the one with the greatest
 penalised likelihood (BIC) is chosen; the language with the largest proportion in it is the prediction.
 
 Defined results: a null text or one without a letter is `und` with score 0; nulls in the label are not learned from;
@@ -25,7 +25,6 @@ from .common import map_text, plain, release, small_batches
 
 BUCKETS = 1 << 16
 SMOOTH = 0.2
-MOST = 3
 ROUNDS = 12
 UNKNOWN = "und"
 
@@ -92,7 +91,12 @@ class Model:
         best[np.arange(len(rows)), alone.argmax(axis=1)] = 1
         value = alone.max(axis=1)
         order = np.argsort(-full, axis=1, kind="stable")
-        for k in range(2, min(MOST, size) + 1):
+        # no mixture's likelihood exceeds that of full by more than its steepest slope to a language allows
+        slope = np.add.reduceat(like / (full[doc] * like).sum(axis=1, keepdims=True), start, axis=0) / counts[:, None]
+        most = total + counts * np.log(np.maximum(slope.max(axis=1), 1))
+        for k in range(2, size + 1):
+            if not (most - 0.5 * (k - 1) * np.log(counts) > value).any():
+                break
             if k == size:
                 mix, reached = full, total
             else:

@@ -306,6 +306,20 @@ def test_language_mixtures(spark):
     assert set(got[1].langs) == {"en", "de"} and got[2].langs == ["fr"]
 
 
+@pytest.mark.parametrize("many", [4, 6])
+def test_language_sets_of_more_than_three(spark, many):
+    """A text in four of four languages, or five of six, has them all."""
+    r = random.Random(many)
+    alphabets = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"][:many]
+    say = lambda letters, n: " ".join("".join(r.choices(letters, k=r.randint(3, 8))) for _ in range(n))
+    model = LI.learn(spark.createDataFrame([(x, say(x, 3000)) for x in alphabets], "lang string, text string"))
+    said = alphabets[: min(many, 5)]
+    rows = [(1, " ".join(say(x, 60) for x in said)), (2, say("abcd", 60)), (3, say("abcd", 60) + " " + say("efgh", 60))]
+    got = {x.row.doc_id: x.found for x in LI.language_id(spark.createDataFrame(rows, "doc_id long, text string"), model, keep=["doc_id"]).collect()}
+    assert sorted(got[1].langs) == said and abs(sum(got[1].shares) - 1) < 1e-6
+    assert got[2].langs == ["abcd"] and sorted(got[3].langs) == ["abcd", "efgh"]
+
+
 def test_language_odd(spark, odd, empty):
     model = LI.learn(odd[0])
     assert model.langs == ["en", "fr"]
