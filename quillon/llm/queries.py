@@ -43,7 +43,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts(documents(spark, sf_dir), "word_bpe_49k.json", limit=2048, keep=["doc_id"])
-    return found.select("row.doc_id", "found.n_bytes", "found.n_tokens", (F.col("found.n_tokens") > 2048).alias("over_limit"), "found.fit_words", "found.fit_tokens")
+    return found.select("row.doc_id", "found.n_bytes", "found.n_tokens", (F.col("found.n_tokens") > 2048).alias("over_limit"), "found.fit_words", "found.fit_tokens", "found.fit_chars")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,11 +150,15 @@ class PrefixCounter:
         """(words and special strings, characters of the next word) of the longest prefix of at most budget tokens."""
         table = self.prefix_counts([text])[0]
         k = bisect_right(table.tolist(), budget) - 1
+        return k, self.inside(text, k, budget - int(table[k]))
+
+    def inside(self, text: str, k: int, room: int) -> int:
+        """The most characters of the text's word number k, from 0, that take at most room tokens."""
         flat = [w for i, ws in enumerate(self.pieces(text)) for w in ([None] * bool(i) + ws)]
         if k == len(flat) or flat[k] is None:
-            return k, 0
-        inside = self.word_prefix_counts(flat[k])
-        return k, max(c for c, n in enumerate(inside) if table[k] + n <= budget)
+            return 0
+        counts = self.word_prefix_counts(flat[k][: room * self.longest + 4])  # more characters take more tokens than room
+        return max(c for c, n in enumerate(counts) if n <= room)
 
 
 @lru_cache(1)
@@ -185,11 +189,11 @@ def counter(path: str) -> PrefixCounter:
     return _counters[path]
 
 
-FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_tokens", "fit_words", "fit_tokens")])
+FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_tokens", "fit_words", "fit_tokens", "fit_chars")])
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """row (struct of the columns keep) and found: n_bytes, n_tokens, and of the longest prefix within limit that ends with a word its words and tokens. tokenizer: a name for public_tokenizers.path, or a path."""
+    """row (struct of the columns keep) and found: n_bytes, n_tokens, and of the longest prefix within limit that ends with a word its words and tokens, and the characters of the next word that fit besides. tokenizer: a name for public_tokenizers.path, or a path."""
 
     docs = plain(docs)
 
@@ -201,6 +205,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
         tables = c.prefix_counts(strings)
         fit = [int(np.searchsorted(t, limit, side="right")) - 1 for t in tables]
         cols = {"n_bytes": [len(s.encode()) for s in strings], "n_tokens": [int(t[-1]) for t in tables], "fit_words": fit, "fit_tokens": [int(t[k]) for t, k in zip(tables, fit, strict=True)]}
+        cols["fit_chars"] = [c.inside(x, k, limit - int(t[k])) if k < len(t) - 1 else 0 for x, t, k in zip(strings, tables, fit, strict=True)]
         return {k: pa.array(v, pa.int64()) for k, v in cols.items()}
 
     return map_text(docs, text, keep or docs.columns, kernel, FOUND)

@@ -230,6 +230,17 @@ def test_cut_is_the_longest_prefix(counter):
             assert library(counter, " ".join([*w[:k], w[k][: chars + 1]])) > budget
 
 
+def test_fit_goes_into_the_next_word(counter, spark):
+    texts = ["qzxj" * 2000, "some words and " + "zq" * 900 + " tail", "a b c", "", None, "unbelievable" * 40, "ab <|endoftext|> cd " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (3, 20):
+        got = {r.row.doc_id: r.found for r in token_counts(docs, limit=limit, keep=["doc_id"]).collect()}
+        assert {i: (f.fit_words, f.fit_chars) for i, f in got.items()} == {i: counter.cut(t or "", limit) for i, t in enumerate(texts)}
+        for i in (0, 5):  # one word
+            n, fits = got[i].fit_chars, [library(counter, texts[i][:k]) <= limit for k in range(min(len(texts[i]), 400) + 1)]
+            assert got[i].fit_words == 0 and 0 < n == max(k for k, x in enumerate(fits) if x) < 400
+
+
 # 5
 
 
