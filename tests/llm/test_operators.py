@@ -385,21 +385,51 @@ def families(seed, groups=12, each=9, length=60):
     return rows
 
 
-@pytest.mark.parametrize(("alike", "tile"), [(J.Alike(), J.TILE), (J.Alike(5, 80, 100), 4), (J.Alike(2, 60, 100), 3), (J.Alike(1, 50, 100), 1000)])
-def test_ngram_join(spark, alike, tile):
+SMALL = J.Tiling(members=5, whole=3, pivots=1)
+
+
+@pytest.mark.parametrize(("alike", "tiling"), [(J.Alike(), J.Tiling()), (J.Alike(5, 80, 100), SMALL), (J.Alike(2, 60, 100), J.Tiling(members=3, whole=0, pivots=2)), (J.Alike(1, 50, 100), J.Tiling(bitmap_bytes=40, whole=2)), (J.Alike(1, 50, 100), J.Tiling())])
+def test_ngram_join(spark, alike, tiling):
     rows = families(alike.words)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.id: (r.n_shingles, r.component_id) for r in J.ngram_join(docs, alike, tile=tile).collect()}
+    got = {r.id: (r.n_shingles, r.component_id) for r in J.ngram_join(docs, alike, tiling=tiling).collect()}
     assert got == brute_components(rows, alike)
 
 
-def test_ngram_join_without_stars(spark, monkeypatch):
-    """Links that no pivot finds come from the second step."""
-    monkeypatch.setattr(J, "PIVOTS", 0)
-    rows = families(9)
-    got = {r.id: (r.n_shingles, r.component_id) for r in J.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), J.Alike(2, 70, 100)).collect()}
-    expected = brute_components(rows, J.Alike(2, 70, 100))
-    assert {i: n for i, (n, _) in got.items()} == {i: n for i, (n, _) in expected.items()}
+@pytest.mark.parametrize("tiling", [J.Tiling(whole=0, pivots=0), J.Tiling(members=4, whole=0, pivots=0)])
+def test_ngram_join_without_stars(spark, tiling):
+    """All links come from the cells, of one block or of several."""
+    rows, alike = families(9), J.Alike(2, 70, 100)
+    assert {r.id: (r.n_shingles, r.component_id) for r in J.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), alike, tiling=tiling).collect()} == brute_components(rows, alike)
+
+
+def test_ngram_join_large_tiles(spark):
+    """A passage that all texts share, a cluster of near copies beyond a block, and blocks read over many batches."""
+    r = random.Random(3)
+    passage, base = [f"p{k}" for k in range(40)], [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(240):
+        w = list(base) if k % 2 else passage + [f"u{r.randint(0, 9000)}" for _ in range(r.randint(5, 30))]
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = f"x{r.randint(0, 9000)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_components(rows, J.Alike(4, 85, 100))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for tiling in (J.Tiling(), J.Tiling(members=16, whole=4, pivots=2)):
+            assert {x.id: (x.n_shingles, x.component_id) for x in J.ngram_join(docs, tiling=tiling).collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ngram_join_takes_rows_for_documents(spark):
+    """One id on different texts, and classes without an id, lose no links."""
+    base = [f"w{k}" for k in range(100)]
+    chain = [" ".join(base[:k] + [f"x{j}" for j in range(k)] + base[k:]) for k in (0,)] + [" ".join([*base[:50], "y", *base[50:]]), " ".join([*base[:50], "y", *base[50:90], "z", *base[90:]])]
+    docs = spark.createDataFrame([(7, chain[0]), (7, "quite another text of some words"), (None, chain[1]), (3, chain[2]), (9, "quite another text of some words")], "doc_id long, text string")
+    got = sorted(((r.id, r.component_id) for r in J.ngram_join(docs).collect()), key=str)
+    assert got == sorted([(7, 3), (7, 7), (None, 3), (3, 3), (9, 7)], key=str)
 
 
 def test_ngram_join_odd(spark, odd, empty):
@@ -417,8 +447,9 @@ def test_bitmaps_bound_the_overlap():
         a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: int(r.integers(0, len(a) + 1))], r.integers(0, 1 << 63, int(r.integers(1, 600)), dtype=np.uint64)]))
         x, y = J.bitmap(a), J.bitmap(b)
-        w = min(len(x), len(y))
-        apart = int(np.bitwise_count(J.fold(x, w) ^ J.fold(y, w)).sum())
+        while len(x) != len(y):
+            x, y = (J.fold(x), y) if len(x) > len(y) else (x, J.fold(y))
+        apart = int(np.bitwise_count(x ^ y).sum())
         assert (len(a) + len(b) - apart) // 2 >= len(np.intersect1d(a, b))
 
 
