@@ -5,22 +5,28 @@ taken that are nearest to 1 in relative entropy: r = min(MOST, exp(lambda * size
 Newton iterations find the lambdas from the dual's gradient and curvature, each a distributed aggregation over the
 counts of documents by source and size; a bracket around each root keeps them safe. Rates become whole copies by a
 threshold from a hash of the id; one shift a source, found by three passes over a grid, brings the sum of the copies'
-words to the target, and a ladder of single documents, four a power of two, closes what is left.
+words to the target, and two ladders of single documents, four a power of two, to take once more or once less, close what is
+left.
 
 Defined results: a null text has size 0 and is taken whole, which is no words; a null source is a source of its own, the
-last; rows that repeat an id are rounded alike; equal input gives equal output. Per-source tables stay distributed: they
-are broadcast only where Spark finds their files below its own threshold, else joined with skewed keys split.
+last; rows that repeat an id are told apart by their text's hash, and equal rows by a number, so each is rounded for itself
+and equal input gives equal output, whatever the partitions. Per-source tables stay distributed: they are broadcast only
+where Spark finds their files below its own threshold, else joined with skewed keys split; the driver gets sums.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.ordinals import with_ordinal
 from .common import plain, stash, unstash
 
 SHARE = 1.5
@@ -29,6 +35,9 @@ WEIGHTS = (3, 1, 2)
 ROUNDS = 60
 NEAR = 1e-7
 GRID = 32
+BUCKET_BITS = 18
+#: What tells rows apart.
+EACH = ("key", "id", "hash", "copy")
 
 
 def word_count(text: Column) -> Column:
@@ -40,24 +49,28 @@ def _key(source: Column) -> Column:
 
 
 def targets(sizes: DataFrame, share: float, most: int, weights: tuple[int, ...]) -> DataFrame:
-    """sizes: key, size. A row a source: key, source_size, mean, least, target; the excess over most times a source's size is shared anew by weight."""
-    per = sizes.groupBy("key").agg(F.sum("size").alias("source_size"), F.avg(F.when(F.col("size") > 0, F.col("size"))).alias("mean"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
-    by_name = Window.orderBy(F.col("key") == "null", "key")
-    rank = (F.row_number().over(by_name) - 1) % len(weights)
-    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), rank)
-    cap = F.col("source_size") * float(most)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    below = Window.orderBy("ratio", "key").rowsBetween(Window.unboundedPreceding, -1)
-    t = per.withColumn("weight", weight).withColumn("cap", cap).withColumn("ratio", F.col("cap") / F.col("weight"))
-    t = t.withColumn("all_words", F.sum("source_size").over(everything) * share).withColumn("all_weight", F.sum("weight").over(everything))
-
-    def level(full: Column, used: Column) -> Column:
-        return F.try_divide(F.col("all_words") - F.coalesce(full, F.lit(0.0)), F.col("all_weight") - F.coalesce(used, F.lit(0.0)))
+    """sizes: key, size. A row a source: key, source_size, mean, least, target; the excess over most times a source's size is shared anew by weight.
 
-    t = t.withColumn("stopped", F.col("ratio") <= level(F.sum("cap").over(below), F.sum("weight").over(below)))
-    kept = [F.sum(F.when(F.col("stopped"), F.col(c))).over(everything) for c in ("cap", "weight")]
-    t = t.withColumn("target", F.when(F.col("stopped"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * level(*kept))))
-    return t.select("key", "source_size", "mean", "least", "target", F.coalesce(F.col("target") >= F.col("cap"), F.lit(True)).alias("full"))
+    The level is words a unit of weight: a source whose cap, by weight, isn't above the level stops at its cap, and the rest
+    of the words over the rest of the weight is the next level. It rises until no source stops any more; each round is one
+    sum over the sources."""
+    per = sizes.groupBy("key").agg(F.sum("size").alias("source_size"), F.avg(F.when(F.col("size") > 0, F.col("size"))).alias("mean"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+    per = stash(per.withColumn("name", F.when(F.col("key") == "null", F.lit("~")).otherwise(F.col("key"))), "sources")  # "~" sorts after "="
+    ranked = with_ordinal(per, "name", "rank").drop("name")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights)).cast("int"))
+    t = stash(ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(most)).drop("rank"), "weights")
+    unstash(per)
+    everything = (t.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, n = None, -1
+    while True:
+        stops = F.lit(False) if level is None else F.col("cap") <= F.col("weight") * F.lit(level)
+        r = t.agg(F.sum(F.when(stops, F.col("cap")).otherwise(0.0)).alias("cap"), F.sum(F.when(stops, 0.0).otherwise(F.col("weight"))).alias("weight"), F.count_if(stops).alias("n")).first()
+        if r.n == n or not r.weight:
+            break
+        level, n = (everything - r.cap) / r.weight, r.n
+    free = F.col("weight") * F.lit(level or 0.0)
+    target = F.when(F.col("cap") <= free, F.col("cap")).otherwise(free) if r.weight else F.col("cap")
+    return t.withColumn("target", target).select("key", "source_size", "mean", "least", "target", (F.col("target") >= F.col("cap")).alias("full"))
 
 
 def balance(sizes: DataFrame, sources: DataFrame, most: int) -> DataFrame:
@@ -86,13 +99,42 @@ def balance(sizes: DataFrame, sources: DataFrame, most: int) -> DataFrame:
         off = new.agg(F.max("off")).first()[0]
         if off is None or off <= NEAR:
             break
+    else:  # the brackets halve each round, so what is left is beyond what doubles can tell apart
+        if off > 1e-3:
+            raise RuntimeError(f"balance: a source is {off:.2%} from its target after {ROUNDS} rounds")
     return sources.join(state.select("key", "lam"), "key", "left")
 
 
+def _closed(batches):
+    """key, lack, sizes and thresholds of a source's ladders: the places in them of documents to take once more and once less,
+    a pair or a single one after another, as long as what the source lacks comes nearer to 0."""
+    for batch in batches:
+        out = []
+        for key, lack, *ladders in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            more, more_u, less, less_u = (np.array(x, float) for x in ladders)
+            steps = np.append(more, 0)[:, None] - np.append(less, 0)[None, :]
+            steps[:-1, :-1][more_u[:, None] == less_u[None, :]] = np.nan  # one document
+            used: tuple[list[int], list[int]] = ([], [])
+            while True:
+                left = np.abs(lack - steps)
+                if np.isnan(left).all() or not np.nanmin(left) < abs(lack):
+                    break
+                i, j = divmod(int(np.nanargmin(left)), steps.shape[1])
+                lack -= steps[i, j]
+                for k, n, place, own, other in ((i, len(more), 0, more_u, less_u), (j, len(less), 1, less_u, more_u)):
+                    if k < n:
+                        used[place].append(k)
+                        (steps if place == 0 else steps.T)[k] = np.nan
+                        (steps.T if place == 0 else steps)[np.flatnonzero(other == own[k])] = np.nan
+            out.append((key, *used))
+        k, m, less_ = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(m, pa.list_(pa.int32())), pa.array(less_, pa.list_(pa.int32()))], names=["key", "more_at", "less_at"])
+
+
 @dataclass
 class Mix:
     sources: DataFrame  # key, source_size, mean, target, full, lam, shift
-    extra: DataFrame  # key, id of documents that one copy is added to
+    extra: DataFrame  # key, id, hash, copy of documents, and one: the copy that is added (1) or left out (-1)
     most: int
     share: float
 
@@ -104,30 +146,45 @@ class Mix:
         return F.greatest(F.lit(0), F.least(F.lit(self.most), whole)).cast("long")
 
     def rated(self, sized: DataFrame) -> DataFrame:
-        """sized: key, id, size and any columns. Adds those of sources, rate and u."""
-        u = F.pmod(F.xxhash64(F.col("id"), F.lit(1789)), F.lit(1 << 40)) / float(1 << 40)
+        """sized: key, id, size, hash, copy and any columns. Adds those of sources, rate and u."""
+        u = F.pmod(F.xxhash64("id", "hash", "copy", F.lit(1789)), F.lit(1 << 40)) / float(1 << 40)
         return sized.join(self.sources, "key").withColumn("rate", self.rate()).withColumn("u", u)
 
     def apply(self, sized: DataFrame) -> DataFrame:
         """sized with source_size, target, rate, copies and taken."""
-        added = self.extra.withColumn("one", F.lit(1).cast("long"))
-        out = self.rated(sized).withColumn("copies", self.copies(F.col("shift"))).join(added, ["key", "id"], "left")
-        out = out.withColumn("copies", F.least(F.lit(self.most).cast("long"), F.col("copies") + F.coalesce("one", F.lit(0))))
-        return out.withColumn("taken", F.col("copies") * F.col("size")).drop("one", "u", "key", "mean", "least", "full", "lam", "shift")
+        added = self.extra.select(*[F.col(n).alias(f"{n}_") for n in EACH], "one")
+        out = self.rated(numbered(sized)).withColumn("copies", self.copies(F.col("shift")))
+        out = out.join(added, reduce(and_, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in EACH]), "left")
+        out = out.withColumn("copies", F.greatest(F.lit(0), F.least(F.lit(self.most), F.col("copies") + F.coalesce("one", F.lit(0)))).cast("long"))
+        return out.withColumn("taken", F.col("copies") * F.col("size")).drop("one", "u", "mean", "least", "full", "lam", "shift", *EACH[:1], *EACH[2:], *[f"{n}_" for n in EACH])
+
+
+def numbered(sized: DataFrame) -> DataFrame:
+    """sized with copy: 0, or the number of the row among equal ones, from 0. Only rows whose key, id and hash are in one of at most 2 ** BUCKET_BITS buckets with equal rows are shuffled."""
+    bucket = F.pmod(F.xxhash64(*EACH[:3]), F.lit(1 << BUCKET_BITS))
+    twice = sized.groupBy(*EACH[:3]).count().where("count > 1").select(bucket.alias("bucket")).distinct()
+    twice = stash(twice, "twice")
+    if not twice.limit(1).count():
+        return sized.withColumn("copy", F.lit(0))
+    marked = sized.withColumn("bucket", bucket)
+    alone = marked.join(F.broadcast(twice), "bucket", "left_anti").drop("bucket").withColumn("copy", F.lit(0))
+    some = marked.join(F.broadcast(twice), "bucket", "left_semi").drop("bucket")
+    return alone.unionByName(some.withColumn("copy", F.row_number().over(Window.partitionBy(*EACH[:3]).orderBy("id")) - 1))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """id, key, size, and row: a struct of the columns keep."""
+    """id, key, size, hash (of the text), and row: a struct of the columns keep."""
     docs = plain(docs)
     row = [F.struct(*[docs[f"`{n}`"] for n in keep]).alias("row")] if keep else []
-    return docs.select(docs[f"`{id_col}`"].alias("id"), _key(docs[f"`{source}`"]).alias("key"), word_count(docs[f"`{text}`"]).alias("size"), *row)
+    return docs.select(docs[f"`{id_col}`"].alias("id"), _key(docs[f"`{source}`"]).alias("key"), word_count(docs[f"`{text}`"]).alias("size"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("hash"), *row)
 
 
 def mix(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> Mix:
-    """sizes: id, key, size of every document, stashed."""
+    """sizes: id, key, size, hash of every document, stashed."""
+    sizes = numbered(sizes)
     sources = stash(targets(sizes, share, most, weights), "targets")
     sources = stash(balance(sizes, sources, most).withColumn("low", F.lit(-1.0)).withColumn("step", F.lit(2.0 / GRID)), "lambdas")
-    none = sizes.select("key", "id").limit(0)
+    none = sizes.select(*EACH, F.lit(0).alias("one")).limit(0)
     for _ in range(3):
         own = Mix(sources, none, most, share)
         rated = own.rated(sizes)
@@ -142,10 +199,10 @@ def mix(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple
     taken = own.rated(sizes).withColumn("copies", own.copies(F.col("shift")))
     lacks = taken.groupBy("key").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("lack"))
     rung = F.floor(F.log2(F.col("size")) * 4)
-    one = taken.where((F.col("size") > 0) & (F.col("copies") < most)).groupBy("key", rung.alias("rung")).agg(F.min(F.struct("size", "u", "id")).alias("d"))
-    ladder = one.groupBy("key").agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("d.size").alias("size"), F.col("d.id").alias("id"))))).alias("ladder")).join(lacks, "key")
-    id_type = sizes.schema["id"].dataType
-    empty = F.array().cast(T.ArrayType(id_type))
-    climbed = F.aggregate("ladder", F.struct(F.col("lack").alias("lack"), empty.alias("ids")), lambda a, d: F.when(d.size <= a.lack, F.struct((a.lack - d.size).alias("lack"), F.concat(a.ids, F.array(d.id)).alias("ids"))).otherwise(a), lambda a: a.ids)
-    extra = stash(ladder.select("key", F.explode(climbed).alias("id")), "extra")
+    some = taken.where("size > 0").groupBy("key", rung.alias("rung")).agg(*[F.min(F.when(can, F.struct("size", "u", *EACH[1:]))).alias(name) for name, can in (("more", F.col("copies") < most), ("less", F.col("copies") > 0))])
+    ladder = some.groupBy("key").agg(*[F.array_sort(F.collect_list(name)).alias(name) for name in ("more", "less")]).join(lacks, "key")
+    sides = [F.transform(name, lambda d: d[part]).alias(f"{name}_{part}") for name in ("more", "less") for part in ("size", "u")]
+    steps = ladder.select("key", F.col("lack").cast("double").alias("lack"), *sides).mapInArrow(_closed, "key string, more_at array<int>, less_at array<int>")
+    chosen = ladder.join(steps, "key").select("key", F.concat(*[F.transform(f"{name}_at", lambda i: F.struct(F.get(name, i).alias("d"), F.lit(one).alias("one"))) for name, one in (("more", 1), ("less", -1))]).alias("all"))
+    extra = stash(chosen.select("key", F.explode("all").alias("x")).select("key", *[F.col(f"x.d.{n}").alias(n) for n in EACH[1:]], "x.one"), "extra")
     return Mix(sources, extra, most, share)

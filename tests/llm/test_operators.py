@@ -297,6 +297,23 @@ def test_mixing_odd(spark, odd, empty):
     assert mix(none).apply(none).count() == 0
 
 
+def test_mixing_tells_repeats_apart(spark):
+    """50 rows of one id: with one text, with many, and without an id; each source comes near its target, however rows are dealt."""
+    for ids in ([1] * 50, [None] * 50):
+        for same in (True, False):
+            rows = [(i, " ".join(["w"] * (999 if same else 700 + 13 * k) + ["x"]), "en", "a") for k, i in enumerate(ids)] + [(100 + k, " ".join(["v"] * (20 + k)), "en", "abc"[k % 3]) for k in range(300)]
+            docs = table(spark, rows)
+            out = []
+            for n in (1, 5):
+                sizes = sized(docs.repartition(n)).cache()
+                out.append(sorted(((x.id or -1, x.size, x.source_size, x.target, x.taken) for x in mix(sizes).apply(sizes).collect())))
+            assert out[0] == out[1] and len(out[0]) == len(rows)
+            taken = defaultdict(int)
+            for _, _, size, target, t in out[0]:
+                taken[size, target] += t
+            assert all(abs(t - target) <= 0.01 * target for (_, target), t in taken.items()), taken
+
+
 # 6
 
 
@@ -574,6 +591,34 @@ def test_chat_format(spark):
     assert len(got) == 40
 
 
+def test_offsets_equal_the_library():
+    """Tokens and offsets by ranks are those of the same vocabulary's other file."""
+    from quillon.llm import chat_format as C
+
+    r = random.Random(12)
+    pieces = ["Hello, world", " leading", "trailing ", "\n\n", "<\\|end|>", "日本語\U0001f600", "é", "!!!", "123", "...<", "don't", "<|turn|>", "<|text|>", "<|end|>", "<|endoftext"]
+    one, two = C.tokenizer_of("byte_bpe_50k.tiktoken"), C.tokenizer_of("byte_bpe_50k.json")
+    for text in ["", "é", *("".join(r.choices(pieces, k=r.randint(1, 12))) for _ in range(300))]:
+        a, b = one.encode(text), two.encode(text)
+        assert all(list(x) == list(y) for x, y in zip(a[1:], b[1:], strict=True)) and [i for i in a[0] if i < 50256] == [i for i in b[0] if i < 50256], text
+
+
+@pytest.mark.parametrize("tokenizer", ["byte_bpe_50k.tiktoken", "byte_bpe_50k.json"])
+def test_chat_format_odd(spark, tokenizer):
+    """Repeated rows, equal and null turn numbers, null ids, clashing names, a long conversation."""
+    said = "<|end|>\\### Assistant: </turn> é" * 3
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", "first"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (None, 0, "assistant", said), (2, 0, "assistant", ""), (2, 1, None, None)]
+    rows += [(3, k, "assistant" if k % 2 else "user", f"turn {k} {said}") for k in range(3000)]
+    docs = spark.createDataFrame([(*x, "x", "y", "z") for x in rows], "conv_id long, turn long, role string, text string, turns string, formatted string, TEXT string")
+    got = {x.conv_id: x for x in read_back(chat_format(docs, tokenizer)).collect()}
+    assert len(got) == 4
+    for c in got:
+        own = sorted(((t is not None, t or 0, a or "", b or "") for i, t, a, b in rows if i == c))
+        loss, whole = "".join(b for *_, a, b in own if a == "assistant"), "".join(f"{a}\n{b}\n" for *_, a, b in own)
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(own), hashlib.sha256(whole.encode()).hexdigest())
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_empty_tables(spark, empty):
     assert LS.license_scan(empty).count() == 0
     assert shard_documents(empty, shards=4).count() == 0
