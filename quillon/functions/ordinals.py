@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Splitters are SPLIT * SPLIT strings at most.
+SPLIT = 32
 
-def with_ordinal(df: DataFrame, column: str, name: str, width: int = 3) -> DataFrame:
-    """Ranks within strings of equal first width characters, plus the number of strings with lesser beginnings. One task sees
-    a row a beginning, which for terms are at most 36 ** 3."""
-    start = F.substring(column, 1, width)
-    before = Window.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(start.alias("_start")).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_start").orderBy(column)) - 1
-    return df.withColumn("_start", start).join(offsets, "_start").withColumn(name, (F.col("_before") + rank).cast("long")).drop("_start", "_before")
+
+def with_ordinal(df: DataFrame, column: str, name: str, split: int = SPLIT) -> DataFrame:
+    """df with the rank of column, whose values are distinct and not null.
+
+    The split * split strings with the least hashes are a sample that the data alone decide. They part the strings into
+    ranges, whatever beginnings those share; ranks count within a range, plus the strings of the ranges before. One task sees
+    a row a range; the sample is one broadcast row.
+    """
+    sample = df.select(F.col(column).alias("_s")).orderBy(F.xxhash64("_s"), "_s").limit(split * split)
+    splitters = F.broadcast(sample.agg(F.array_sort(F.collect_list("_s")).alias("_all")).select("_all", F.transform(F.sequence(F.lit(0), F.lit(split - 1)), lambda k: F.get("_all", k * split)).alias("_tops")))
+    s = F.col(column)
+    top = F.greatest(F.lit(0), F.size(F.filter("_tops", lambda t: t <= s)) - 1)
+    within = F.size(F.filter(F.slice("_all", F.col("_top") * split + 1, F.lit(split)), lambda t: t <= s))
+    placed = df.crossJoin(splitters).withColumn("_top", top).withColumn("_range", F.col("_top") * split + within).drop("_all", "_tops", "_top")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1
+    return placed.join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_before") + rank).cast("long")).drop("_range", "_before")
