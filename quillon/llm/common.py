@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 18
 #: Bytes of a batch of rows that goes to Python at once.
 BATCH = "4m"
+#: Sets of keys that go to all workers have 2 ** PICK_BITS bits, 8 MiB: a key that isn't in the set may seem to be, and exact joins follow.
+PICK_BITS = 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,6 +73,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH)
 
 
+def pick_key(value: Column) -> Column:
+    """k: a number from 1 to 2 ** PICK_BITS, by hash."""
+    return (F.pmod(F.xxhash64(value), F.lit(1 << PICK_BITS)) + 1).alias("k")
+
+
+def picked(keys: DataFrame) -> np.ndarray:
+    """A bit for each number from 1 to 2 ** PICK_BITS, set where the column k has it. The driver gets these bits alone."""
+    maps = keys.groupBy(F.bitmap_bucket_number("k").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("map")).toArrow()
+    out = np.zeros((1 << PICK_BITS) // 8, np.uint8)
+    for part, blob in zip(maps["part"].to_pylist(), maps["map"].to_pylist(), strict=True):
+        out[(part - 1) * 4096 : part * 4096] = np.frombuffer(blob, np.uint8)
+    return out
+
+
+def is_picked(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return (bits[(k - 1) >> 3] >> ((k - 1) & 7).astype(np.uint8)) & 1 != 0
+
+
 def release() -> None:
     """Gives back to the system what a task has freed: Python workers are used again, and idle ones keep it otherwise."""
     pa.default_memory_pool().release_unused()

@@ -6,14 +6,13 @@ a common fingerprint. Where a document's fingerprint is one of the benchmark's,
 around it and compared whole. Items of fewer words than SPAN keep one fingerprint, of all their words.
 
 Defined results: a null or empty text has no words and no hits; items without words are never found; repeated rows each
-give a row; an empty benchmark finds nothing. The benchmark is read in blocks of at most BLOCK_BYTES of text, each of
-which is held by every worker; several blocks are several passes over the documents, merged by document row.
+give a row; an empty benchmark finds nothing. A benchmark of at most BLOCK_BYTES of text is held by every worker. A larger
+one stays a table of windows: workers hold a set of common.PICK_BITS bits of its fingerprints, find the documents' places
+that may be hits, and these places are joined with the windows by hash; documents without such a place aren't shuffled.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import map_text, plain, stash
+from .common import PICK_BITS, is_picked, map_text, picked, plain, stash
 
 SPAN = 10
 GRAM = 5
@@ -54,7 +53,7 @@ def _known(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 class BenchmarkIndex:
-    """Fingerprints and windows of one block of items; arrays only, so that it pickles small."""
+    """Fingerprints and windows of items; arrays only, so that it pickles small."""
 
     def __init__(self, items: list[tuple[str, str]], span: int, gram: int):
         self.span, self.gram, self.ids = span, gram, [str(i) for i, _ in items]
@@ -142,6 +141,82 @@ def _kernel(index: BenchmarkIndex):
     return run
 
 
+def _pick(prints: np.ndarray, n: int) -> np.ndarray:
+    """The bit of fingerprints of windows of n words."""
+    return (K.mix(prints + np.uint64(n)) >> np.uint64(64 - PICK_BITS)).astype(np.int64) + 1
+
+
+def _windows(span: int, gram: int):
+    """item, text: n (words of the window), h (its hash), k (its fingerprint's bit), item."""
+
+    def run(batches):
+        for batch in batches:
+            hashes, at = K.words(batch.column(1), K.ALNUM)
+            for i, item in enumerate(batch.column(0).to_pylist()):
+                own = hashes[at[i] : at[i + 1]]
+                n = min(span, len(own))
+                if n:
+                    h = K.grams(own, n)
+                    k = _pick(_least(own, span, gram) if n == span else h, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(k), pa.array([item] * len(h), pa.string())], names=["n", "h", "k", "item"])
+
+    return run
+
+
+def _places(bits, lengths: list[int], span: int, gram: int):
+    """Of each text the places (first, n, h) of windows whose fingerprint's bit is set."""
+    kind = pa.struct([("first", pa.int32()), ("n", pa.int32()), ("h", pa.int64())])
+
+    def run(texts: pa.Array, _):
+        hashes, at = K.words(texts, K.ALNUM)
+        firsts, sizes, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for n in lengths:
+            if len(hashes) < n:
+                continue
+            prints = _least(hashes, span, gram) if n == span else K.grams(hashes, n)
+            places = np.flatnonzero(is_picked(bits.value, _pick(prints, n)))
+            places = places[at[np.searchsorted(at, places, side="right")] >= places + n]  # not across documents
+            h = hashes[places] + np.uint64(n)
+            for k in range(1, n):
+                h = K.mix(h) + hashes[places + k]
+            firsts.append(places), sizes.append(np.full(len(places), n)), values.append(K.mix(h))
+        first, size, h = (np.concatenate(x) for x in (firsts, sizes, values))
+        order = np.argsort(first, kind="stable")
+        first, size, h = first[order], size[order], h[order]
+        doc = np.searchsorted(at, first, side="right") - 1
+        own = pa.StructArray.from_arrays([pa.array((first - at[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64))], fields=list(kind))
+        return {"n_words": pa.array(np.diff(at), pa.int64()), "places": pa.ListArray.from_arrays(pa.array(np.searchsorted(first, at).astype(np.int32)), own)}
+
+    return run
+
+
+PLACES = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("places", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())])))])
+
+
+def _joined(spans):
+    """Sorted spans, those that overlap or touch as one."""
+    last = lambda done: F.element_at(done, -1)
+    longer = lambda done, s: F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last(done)["first"].alias("first"), F.greatest(last(done)["last"], s["last"]).alias("last"))))
+    return F.aggregate(spans, F.slice(spans, 1, 0), lambda done, s: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["last"] + 1 >= s["first"]), longer(done, s)).otherwise(F.concat(done, F.array(s))))
+
+
+def _by_join(docs: DataFrame, source: DataFrame, keep: list[str], text: str, span: int, gram: int) -> DataFrame:
+    """row and found for a benchmark of any size."""
+    windows = stash(source.mapInArrow(_windows(span, gram), "n int, h long, k long, item string").distinct(), "windows")
+    lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # at most span
+    bits = docs.sparkSession.sparkContext.broadcast(picked(windows.select("k")))
+    placed = map_text(docs, text, keep, _places(bits, lengths, span, gram), PLACES)
+    some = stash(placed.where(F.size("found.places") > 0).select(F.monotonically_increasing_id().alias("rid"), "row", "found"), "places")
+    places = some.select("rid", F.inline("found.places")).join(windows.select("n", "h", "item"), ["n", "h"])
+    one = F.struct(F.col("first"), (F.col("first") + F.col("n") - 1).cast("int").alias("last"))
+    hits = places.groupBy("rid").agg(F.array_sort(F.collect_set(one)).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")).withColumn("spans", _joined(F.col("spans")))
+    kind = FOUND["spans"].dataType.simpleString()
+    none = F.struct(F.col("found.n_words"), F.array().cast(kind).alias("spans"), F.array().cast("array<string>").alias("items")).alias("found")
+    clean = placed.where(F.size("found.places") == 0).select("row", none)
+    found = F.struct(F.col("found.n_words"), F.coalesce("spans", F.array().cast(kind)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).alias("found")
+    return clean.unionByName(some.join(hits, "rid", "left").select("row", found))
+
+
 def _covered(spans):
     """Words inside any of possibly overlapping spans."""
     sorted_ = F.array_sort(spans)
@@ -155,19 +230,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, keep: list[str] | None = No
     keep = keep or docs.columns
     source = bench.select(bench[f"`{item}`"].cast("string").alias("i"), F.coalesce(bench[f"`{item_text}`"], F.lit("")).alias("t"))
     n_bytes = source.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    blocks = max(1, math.ceil(n_bytes / block_bytes))
-    if blocks == 1:
-        parts = [map_text(docs, text, keep, _kernel(BenchmarkIndex([tuple(r) for r in source.collect()], span, gram)), FOUND)]
-        merged = parts[0]
+    if n_bytes <= block_bytes:
+        merged = map_text(docs, text, keep, _kernel(BenchmarkIndex([tuple(r) for r in source.collect()], span, gram)), FOUND)
     else:
-        docs = stash(docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[docs[f"`{n}`"] for n in docs.columns]).alias("_row")), "rows")
-        flat = docs.select("_rid", "_row", F.col(f"_row.`{text}`").alias("_text"))
-        whole = None
-        for b in range(blocks):
-            rows = source.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-            kernel = _kernel(BenchmarkIndex([tuple(r) for r in rows], span, gram))
-            found = map_text(flat, "_text", ["_rid"], kernel, FOUND).select("row._rid", "found.*")
-            whole = found if whole is None else whole.unionByName(found.where(F.size("items") > 0))
-        hits = whole.groupBy("_rid").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        merged = docs.join(hits, "_rid").select(F.struct(*[F.col(f"_row.`{n}`").alias(n) for n in keep]).alias("row"), F.struct("n_words", "spans", "items").alias("found"))
+        merged = _by_join(docs, source, keep, text, span, gram)
     return merged.select("row", F.struct(F.col("found.n_words").alias("n_words"), _covered(F.col("found.spans")).alias("n_hit"), F.col("found.spans").alias("spans"), F.col("found.items").alias("items")).alias("found"))

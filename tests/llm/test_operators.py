@@ -532,14 +532,18 @@ def test_decontamination(spark, block):
         docs.append((d, "-".join(w).upper()))
     docs.append((60, None))
     got = D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string"), keep=["doc_id"], block_bytes=block)
-    assert {x.row.doc_id: (x.found.n_words, x.found.n_hit, x.found["items"]) for x in got.collect()} == brute_hits(docs, bench)
+    got = {x.row.doc_id: x.found for x in got.collect()}
+    assert {i: (f.n_words, f.n_hit, f["items"]) for i, f in got.items()} == brute_hits(docs, bench)
+    for f in got.values():
+        assert all(a.last + 1 < b.first for a, b in zip(f.spans, f.spans[1:])) and sum(x.last - x.first + 1 for x in f.spans) == f.n_hit
 
 
-def test_decontamination_odd(spark, odd, empty):
+@pytest.mark.parametrize("block", [D.BLOCK_BYTES, 0])
+def test_decontamination_odd(spark, odd, empty, block):
     none = spark.createDataFrame([], "item_id long, text string")
-    assert D.decontaminate(odd[0], none).where("found.n_hit > 0").count() == 0
-    bench = spark.createDataFrame([(1, "same text here"), (2, None)], "item_id long, text string")
-    out = D.decontaminate(odd[0], bench, keep=["doc_id"]).where("found.n_hit > 0").collect()
+    assert D.decontaminate(odd[0], none, block_bytes=block).where("found.n_hit > 0").count() == 0
+    bench = spark.createDataFrame([(1, "same text here"), (2, None), (2, "same text here")], "item_id long, text string")
+    out = D.decontaminate(odd[0], bench, keep=["doc_id"], block_bytes=block).where("found.n_hit > 0").collect()
     assert sorted(x.row.doc_id or 0 for x in out) == [0, 4, 5, 5] and {x.found.n_hit for x in out} == {3}
     assert D.decontaminate(empty, bench).count() == 0
 

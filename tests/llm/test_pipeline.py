@@ -50,7 +50,7 @@ def test_no_guard_in_the_pipeline():
         assert not re.search(r"except|find_spec", f.read())
 
 
-def odd_rows(spark, columns=("doc_id", "text", "lang", "source", "n_chars", "_row", "TEXT")):
+def odd_rows(spark, columns=("doc_id", "text", "lang", "source", "n_chars", "_row", "id")):
     long = " ".join(f"Word{i % 977}" for i in range(30_000))
     said = " ".join(f"say{i}" for i in range(40))
     texts = [(1, None), (2, ""), (3, "  \n"), (4, "123 456"), (5, long), (1, said), (1, said), (None, said), (2, said + " more"), (None, "alone without an id at all"), (None, "alone without an id at all"), (7, "alone without an id at all"), (8, "été à la plage"), (8, "another text of the same id"), (9, long)]
