@@ -6,7 +6,8 @@ until one is absent. The probability of a word after another is smoothed: the pa
 probability, over the first word's count plus MU. Pairs take the lower and contexts the upper end of a level, so a
 context's probabilities don't exceed 1 but for the filter's rare false positives.
 
-The filter lies in segments by n-gram hash, each built by one task from what all tasks counted; nothing is pruned. Up to
+The filter lies in segments by n-gram hash, one for about SEGMENT_TEXT bytes of text, each built by one task from what all
+tasks counted; nothing is pruned. Up to
 BROADCAST_BYTES all segments go to every worker. A larger filter stays where it is, and the probes go to it: the same
 segments, the same scores (score_routed).
 
@@ -37,6 +38,10 @@ HASHES = 4
 BITS = 8.0
 HEAD = 1 << 20
 BROADCAST_BYTES = 160 << 20
+#: Bytes of training text for each segment, about.
+SEGMENT_TEXT = 16 << 20
+#: Tokens that a task counts at most before it sends, so that a count fits four bytes.
+COUNTED = 1 << 31
 #: n-grams that a task holds before it merges and, beyond twice as many, sends them on.
 HELD = 2_000_000
 
@@ -84,9 +89,11 @@ def _places(keys: np.ndarray, level: int, size: np.ndarray | int) -> list[np.nda
     return [((((a + np.uint64(k) * step) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)).astype(np.int64) for k in range(HASHES)]
 
 
-def build_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
+def build_segment(keys: np.ndarray, counts: np.ndarray, bits_each: float = BITS) -> bytes:
     q = levels(counts)
-    size = min(max(64, int(math.ceil(BITS * q.sum()))), 1 << 32)
+    size = max(64, int(math.ceil(bits_each * q.sum())))
+    if size > 1 << 32:
+        raise OverflowError(f"a segment of {len(keys)} n-grams has more bits than its places reach")
     bits = np.zeros(-(-size // 8) * 8, bool)
     for level in range(1, int(q.max(initial=0)) + 1):
         for p in _places(keys[q >= level], level, size):
@@ -135,7 +142,7 @@ def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
 
     def run(batches):
         held: dict[int, list] = {WORDS: [], PAIRS: []}
-        size = {WORDS: 0, PAIRS: 0}
+        size, counted = {WORDS: 0, PAIRS: 0}, {WORDS: 0, PAIRS: 0}
 
         def merged(kind):
             k, c = _merge(np.concatenate([x for x, _ in held[kind]]), np.concatenate([y for _, y in held[kind]]))
@@ -146,13 +153,13 @@ def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
                 return
             merged(kind)
             k, c = held[kind].pop()
-            size[kind] = 0
-            cut = np.searchsorted(segment_of(k, segments), np.arange(segments + 1))
-            for lo in range(0, segments, 64):
-                rows = [(s, k[cut[s] : cut[s + 1]].tobytes(), np.minimum(c[cut[s] : cut[s + 1]], 0xFFFFFFFF).astype(np.uint32).tobytes()) for s in range(lo, min(segments, lo + 64)) if cut[s] < cut[s + 1]]
-                if rows:
-                    s_, k_, c_ = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array(s_, pa.int32()), pa.array(k_, pa.binary()), pa.array(c_, pa.binary())], names=["kind", "seg", "keys", "counts"])
+            size[kind] = counted[kind] = 0
+            own = segment_of(k, segments)
+            edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])).tolist()
+            for lo in range(0, len(edge) - 1, 64):
+                ends = list(zip(edge[lo : lo + 64], edge[lo + 1 : lo + 65], strict=False))
+                columns = [pa.array([kind] * len(ends), pa.int32()), pa.array([int(own[x]) for x, _ in ends], pa.int32()), pa.array([k[x:y].tobytes() for x, y in ends], pa.binary()), pa.array([c[x:y].astype(np.uint32).tobytes() for x, y in ends], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "seg", "keys", "counts"])
 
         for batch in batches:
             for lo, hi in slices(batch.column(0)):
@@ -160,9 +167,10 @@ def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
                 for kind, grams in ((WORDS, w), (PAIRS, pairs(w))):
                     held[kind].append(_merge(grams, np.ones(len(grams), np.int64)))
                     size[kind] += len(held[kind][-1][0])
-                    if size[kind] > HELD:
+                    counted[kind] += len(grams)
+                    if size[kind] > HELD or counted[kind] > COUNTED:
                         merged(kind)
-                        if size[kind] > HELD * 2 // 3:
+                        if size[kind] > HELD * 2 // 3 or counted[kind] > COUNTED:
                             yield from sent(kind)
         for kind in held:
             yield from sent(kind)
@@ -171,13 +179,16 @@ def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
     return texts.mapInArrow(run, "kind int, seg int, keys binary, counts binary")
 
 
-def _build(table: pa.Table) -> pa.Table:
-    kind, seg = table["kind"][0].as_py(), table["seg"][0].as_py()
-    keys, counts = _merge(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]]), np.concatenate([np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in table["counts"]]))
-    words = kind == WORDS
-    low = np.floor(GROWTH ** (levels(counts) - 1.0) + 1e-6)
-    row = {"kind": kind, "seg": seg, "n": len(keys), "total": int(counts.sum()), "low": float(low.sum()), "keys": keys.tobytes() if words else None, "counts": counts.tobytes() if words else None, "filter": build_segment(keys, counts)}
-    return pa.Table.from_pylist([row], schema=pa.schema([("kind", pa.int32()), ("seg", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("low", pa.float64()), ("keys", pa.binary()), ("counts", pa.binary()), ("filter", pa.binary())]))
+def _build(bits_each: float):
+    def build(table: pa.Table) -> pa.Table:
+        kind, seg = table["kind"][0].as_py(), table["seg"][0].as_py()
+        keys, counts = _merge(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]]), np.concatenate([np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in table["counts"]]))
+        words = kind == WORDS
+        low = np.floor(GROWTH ** (levels(counts) - 1.0) + 1e-6)
+        row = {"kind": kind, "seg": seg, "n": len(keys), "total": int(counts.sum()), "low": float(low.sum()), "keys": keys.tobytes() if words else None, "counts": counts.tobytes() if words else None, "filter": build_segment(keys, counts, bits_each)}
+        return pa.Table.from_pylist([row], schema=pa.schema([("kind", pa.int32()), ("seg", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("low", pa.float64()), ("keys", pa.binary()), ("counts", pa.binary()), ("filter", pa.binary())]))
+
+    return build
 
 
 @dataclass
@@ -203,19 +214,20 @@ class Model:
         """The filters for words and pairs, filled segment by segment, so that the driver holds them once."""
         sizes = {(r.kind, r.seg): r.n for r in self.segments.select("kind", "seg", F.octet_length("filter").alias("n")).collect()}
         out = [LogFilter({s: n for (k, s), n in sizes.items() if k == kind}, self.n_segments) for kind in (WORDS, PAIRS)]
-        for r in self.segments.select("kind", "seg", "filter").toLocalIterator():
+        for r in self.segments.select("kind", "seg", "filter").toLocalIterator(prefetchPartitions=False):
             out[r.kind - 1].fill(r.seg, r["filter"])
         return out
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
+def train(docs: DataFrame, text: str = "text", bits_each: float = BITS) -> Model:
+    """bits_each: of the filter for each event; more bits, fewer false positives."""
     docs = plain(docs)
     small_batches(docs.sparkSession)
-    parts = max(1, docs.rdd.getNumPartitions())
-    segments = 1 << max(4, min(16, (2 * parts - 1).bit_length()))
     raw = docs.select(F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
+    n_bytes = raw.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    segments = 1 << max(4, (n_bytes // SEGMENT_TEXT).bit_length())
     schema = "kind int, seg int, n long, total long, low double, keys binary, counts binary, filter binary"
-    built = stash(count_ngrams(raw, segments).groupBy("kind", "seg").applyInArrow(_build, schema), "filter")
+    built = stash(count_ngrams(raw, segments).groupBy("kind", "seg").applyInArrow(_build(bits_each), schema), "filter")
     sums = {r.kind: r for r in built.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("low").alias("low"), F.sum(F.octet_length("filter")).alias("size")).collect()}
     w = sums.get(WORDS)
     return Model(built, segments, w.total if w else 0, w.n if w else 0, w.low if w else 0.0, sum(r.size for r in sums.values()))

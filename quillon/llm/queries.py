@@ -35,10 +35,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    model = lm_score.train(docs.where(~held))
+    held = lambda i: F.coalesce(F.crc32(i.cast("string")) % 7 == 2, F.lit(False))
+    model = lm_score.train(docs.where(~held(F.col("doc_id"))))
     scored = lm_score.score(docs, model, keep=["doc_id"])
-    return scored.select("row.doc_id", F.crc32(F.col("row.doc_id").cast("string")) % 7 == 2, "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score").toDF("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("row.doc_id", held(F.col("row.doc_id")), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score").toDF("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,13 @@ Documents are linked through groups. Each document starts in a shard that its id
 of its group in the same one of CELLS cells; such a unit moves as one. In each round a group calls its units to the
 shards that hold most of it, as few as the quota allows; shards take no more than their quota, so of what wants to move
 from one shard to another a share is let through, group by group. Groups above a CELLS_PER_SHARD-th of a quota, of which there
-are no more than cells, are packed before all others, as whole as the quota allows. When nothing moves any more, rows without a link, and
+are no more than cells, are packed before all others, as whole as the quota allows. Where documents have links of other
+kinds, weighted edges, groups then go to the shards that most of their edges lead to, under the same quotas. When nothing moves any more, rows without a link, and
 rows beyond a shard's quota, fill the shards up until the counts are at most one apart.
 
 Defined results: a null text has no bytes and counts as equal to the empty text; repeated rows are documents of one group;
 an empty table has no shards. The driver sees counts by shard, by pairs of shards, and of large groups; broadcast are at most
-(shards + 1) * BUCKETS offsets.
+(shards + 1) * 2 ** 20 offsets, one for about ROWS_A_BUCKET rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .common import plain, stash, unstash
 SHARDS = 24
 CELLS_PER_SHARD = 8
 ROUNDS = 8
-BUCKETS = 4096
-ROWS_A_BUCKET = 256
+ROWS_A_BUCKET = 1 << 16
+LEAST_BUCKETS = 256
 
 
 def let_through(demand: dict[tuple[int, int], int], load: list[int], quota: int) -> dict[tuple[int, int], float]:
@@ -47,6 +48,10 @@ def let_through(demand: dict[tuple[int, int], int], load: list[int], quota: int)
                         part[k] *= room / into
         if not tight:
             break
+    else:  # what is let in at the last pass may still exceed a quota by what others then keep; scale all down to what fits without outflow
+        for (a, j), d in demand.items():
+            into = sum(part[k] * n for k, n in demand.items() if k[1] == j)
+            part[a, j] *= min(1.0, max(0.0, quota - load[j]) / into) if into else 0.0
     return part
 
 
@@ -100,14 +105,56 @@ def propagate(units: DataFrame, fixed: list[int], shards: int, quota: int, round
     return units
 
 
-def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """rows: id, g (group, binary) and any columns. Adds shard and slot (gapless from 0 in each shard); counts are at most one apart."""
+def attract(units: DataFrame, edges: DataFrame, fixed: DataFrame, load: list[int], shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
+    """units: g, cell, w, total, shard; stashed. edges: a, b (groups), w. fixed: g, shard, w of units that stay. load: their rows by shard.
+
+    In each round every group counts the weight of its edges into each shard, and wants to go where most of them lead if that
+    is more than where it is. Quotas let a share of each demand through; groups move whole. Odd and even groups take turns, so
+    that two neighbours don't swap places for ever."""
+    both = stash(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "edges")
+    for r in range(rounds):
+        now = list(load)
+        for row in units.groupBy("shard").agg(F.sum("w").alias("w")).collect():
+            now[row.shard] += row.w
+        homes = units.groupBy("g").agg(F.max(F.struct("w", "shard"))["shard"].alias("home"), F.sum("w").alias("size"))
+        where = homes.select(F.col("g").alias("b"), F.col("home").alias("shard")).unionByName(fixed.groupBy("g").agg(F.max(F.struct("w", "shard"))["shard"].alias("shard")).withColumnRenamed("g", "b"))
+        votes = both.join(where, "b").groupBy("a", "shard").agg(F.sum("w").alias("w")).withColumnRenamed("a", "g").join(homes, "g")
+        best = votes.groupBy("g", "home", "size").agg(F.max(F.struct("w", F.xxhash64("g", "shard").alias("h"), "shard")).alias("best"), F.sum(F.when(F.col("shard") == F.col("home"), F.col("w"))).alias("stay"))
+        turn = F.pmod(F.xxhash64("g"), F.lit(2)) == r % 2
+        moves = best.where(turn & (F.col("best.w") > F.coalesce("stay", F.lit(0)))).select("g", "home", "size", F.col("best.shard").alias("to"))
+        moves = stash(moves.where("to <> home"), "moves")
+        demand = {(d.home, d.to): d["size"] for d in moves.groupBy("home", "to").agg(F.sum("size").alias("size")).collect()}
+        if not demand:
+            unstash(moves)
+            if r % 2:
+                break
+            continue
+        shares = F.create_map(*[F.lit(x) for (a, b), p in let_through(demand, now, quota).items() for x in (a * shards + b, p)])
+        goes = F.pmod(F.xxhash64("g", F.lit(r + 101)), F.lit(1 << 30)) / float(1 << 30) < F.try_element_at(shares, F.col("home") * shards + F.col("to"))
+        new = stash(units.join(moves.where(goes).select("g", "to"), "g", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"), "units")
+        unstash(units, moves)
+        units = new
+    unstash(both)
+    return units
+
+
+def shard(rows: DataFrame, shards: int = SHARDS, edges: DataFrame | None = None) -> DataFrame:
+    """rows: id, g (group, binary) and any columns. Adds shard and slot (gapless from 0 in each shard); counts are at most one apart.
+
+    edges: a, b, ids of linked documents, and w, the weight. Ids that rows lack, and links within a group, count for nothing."""
     cells = shards * CELLS_PER_SHARD
     base = stash(rows.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int")), "base")
     n = base.count()
     quota = max(1, math.ceil(n / shards))
     units = base.groupBy("g", "cell").agg(F.count("*").alias("w")).withColumn("total", F.sum("w").over(Window.partitionBy("g")))
-    units = stash(units.where("total > 1"), "linked")
+    if edges is None:
+        units = stash(units.where("total > 1"), "linked")
+    else:
+        end = lambda name: base.select(F.col("id").alias(name), F.col("g").alias(f"g_{name}")).distinct()
+        known = edges.join(end("a"), "a").join(end("b"), "b").where(F.col("g_a") != F.col("g_b"))
+        edges = stash(known.groupBy(F.least("g_a", "g_b").alias("a"), F.greatest("g_a", "g_b").alias("b")).agg(F.sum("w").alias("w")), "edges")
+        ends = edges.select(F.col("a").alias("g")).unionByName(edges.select(F.col("b").alias("g"))).distinct().withColumn("linked", F.lit(True))
+        units = stash(units.join(ends, "g", "left").where("total > 1 or linked").drop("linked"), "linked")
     is_large = F.col("total") * CELLS_PER_SHARD > quota  # so there are at most `cells` of them
     large = [(bytes(x.g), x.total) for x in units.where(is_large).groupBy("g").agg(F.max("total").alias("total")).collect()]
     parts, room = pack(large, shards, quota)
@@ -119,8 +166,10 @@ def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         fixed[row.shard] = row.w
     start = F.get(F.array(*[F.lit(s) for s in cell_shards(room, cells)]), F.col("cell"))
     units = propagate(stash(units.where(~is_large).withColumn("shard", start), "units"), fixed, shards, quota)
+    if edges is not None:
+        units = attract(units, edges, placed_large.select("g", "shard", "w"), fixed, shards, quota)
     units = units.select("g", "cell", "w", "shard").unionByName(placed_large)
-    buckets = min(BUCKETS, max(1, n // ROWS_A_BUCKET))
+    buckets = min(1 << 20, max(LEAST_BUCKETS, n // ROWS_A_BUCKET))
     placed = base.join(units.select("g", "cell", "shard"), ["g", "cell"], "left").withColumn("kind", F.coalesce("shard", F.lit(-1))).drop("shard", "cell")
     placed = stash(placed.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(buckets)).cast("int")), "placed")
     counts = placed.groupBy("kind", "bucket").agg(F.count("*").alias("n"))
@@ -153,11 +202,11 @@ def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     return out.drop("kind", "bucket", "before", "rank", "p", "g")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id, size, text_crc32, law, shard, slot, grown_shard, and row: a struct of the columns keep. Equal texts are linked."""
+def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """id, size, text_crc32, law, shard, slot, grown_shard, and row: a struct of the columns keep. Equal texts are linked, and the documents a and b of edges by their weight w."""
     docs = plain(docs)
     raw = docs[f"`{text}`"].cast("string")
     row = [F.struct(*[docs[f"`{n}`"] for n in keep]).alias("row")] if keep else []
     whole = F.coalesce(raw, F.lit(""))
     rows = docs.select(docs[f"`{id_col}`"].alias("id"), (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.unhex(F.md5(whole)).alias("g"), *row)
-    return shard(rows, shards).select("id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *(["row"] if keep else []))
+    return shard(rows, shards, edges).select("id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *(["row"] if keep else []))

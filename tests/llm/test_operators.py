@@ -138,6 +138,32 @@ def test_sharding(spark, odd):
     assert {x.size for x in out if x.id in (1, 2)} == {8}
 
 
+def test_sharding_follows_edges(spark):
+    """Communities of linked documents: far fewer edges are cut than by hash or without edges, and counts stay even."""
+    r = random.Random(5)
+    n, size = 1200, 20
+    docs = table(spark, [(i, f"text {i if i % 7 else i // 14}", "en", "a") for i in range(n)])
+    team = r.sample(range(n), n)
+    edges = [(team[a], team[b], 1) for k in range(0, n, size) for _ in range(60) for a, b in [r.sample(range(k, k + size), 2)]] + [(r.randrange(n), r.randrange(n), 1) for _ in range(300)] + [(5, 99_999, 1)]
+    linked = spark.createDataFrame(edges, "a long, b long, w long")
+    cut = {}
+    for name, given in (("edges", linked), ("none", None)):
+        out = shard_documents(docs, shards=6, edges=given).collect()
+        check_shards(out, n, 6)
+        at = {x.id: x.shard for x in out}
+        cut[name] = sum(at[a] != at[b] for a, b, _ in edges if b in at)
+    by_hash = sum(zlib.crc32(str(a).encode()) % 6 != zlib.crc32(str(b).encode()) % 6 for a, b, _ in edges)
+    assert cut["edges"] < 0.6 * by_hash and cut["edges"] < 0.7 * cut["none"], (cut, by_hash)
+
+
+def test_sharding_repeats(spark):
+    """One id and one text a third of all rows; reruns agree."""
+    rows = [(1, "same", "en", "a")] * 100 + [(None, None, "en", "a")] * 30 + [(i, f"t{i % 50}", "en", "a") for i in range(170)]
+    out = [sorted(((x.id, x.size, x.shard, x.slot) for x in shard_documents(table(spark, rows).repartition(k), shards=4).collect()), key=str) for k in (1, 3)]
+    assert out[0] == out[1]
+    check_shards(shard_documents(table(spark, rows), shards=4).collect(), 300, 4)
+
+
 def test_quota_flow():
     part = let_through({(0, 1): 10, (2, 1): 10, (1, 0): 4}, [10, 10, 10], 12)
     assert 10 + 10 * part[0, 1] + 10 * part[2, 1] - 4 * part[1, 0] <= 12.6
@@ -177,6 +203,47 @@ def test_lm_scores(spark, sf_dir, odd):
     check_scores(odd[0].where("doc_id is not null"))
 
 
+def exact_scores(docs):
+    """log10 probabilities from exact counts of words and pairs, with the levels' ends but without a filter."""
+    one, two, n = Counter(), Counter(), lm_score.GROWTH
+    for i, t in docs:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            own = [None, *words(t), None]
+            one.update(own[1:])
+            two.update(zip(own, own[1:]))
+    level = lambda c: 1 + math.floor(math.log(c) / math.log(n) + 1e-9)
+    low = lambda c: math.floor(n ** (level(c) - 1) + 1e-6) if c else 0
+    up = lambda c: math.ceil(n ** level(c)) if c else 0
+    total, types = sum(map(low, one.values())), len(one)
+    out = []
+    for i, t in docs:
+        own, s = [None, *words(t), None], 0.0
+        for a, b in zip(own, own[1:]):
+            alone = (low(one[b]) + 1) / (total + types + 1)
+            s += math.log10(min(1.0, (min(low(two[a, b]), max(up(one[a]), 1)) + lm_score.MU * alone) / (up(one[a]) + lm_score.MU)))
+        out.append((i or -1, s, len(own) - 1))
+    return sorted(out)
+
+
+def test_lm_scores_equal_exact_counts(spark, sf_dir, odd):
+    """With many bits the filter's scores are those of exact counts; with its usual bits a token's score is off by little."""
+    for docs in (documents(spark, sf_dir), odd[0]):
+        train = docs.where("coalesce(crc32(cast(doc_id as string)) % 7, 0) <> 2")
+        expected = exact_scores(rows_of(docs))
+        for bits, near in ((512.0, 1e-7), (lm_score.BITS, 0.06)):
+            model = lm_score.train(train, bits_each=bits)
+            for routed in (lm_score.BROADCAST_BYTES, 0):
+                got = sorted((r.row.doc_id or -1, r.score, r.n_tokens) for r in lm_score.score(docs, model, ["doc_id"], broadcast_bytes=routed).collect())
+                off = [abs(a[1] - b[1]) / a[2] for a, b in zip(got, expected, strict=True)]
+                assert [(a[0], a[2]) for a in got] == [(b[0], b[2]) for b in expected] and sum(off) / len(off) <= near
+
+
+def test_lm_null_ids_are_trained_on(spark):
+    docs = spark.createDataFrame([(None, "a b a"), (None, None), (2, "a c")], "doc_id long, text string")
+    model = lm_score.train(docs.where("coalesce(crc32(cast(doc_id as string)) % 7, 0) <> 2"))
+    assert model.n_tokens >= 5
+
+
 def test_filter_levels_never_fall_short():
     import numpy as np
 
@@ -348,6 +415,53 @@ def test_language_sets_of_more_than_three(spark, many):
     assert got[2].langs == ["abcd"] and sorted(got[3].langs) == ["abcd", "efgh"]
 
 
+def plain_mixture(model, text):
+    """EM and the penalised choice for one text, language by language, without arrays of texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    buckets, first, _, _ = LI._trigrams(pa.array([text]))
+    log = model.word_scores(buckets, first).astype(float)
+    like = [[math.exp(x - max(row)) + 1e-30 for x in row] for row in log]
+    n = len(like)
+
+    def fit(mix, rounds):
+        for _ in range(rounds):
+            new = [0.0] * len(mix)
+            for row in like:
+                whole = sum(m * x for m, x in zip(mix, row))
+                for k, (m, x) in enumerate(zip(mix, row)):
+                    new[k] += m * x / whole / n
+            mix = new
+        return mix, sum(math.log(sum(m * x for m, x in zip(mix, row))) for row in like)
+
+    size = len(model.langs)
+    full, total = fit([1 / size] * size, LI.ROUNDS)
+    alone = [sum(math.log(row[k]) for row in like) for k in range(size)]
+    first_ = int(np.argmax(alone))
+    best, value = [float(k == first_) for k in range(size)], alone[first_]
+    order = sorted(range(size), key=lambda k: (-full[k], k))
+    for k in range(2, size + 1):
+        mix = [full[j] + 1e-6 if j in order[:k] else 0.0 for j in range(size)]
+        mix, reached = (full, total) if k == size else fit([m / sum(mix) for m in mix], LI.ROUNDS // 2)
+        if reached - 0.5 * (k - 1) * math.log(n) > value:
+            best, value = mix, reached - 0.5 * (k - 1) * math.log(n)
+    return {model.langs[k]: m for k, m in enumerate(best) if m > 0}
+
+
+def test_language_mixtures_equal_plain_em(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = LI.learn(docs)
+    texts = [r.text for r in docs.where("text is not null").limit(400).collect()][::9]
+    texts = [t for t in texts if any(c.isalpha() for c in t)][:30]
+    texts += [texts[k][:400] + " " + texts[k + 7][:400] for k in range(12)]
+    found = {r.row.doc_id: r.found for r in LI.language_id(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, keep=["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        expected = plain_mixture(model, t)
+        assert set(found[i].langs) == set(expected) and found[i].lang == max(expected, key=expected.get)
+        assert dict(zip(found[i].langs, found[i].shares)) == pytest.approx(expected, abs=1e-4)
+
+
 def test_language_odd(spark, odd, empty):
     model = LI.learn(odd[0])
     assert model.langs == ["en", "fr"]
