@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from .functions.codec import PRODUCT_BLOCK, TERM_BLOCK, front_decode, front_enco
 from .functions.text import tokens
 from .operators import gaps as G
 from .operators import lookup, rank
-from .plans.index import Index, build
-from .sources.reviews import from_conversations, from_documents
+from .plans.index import Index, build, delete, open_index, write
+from .session import shared_dir
+from .sources.reviews import from_conversations, from_documents, parse_reviews
 
 K = 10
 PLAIN = ["the", "of", "worthless"]
@@ -110,6 +112,55 @@ def lm_lambda_edges(ix: Index) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _raw_file(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as a folder of raw review files, in the shared folder: fields that are skipped, helpfulness unsorted, one line a text."""
+    d, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    stars = F.coalesce(F.when(F.col("quality") == 1, 5).when(F.col("quality") == 0, 2), 1 + F.col("doc_id") % 5)
+    text = F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ")
+    lines = F.concat(F.lit("product/productId: "), "source", F.lit("\nreview/userId: U"), "doc_id", F.lit("\nreview/helpfulness: "), F.col("doc_id") % 7, F.lit("/"), F.col("n_chars") % 11, F.lit("\nreview/score: "), stars, F.lit(".0\nreview/summary: skipped\nreview/text: "), text, F.lit("\n"))
+    path = f"{shared_dir(spark)}/quillon-raw-{uuid.uuid4().hex}"
+    d.join(labels, "doc_id", "left").repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(lines.alias("value")).write.text(path)
+    return path
+
+
+def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed again."""
+    parsed = parse_reviews(spark, _raw_file(spark, sf_dir))
+    return parsed.select("review_id", "product_id", "score", "helpful_num", "helpful_den", F.sha2("text", 256).alias("text_sha256"))
+
+
+def _raw_index(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{shared_dir(spark)}/quillon-index-{uuid.uuid4().hex}"
+    write(parse_reviews(spark, _raw_file(spark, sf_dir)), path)
+    return path
+
+
+def raw_index_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed, written, opened and read."""
+    ix = open_index(spark, _raw_index(spark, sf_dir))
+    return ix.reviews.select("review_id", "product_id", "score", "helpful_num", "helpful_den", F.col("length").cast("long").alias("length"))
+
+
+def raw_index_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon that the written postings add up to."""
+    ix = open_index(spark, _raw_index(spark, sf_dir))
+    sums = ix.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return ix.lexicon.select("term_id", "term").join(sums, "term").select("term_id", "term", "df", "cf")
+
+
+def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of an index, and whether one is there after it has been deleted."""
+    path = _raw_index(spark, sf_dir)
+    r = open_index(spark, path).stats.first()
+    delete(spark, path)
+    try:
+        open_index(spark, path)
+        there = True
+    except FileNotFoundError:
+        there = False
+    return spark.createDataFrame([(r.n_terms, r.n_reviews, r.n_tokens, there)], "n_terms long, n_reviews long, n_tokens long, there boolean")
+
+
 def _turns(f: Callable[[Index], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(build(from_conversations(spark, sf_dir)))
 
@@ -128,7 +179,9 @@ QUERIES: dict[str, Query] = {
     "corpus_stats": _over(lambda ix: ix.stats),
     "lexicon": _over(lambda ix: ix.lexicon),
     "products": _over(lambda ix: ix.products.select("product_ord", "product_id", "n_reviews")),
-    "product_reviews": _over(lambda ix: ix.products.select("product_id", F.array_join(F.transform("review_ids", lambda x: x.cast("string")), ",").alias("review_ids"))),
+    "product_reviews": _over(lambda ix: ix.product_reviews.groupBy("product_id").agg(F.array_sort(F.collect_list("review_id")).alias("ids")).select("product_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("review_ids"))),
+    "product_review_rows": _over(lambda ix: ix.product_reviews),
+    "product_reviews_lookup": _over(lambda ix: lookup.product_reviews(ix, "src3")),
     "product_review_counts": _over(lambda ix: ix.reviews.groupBy("product_id").agg(F.count("*").alias("n_reviews"))),
     "dgaps": _over(dgap_rows),
     "gap_prefix_sum": _over(gap_prefix_sum),
@@ -149,6 +202,10 @@ QUERIES: dict[str, Query] = {
     "lm_repeated_term": _over(_language(REPEATED, 0.3)),
     "product_search": _over(lambda ix: rank.product_search(ix, PLAIN, 5)),
     "product_search_exact_ratio": _over(lambda ix: rank.product_search(ix, PLAIN, 5, exact_ratio=True)),
+    "raw_reviews": raw_reviews,
+    "raw_index_reviews": raw_index_reviews,
+    "raw_index_lexicon": raw_index_lexicon,
+    "index_delete": index_delete,
     "conversation_postings": _turns(lambda ix: ix.postings),
     "conversation_lexicon": _turns(lambda ix: ix.lexicon),
     "conversation_vsm_topk": _turns(lambda ix: rank.vector_space(ix, PLAIN, K)),
@@ -160,6 +217,7 @@ reviews AS (
     CAST(coalesce(CASE l.quality WHEN 1 THEN 5 WHEN 0 THEN 2 END, 1 + d.doc_id % 5) AS INTEGER) AS score,
     CAST(least(d.doc_id % 7, d.n_chars % 11) AS INTEGER) AS helpful_num, CAST(greatest(d.doc_id % 7, d.n_chars % 11) AS INTEGER) AS helpful_den
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+_RAW = _DOCS.replace("d.doc_id + 1 AS review_id", "row_number() OVER (ORDER BY d.doc_id) AS review_id").replace("lower(d.text)", "lower(translate(coalesce(d.text, ''), chr(10) || chr(13), '  '))")
 _TURNS = """
 reviews AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS review_id, CAST(conv_id AS VARCHAR) AS product_id, lower(text) AS text FROM conversations)"""
 _INDEX = """,
@@ -192,9 +250,15 @@ norm AS (SELECT sqrt(sum(weight * weight)) AS norm FROM qw),
 unit AS (SELECT qw.*, CASE WHEN norm > 0 THEN weight / norm END AS unit FROM qw, norm)"""
 
 
+def _fold(value: str, order: str) -> str:
+    """The sum in a fixed order: scores that aren't rounded decide the ranks."""
+    return f"list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list(CAST({value} AS DOUBLE) ORDER BY {order})), lambda a, y: a + y)"
+
+
 def _vsm(words: Sequence[str], reviews: str = _DOCS) -> str:
     return f"""WITH {reviews}{_INDEX},{_query(words)}
-SELECT review_id, round(sum(coalesce((1 + log10(tf)) * unit, 0.0)), 9) AS score FROM postings JOIN unit ON postings.term = unit.term GROUP BY review_id ORDER BY score DESC, review_id LIMIT {K}"""
+SELECT review_id, round(raw, 9) AS score FROM (
+  SELECT review_id, {_fold("coalesce((1 + log10(tf)) * unit, 0.0)", "unit.term")} AS raw FROM postings JOIN unit ON postings.term = unit.term GROUP BY review_id ORDER BY raw DESC, review_id LIMIT {K})"""
 
 
 def _lm(words: Sequence[str], lam: float, k: int) -> str:
@@ -211,9 +275,10 @@ _LOG = "CASE WHEN score > 0 THEN round(log10(score), 7) END AS log_score"
 def _products(exact: bool) -> str:
     q = (lambda a, b: f"CAST({a} AS DOUBLE) / {b}") if exact else (lambda a, b: f"floor({a} / {b})")
     return f"""WITH {_DOCS}{_INDEX}
-SELECT r.product_id, round(sum(0.5 * {q('r.score', '5')} + 0.3 * CASE WHEN helpful_den > 0 THEN helpful_num / helpful_den ELSE 0 END + 0.2 * {q('p.n_reviews', 's.n_reviews')}), 9) AS score
-FROM {_lm(PLAIN, 0.5, 20)} b JOIN reviews r ON r.review_id = b.review_id JOIN products p ON p.product_id = r.product_id, stats s
-GROUP BY r.product_id ORDER BY score DESC, r.product_id LIMIT 5"""
+SELECT product_id, round(raw, 9) AS score FROM (
+  SELECT r.product_id, {_fold(f"0.5 * {q('r.score', '5')} + 0.3 * CASE WHEN helpful_den > 0 THEN helpful_num / helpful_den ELSE 0 END + 0.2 * {q('p.n_reviews', 's.n_reviews')}", "r.review_id")} AS raw
+  FROM {_lm(PLAIN, 0.5, 20)} b JOIN reviews r ON r.review_id = b.review_id JOIN products p ON p.product_id = r.product_id, stats s
+  GROUP BY r.product_id ORDER BY raw DESC, r.product_id LIMIT 5)"""
 
 
 def _select(body: str, reviews: str = _DOCS) -> str:
@@ -243,6 +308,8 @@ SQL: dict[str, str] = {
     "lexicon": _select("SELECT term_id, term, df, cf FROM lexicon"),
     "products": _select("SELECT product_ord, product_id, n_reviews FROM products"),
     "product_reviews": _select("SELECT product_id, array_to_string(review_ids, ',') AS review_ids FROM products"),
+    "product_review_rows": _select("SELECT product_id, review_id FROM reviews"),
+    "product_reviews_lookup": _select("SELECT review_id FROM reviews WHERE product_id = 'src3'"),
     "product_review_counts": _select("SELECT product_id, count(*) AS n_reviews FROM reviews GROUP BY product_id"),
     "dgaps": _select("SELECT term, review_id, gap FROM gaps"),
     "gap_prefix_sum": _select("SELECT term, row_number() OVER (PARTITION BY term ORDER BY review_id) - 1 AS seq, review_id FROM postings"),
@@ -263,6 +330,10 @@ SQL: dict[str, str] = {
     "lm_repeated_term": _select(f"SELECT review_id, {_LOG} FROM {_lm(REPEATED, 0.3, K)}"),
     "product_search": _products(False),
     "product_search_exact_ratio": _products(True),
+    "raw_reviews": _select("SELECT review_id, product_id, score, helpful_num, helpful_den, sha256(text) AS text_sha256 FROM reviews", _RAW),
+    "raw_index_reviews": _select("SELECT r.review_id, product_id, score, helpful_num, helpful_den, CAST(length AS BIGINT) AS length FROM reviews r JOIN lengths l ON l.review_id = r.review_id", _RAW),
+    "raw_index_lexicon": _select("SELECT term_id, term, df, cf FROM lexicon", _RAW),
+    "index_delete": _select("SELECT n_terms, n_reviews, n_tokens, false AS there FROM stats", _RAW),
     "conversation_postings": _select("SELECT term, review_id, tf FROM postings", _TURNS),
     "conversation_lexicon": _select("SELECT term_id, term, df, cf FROM lexicon", _TURNS),
     "conversation_vsm_topk": _vsm(PLAIN, _TURNS),

@@ -7,15 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNK = 1 << 16
+BUCKETS = 1 << 16
+
+
+def _chunked(postings: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """term, review_id, chunk: of ids for terms in more than chunk reviews (and those that share a hash bucket with one), else 0; and the rows of the former alone. At most BUCKETS numbers are broadcast."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")
+    many = postings.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select(bucket).distinct().withColumn("many", F.lit(True))
+    rows = postings.select("term", "review_id", bucket).join(F.broadcast(many), "bucket", "left").drop("bucket")
+    rows = rows.withColumn("chunk", F.when(F.col("many"), F.floor(F.col("review_id") / chunk)).otherwise(F.lit(0)))
+    return rows.drop("many"), rows.where("many").drop("many")
 
 
 def gaps(postings: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """term, review_id, gap: to the review before, or to 0."""
-    rows = postings.select("term", "review_id", F.floor(F.col("review_id") / chunk).alias("chunk"))
-    ends = rows.groupBy("term", "chunk").agg(F.max("review_id").alias("end"))
-    last = F.coalesce(F.lag("end").over(Window.partitionBy("term").orderBy("chunk")), F.lit(0))
+    rows, many = _chunked(postings, chunk)
+    ends = many.groupBy("term", "chunk").agg(F.max("review_id").alias("end"))
+    last = ends.select("term", "chunk", F.lag("end").over(Window.partitionBy("term").orderBy("chunk")).alias("last"))
     inside = F.lag("review_id").over(Window.partitionBy("term", "chunk").orderBy("review_id"))
-    return rows.join(ends.select("term", "chunk", last.alias("last")), ["term", "chunk"]).select("term", "review_id", (F.col("review_id") - F.coalesce(inside, "last")).cast("long").alias("gap"))
+    return rows.withColumn("before", inside).join(last, ["term", "chunk"], "left").select("term", "review_id", (F.col("review_id") - F.coalesce("before", "last", F.lit(0))).cast("long").alias("gap"))
 
 
 def ids(gapped: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -48,12 +48,12 @@ def query_weights(index: Index, query: Sequence[str]) -> DataFrame:
 
 
 def vector_space(index: Index, query: Sequence[str], k: int) -> DataFrame:
-    """R1, lnn.ltc: review_id, score (9 decimals), the k best; with a norm of 0 scores are 0 and ids decide."""
+    """R1, lnn.ltc: review_id, score (9 decimals), the k best by the score before it is rounded; with a norm of 0 scores are 0 and ids decide."""
     weights = F.broadcast(query_weights(index, query).select("term", "unit"))
     parts = query_postings(index, query).join(weights, "term").select("review_id", "term", ((1 + F.log10("tf")) * F.col("unit")).alias("x"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("term", "x"))), lambda s: F.coalesce(s["x"], F.lit(0.0)))
-    scored = parts.groupBy("review_id").agg(F.round(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x), 9).alias("score"))
-    return scored.orderBy(F.desc("score"), "review_id").limit(k)
+    scored = parts.groupBy("review_id").agg(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x).alias("score"))
+    return scored.orderBy(F.desc("score"), "review_id").limit(k).select("review_id", F.round("score", 9).alias("score"))
 
 
 def _language_scores(index: Index, query: Sequence[str], lam: float) -> DataFrame:
@@ -86,5 +86,5 @@ def product_search(index: Index, query: Sequence[str], k: int, exact_ratio: bool
     helpful = F.when(den > 0, num / den).otherwise(F.lit(0.0))
     score = F.lit(SCORE_PART) * quotient("score", F.lit(5)) + F.lit(HELPFUL_PART) * helpful + F.lit(COUNT_PART) * quotient("n_reviews", F.col("n_all"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("review_id", F.coalesce(score, F.lit(0.0)).alias("x")))), lambda s: s["x"])
-    total = rows.groupBy("product_id").agg(F.round(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x), 9).alias("score"))
-    return total.orderBy(F.desc("score"), "product_id").limit(k)
+    total = rows.groupBy("product_id").agg(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x).alias("score"))
+    return total.orderBy(F.desc("score"), "product_id").limit(k).select("product_id", F.round("score", 9).alias("score"))

@@ -1,4 +1,4 @@
-"""The index: reviews, postings, lexicon, products and stats, as DataFrames over other DataFrames or over Parquet."""
+"""The index: reviews, postings, lexicon, products, their reviews and stats, as DataFrames over other DataFrames or over Parquet."""
 
 from __future__ import annotations
 
@@ -19,13 +19,18 @@ class Index:
     reviews: DataFrame  # review_id, product_id, score, helpful_num, helpful_den, length, text
     postings: DataFrame  # term, review_id, tf
     lexicon: DataFrame  # term_id, term, df, cf
-    products: DataFrame  # product_ord, product_id, review_ids, n_reviews
+    products: DataFrame  # product_ord, product_id, n_reviews
+    product_reviews: DataFrame  # product_id, review_id
     stats: DataFrame  # n_terms, n_reviews, n_tokens
 
 
 def postings_of(reviews: DataFrame) -> DataFrame:
-    """A1, A2: all occurrences of a (term, review) are in one task, so what is shuffled are the postings."""
-    return reviews.select("review_id", F.explode(tokens("text")).alias("term")).groupBy("term", "review_id").agg(F.count("*").alias("tf"))
+    """A1, A2: all occurrences of a (term, review) are in one row, so they are counted there, as runs of the sorted tokens: nothing is shuffled."""
+    rows = reviews.select("review_id", F.array_sort(tokens("text")).alias("s")).where(F.size("s") > 0)
+    heads = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", F.greatest(i - 1, F.lit(0)))))
+    rows = rows.withColumn("at", heads)
+    runs = F.transform("at", lambda p, k: F.struct(F.get("s", p).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("s")) - p).cast("long").alias("tf")))
+    return rows.select("review_id", F.inline(runs)).select("term", "review_id", "tf")
 
 
 def lexicon_of(postings: DataFrame) -> DataFrame:
@@ -34,9 +39,14 @@ def lexicon_of(postings: DataFrame) -> DataFrame:
 
 
 def products_of(reviews: DataFrame) -> DataFrame:
-    """A10, A11. A product's list of reviews is one row, as in every look-up."""
-    lists = reviews.where("product_id is not null").groupBy("product_id").agg(F.array_sort(F.collect_set("review_id")).alias("review_ids")).withColumn("n_reviews", F.size("review_ids").cast("long"))
-    return with_ordinal(lists, "product_id", "product_ord").select("product_ord", "product_id", "review_ids", "n_reviews")
+    """Counts alone; partial sums meet, whatever a product's share of the reviews."""
+    counts = product_reviews_of(reviews).groupBy("product_id").agg(F.count("*").alias("n_reviews"))
+    return with_ordinal(counts, "product_id", "product_ord").select("product_ord", "product_id", "n_reviews")
+
+
+def product_reviews_of(reviews: DataFrame) -> DataFrame:
+    """A10: a row for each review of a product, so that no list is ever held."""
+    return reviews.where("product_id is not null").select("product_id", "review_id")
 
 
 def stats_of(reviews: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -46,11 +56,11 @@ def stats_of(reviews: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def build(reviews: DataFrame) -> Index:
-    """The five tables as lazy plans over reviews."""
+    """The six tables as lazy plans over reviews; review_id tells the rows apart."""
     with_length = reviews.withColumn("length", F.size(tokens("text"))).select("review_id", "product_id", "score", "helpful_num", "helpful_den", "length", "text")
     postings = postings_of(with_length)
     lexicon = lexicon_of(postings)
-    return Index(with_length, postings, lexicon, products_of(with_length), stats_of(with_length, lexicon))
+    return Index(with_length, postings, lexicon, products_of(with_length), product_reviews_of(with_length), stats_of(with_length, lexicon))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -59,7 +69,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write(reviews: DataFrame, directory: str) -> Index:
-    """Writes all tables beside the directory and renames once all are there, so no partial index is ever seen. Tables are
+    """Writes all six tables beside the directory and renames once all are there, so no partial index is ever seen. Tables are
     built from those written before, so the text is cut into tokens once for postings and once for lengths."""
     spark = reviews.sparkSession
     fs, target = _fs(spark, directory)
@@ -75,6 +85,7 @@ def write(reviews: DataFrame, directory: str) -> Index:
     r = put(lazy.reviews.repartitionByRange("review_id").sortWithinPartitions("review_id"), "reviews")
     p = put(postings_of(r).repartitionByRange("term", "review_id").sortWithinPartitions("term", "review_id"), "postings")
     x = put(lexicon_of(p).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
+    put(product_reviews_of(r).repartitionByRange("product_id", "review_id").sortWithinPartitions("product_id", "review_id"), "product_reviews")
     put(products_of(r).repartitionByRange("product_id").sortWithinPartitions("product_id"), "products")
     put(stats_of(r, x), "stats")
     fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{beside}/{MARK}")).close()

@@ -33,7 +33,7 @@ def test_common_prefix(spark):
 def test_front_coding_round_trip(spark):
     r = random.Random(3)
     words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(500)})
-    df = with_ordinal(spark.createDataFrame([(w,) for w in words], "term string"), "term", "id", width=2)
+    df = with_ordinal(spark.createDataFrame([(w,) for w in words], "term string"), "term", "id", split=3)
     df = df.withColumn("block", F.floor(F.col("id") / 6)).withColumn("before", F.lag("term").over(Window.partitionBy("block").orderBy("id")))
     prefix, rest = front_encode(F.col("id"), F.col("term"), F.col("before"), 6)
     coded = df.select("block", "id", prefix.alias("prefix"), rest.alias("rest")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "prefix", "rest"))).alias("c"))

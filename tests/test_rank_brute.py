@@ -37,7 +37,7 @@ def test_vector_space(corpus, query):
     w = {t: (1 + math.log10(n)) * (math.log10(len(words) / df[t]) if df[t] else 0) for t, n in q.items()}
     norm = math.sqrt(sum(x * x for x in w.values()))
     scores = {i: sum((1 + math.log10(c[t])) * w[t] / norm for t in sorted(q) if c[t]) for i, c in tfs.items() if any(c[t] for t in q)}
-    best = sorted(((round(s, 9), i) for i, s in scores.items()), key=lambda x: (-x[0], x[1]))[:10]
+    best = sorted(((s, i) for i, s in scores.items()), key=lambda x: (-x[0], x[1]))[:10]
     got = vector_space(index, query, 10).collect()
     assert [r.review_id for r in got] == [i for _, i in best]
     assert [r.score for r in got] == pytest.approx([s for s, _ in best], abs=2e-9)
@@ -74,5 +74,5 @@ def test_product_search(corpus, query):
     for i, _ in sorted(language(corpus, query, 0.5)[:12]):
         r = rows[i]
         total[r.product_id] += 0.5 * (r.score // 5) + 0.3 * (r.helpful_num / r.helpful_den if r.helpful_den else 0) + 0.2 * (per[r.product_id] // len(rows))
-    best = sorted(((p, round(s, 9)) for p, s in total.items()), key=lambda x: (-x[1], x[0]))[:3]
+    best = [(p, round(s, 9)) for p, s in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:3]]
     assert [tuple(r) for r in product_search(index, query, 3).collect()] == best
