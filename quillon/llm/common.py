@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
+
 #: Bytes of text that a kernel sees at once; a longer text comes alone.
 SLICE_BYTES = 1 << 18
 #: Bytes of a batch of rows that goes to Python at once.
@@ -22,15 +23,6 @@ BATCH = "4m"
 PICK_BITS = 26
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the cluster names none."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = getattr(spark, "_quillon_dir", None) or tempfile.mkdtemp(prefix="quillon-")
-        spark._quillon_dir = known
-    return known
-
-
 def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quillon/{spark.sparkContext.applicationId}"
 
@@ -49,15 +41,40 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, and survives lost executors."""
     path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
+    _stashed(df.sparkSession).append(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._quillon_path = path
     return back
 
 
+def _stashed(spark: SparkSession) -> list[str]:
+    """Paths of the stashed tables that are still there, in order."""
+    if not hasattr(spark, "_quillon_stashed"):
+        spark._quillon_stashed = []
+    return spark._quillon_stashed
+
+
 def unstash(*frames: DataFrame) -> None:
     """Deletes stashed tables that no later plan reads."""
     for df in frames:
-        _delete(df.sparkSession, df._quillon_path)
+        _drop(df.sparkSession, [df._quillon_path])
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    held = _stashed(spark)
+    for path in paths:
+        _delete(spark, path)
+        if path in held:
+            held.remove(path)
+
+
+def last_of(spark: SparkSession, make: Callable[[], DataFrame], label: str, *before: DataFrame) -> DataFrame:
+    """What make() returns, stashed; all that was stashed on the way, and the stashed tables before, are deleted."""
+    held = len(_stashed(spark))
+    out = stash(make(), label)
+    _drop(spark, [p for p in _stashed(spark)[held:] if p != out._quillon_path])
+    unstash(*before)
+    return out
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -111,3 +111,14 @@ def test_sharding_stage_odd(spark, odd_docs, sf_dir):
 def test_empty_stages(spark, odd_docs, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd_docs.limit(0), sf_dir).count() == 0, name
+
+
+def test_run_leaves_the_last_stage_alone(spark, sf_dir):
+    """Of the tables on the way only what the result reads is left."""
+    from quillon.llm import common
+
+    held = len(common._stashed(spark))
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() > 0
+    left = common._stashed(spark)[held:]
+    assert sum("mixing" in p for p in left) == 1 and not any(n in p for p in left for n in ("language_id", "near_duplicates", "decontamination", "sketch", "lambdas"))
