@@ -7,6 +7,7 @@ mentions. OTHER holds rules that stand alone. A space in a rule is one word boun
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 ANY = r"[^ ~]+"
@@ -154,6 +155,46 @@ OTHER = [
 ]
 
 
+#: What most rules can't match without, whatever their other words.
+STEM = "licen"
+
+
+def _group_end(text: str, at: int) -> int:
+    depth = 0
+    for k in range(at, len(text)):
+        if text[k - 1] != "\\":
+            depth += (text[k] == "(") - (text[k] == ")")
+        if not depth:
+            return k
+    raise ValueError(text)
+
+
+def always_has(text: str, word: str = STEM) -> bool:
+    """Whether every match of a rule's text contains the word: each alternative does, outside of what may be left out."""
+    runs, group, run, k = [], False, "", 0  # of one alternative: its literal runs, and whether a group of it always has the word
+    while k < len(text):
+        c = text[k]
+        if c == "|":
+            if not (group or word in "\n".join([*runs, run])):
+                return False
+            runs, group, run = [], False, ""
+        elif c == "\\":
+            runs, run, k = [*runs, run], "", k + 1
+        elif c in "([":
+            end = _group_end(text, k) if c == "(" else text.index("]", k)
+            may_lack = text[end + 1 : end + 2] in ("?", "*") or text[end + 1 :].startswith("{0")
+            group = group or c == "(" and not may_lack and always_has(text[k + 3 : end], word)
+            runs, run, k = [*runs, run], "", end
+        elif text[k + 1 : k + 2] in ("?", "*"):
+            runs, run = [*runs, run], ""
+        elif c in "?*+{}":
+            runs, run = [*runs, run], ""
+        else:
+            run += c
+        k += 1
+    return group or word in "\n".join([*runs, run])
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -161,9 +202,22 @@ class Rule:
     priority: int
     keyword: str
     text: str
+    also: str  # what a match contains besides, or nothing
+
+
+def _also(keyword: str, text: str) -> str:
+    """STEM, or else the longest word that isn't the keyword, if every match has one."""
+    if always_has(text):
+        return STEM
+    words = {w for w in re.findall("[a-z0-9]{4,}", text) if always_has(text, w) and w not in keyword.strip(" ~").split("|")}
+    return max(sorted(words), key=len, default="")
+
+
+def _rule(label: str, kind: str, priority: int, keyword: str, text: str) -> Rule:
+    return Rule(label, kind, priority, keyword, text, _also(keyword, text))
 
 
 def rules() -> list[Rule]:
-    out = [Rule(f.label, kind, p, f.keyword, text) for kind, p, make in TEMPLATES for f in FAMILIES if (text := make(f))]
-    out += [Rule(label, "other", p, keyword, text) for label, p, keyword, text in OTHER]
+    out = [_rule(f.label, kind, p, f.keyword, text) for kind, p, make in TEMPLATES for f in FAMILIES if (text := make(f))]
+    out += [_rule(label, "other", p, keyword, text) for label, p, keyword, text in OTHER]
     return sorted(out, key=lambda r: (r.priority, r.label, r.kind))

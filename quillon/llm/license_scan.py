@@ -1,6 +1,7 @@
 """License scans with ordered signature rules, in built-in expressions only.
 
-A text goes on if it has a keyword of some rule or the first word of a base phrase. Its words are joined, each with its number, so that a match tells where
+A text goes on if it has a keyword of some rule, and what else all matches of that rule contain (license_rules.always_has), or
+the like of a base phrase. Its words are joined, each with its number, so that a match tells where
 it begins and ends: `mit~4 license~5`. Of some hundred rules (license_rules) those whose keyword the text contains are
 matched. A detection is suppressed if one of the same or a stronger priority covers its words; with equal words the
 stronger one, then the first rule, stays. Labels of the detections that stay are joined by those of the base phrases,
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, plain
-from .license_rules import Rule, rules
+from .license_rules import STEM, Rule, rules
 
 #: (label, phrase) that are found at every place.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
@@ -38,23 +39,32 @@ def pattern(text: str) -> str:
     return f"(?<= )(?:{text.replace(' ?', '(?: )?').replace(' ', _NUMBER + ' ')}){_NUMBER}(?= )"
 
 
-def keywords(table: list[Rule]) -> list[str]:
-    """Of which any text with a detection or a base phrase contains one when its words are numbered."""
-    return sorted({k for r in table for k in r.keyword.split("|")} | {f" {phrase.split()[0]}~" for _, phrase in BASE})
+def keywords(table: list[Rule]) -> dict[str, list[str]]:
+    """By what a match has besides: keywords of which any text with a detection or a base phrase contains one when its words are numbered."""
+    out: dict[str, set[str]] = {}
+    for r in table:
+        out.setdefault(r.also, set()).update(r.keyword.split("|"))
+    for _, phrase in BASE:
+        out.setdefault(STEM if STEM in phrase else "", set()).add(f" {phrase.split()[0]}~")
+    return {also: sorted(keys) for also, keys in out.items()}
 
 
-#: The keywords without word boundaries, as the rules have them.
-GATE = tuple(sorted({k.strip(" ~") for k in keywords(rules())}))
+def _any(lower: Column, keys: list[str]) -> Column:
+    """Whether the raw text in lower case has one of the keywords, each of which is within one word."""
+    inside = {k for k in keys if k == k.strip(" ~")}
+    loose = [k for k in sorted(inside) if not any(x in k for x in inside - {k})]
+    whole = sorted({k.strip(" ~") for k in keys} - inside)
+    edge = WORD[:-1].replace("[^", "[")
+    tests = [F.contains(lower, F.lit(k)) for k in loose] + [F.contains(lower, F.lit(k)) & lower.rlike(f"(?:^|{edge}){k}(?:$|{edge})") for k in whole]
+    return reduce(or_, tests)
 
 
 def _gate(lower: Column, table: list[Rule]) -> Column:
-    """Whether the raw text in lower case has one of the keywords, each of which is within one word."""
-    inside = {k for k in keywords(table) if k == k.strip(" ~")}
-    whole = {k.strip(" ~") for k in keywords(table)} - inside
-    loose = [F.contains(lower, F.lit(k)) for k in sorted(inside) if not any(x in k for x in inside - {k})]
-    edge = WORD[:-1].replace("[^", "[")
-    alone = [F.contains(lower, F.lit(k)) & lower.rlike(f"(?:^|{edge}){k}(?:$|{edge})") for k in sorted(whole)]
-    return reduce(or_, [*loose, *alone])
+    """Whether any rule or base phrase can match: a keyword of a rule is there, and with it what else the rule needs."""
+    tests = []
+    for also, keys in sorted(keywords(table).items()):
+        tests.append(F.contains(lower, F.lit(also)) & _any(lower, keys) if also else _any(lower, keys))
+    return reduce(or_, reversed(tests))
 
 
 def _numbered(text: Column) -> Column:
@@ -71,12 +81,12 @@ def _last(match: Column) -> Column:
 
 
 def _detections(numbered: Column, table: list[Rule]) -> Column:
-    groups: dict[str, list] = {}
+    groups: dict[tuple[str, str], list] = {}
     for k, r in enumerate(table):
-        groups.setdefault(r.keyword, []).append({"regex": pattern(r.text), "label": r.label, "priority": r.priority, "rule": k})
-    spelled = [{"keywords": words.split("|"), "rules": own} for words, own in groups.items()]
-    listed = F.from_json(F.lit(json.dumps(spelled)), "array<struct<keywords:array<string>,rules:array<struct<regex:string,label:string,priority:int,rule:int>>>>")  # folded to a constant
-    tried = F.flatten(F.transform(F.filter(listed, lambda g: F.exists(g["keywords"], lambda k: F.contains(numbered, k))), lambda g: g["rules"]))
+        groups.setdefault((r.keyword, r.also), []).append({"regex": pattern(r.text), "label": r.label, "priority": r.priority, "rule": k})
+    spelled = [{"keywords": words.split("|"), "also": also, "rules": own} for (words, also), own in groups.items()]
+    listed = F.from_json(F.lit(json.dumps(spelled)), "array<struct<keywords:array<string>,also:string,rules:array<struct<regex:string,label:string,priority:int,rule:int>>>>")  # folded to a constant
+    tried = F.flatten(F.transform(F.filter(listed, lambda g: F.contains(numbered, g["also"]) & F.exists(g["keywords"], lambda k: F.contains(numbered, k))), lambda g: g["rules"]))
 
     def found(r: Column) -> Column:
         return F.transform(F.regexp_extract_all(numbered, r["regex"], F.lit(0)), lambda m: F.struct(_first(m).alias("first"), (-_last(m)).alias("last"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))
