@@ -127,10 +127,105 @@ FROM t GROUP BY conv_id
 """
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1, what SQL can say."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+LICENSE_BASE_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM_RE}') AS ws FROM documents),
+p AS (SELECT doc_id, ws, list_filter(range(1, len(ws)), lambda i: ws[i] = 'mit' AND ws[i + 1] = 'license') AS mit,
+  list_filter(range(1, len(ws)), lambda i: ws[i] = 'apache' AND ws[i + 1] = 'license') AS apache,
+  list_filter(range(1, len(ws) - 1), lambda i: ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license') AS gpl FROM w),
+a AS (SELECT *, list_concat(mit, list_concat(apache, gpl)) AS every FROM p)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(every) AS BIGINT) AS n_base, CAST(list_min(every) - 1 AS BIGINT) AS first_word, CAST(list_max(every) - 1 AS BIGINT) AS last_word,
+  array_to_string(list_filter([CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels
+FROM a
+"""
+
+
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2, what its law says of each shard: rows, and slots from 0 without a gap."""
+    out = op2_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.count_distinct("slot").alias("slots"))
+    return out.select(F.col("shard").cast("long").alias("shard"), "n", "low", "high", "slots")
+
+
+SHARD_COUNTS_SQL = """
+WITH n AS (SELECT count(*) AS n FROM documents), s AS (SELECT unnest(range(0, 24)) AS shard),
+c AS (SELECT CAST(shard AS BIGINT) AS shard, CAST(n // 24 + CASE WHEN shard < n % 24 THEN 1 ELSE 0 END AS BIGINT) AS n FROM s, n)
+SELECT shard, n, CAST(0 AS BIGINT) AS low, n - 1 AS high, n AS slots FROM c WHERE n > 0
+"""
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_sharding(spark, sf_dir).select("doc_id", "size", "law", "grown_shard")
+
+
+SHARD_SIZES_SQL = "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, 'rows' AS law, CAST(NULL AS INTEGER) AS grown_shard FROM documents"
+
+
+def _crc32(digits: str) -> str:
+    """DuckDB's SQL for the CRC-32 of a string of ASCII characters: a fold over its bytes, eight shifts after each."""
+    steps = f"flatten(list_transform(string_split({digits}, ''), lambda ch: list_prepend(CAST(ascii(ch) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1])))"
+    fold = f"list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda c, x: CASE WHEN x < 0 THEN xor(c >> 1, (c & 1) * 3988292384) ELSE xor(c, x) END)"
+    return f"xor({fold}, 4294967295)"
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op3, what SQL can say."""
+    return op3_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
+LM_BASE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 2, false) AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPACED_RE}'), '') AS ws FROM documents),
+t AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / CAST(n + v + 1 AS DOUBLE))), 5) AS base_score
+FROM t LEFT JOIN c ON t.w = c.w, n GROUP BY doc_id, held_out, n, v
+"""
+
+
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4, what SQL can say."""
+    return op4_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+TOKEN_BYTES_SQL = "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents"
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op5, what SQL can say."""
+    return op5_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("taken") <= 2 * F.col("size")).alias("bounded"))
+
+
+MIX_TARGETS_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{SPACED_RE}')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS weight FROM d GROUP BY source),
+r AS (SELECT *, 2.0 * source_size AS cap, sum(source_size) OVER () * 1.5 AS words, sum(weight) OVER () AS weights FROM s),
+o AS (SELECT *, coalesce(sum(cap) OVER before, 0) AS full_cap, coalesce(sum(weight) OVER before, 0) AS full_weight FROM r WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, cap / weight <= (words - full_cap) / (weights - full_weight) AS stops FROM o),
+l AS (SELECT (max(words) - coalesce(sum(cap) FILTER (stops), 0)) / nullif(max(weights) - coalesce(sum(weight) FILTER (stops), 0), 0) AS level FROM f)
+SELECT doc_id, size, source_size, round(CAST(CASE WHEN stops THEN cap ELSE weight * level END AS DOUBLE), 4) AS target, true AS bounded
+FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source, l
+"""
+
+
+def language_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op6, what SQL can say."""
+    return op6_language_id(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("und"))
+
+
+LANGUAGE_SPLIT_SQL = f"""SELECT doc_id, coalesce({_crc32("CAST(doc_id AS VARCHAR)")} % 4 = 2, false) AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS und FROM documents"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_license_scan, op2_sharding, op3_lm_scoring, op4_token_counts, op5_mixing, op6_language_id, op7_ngram_join, op8_decontamination, op9_exact_dedup, op10_chat_format)
+    own += (license_base, shard_counts, shard_sizes, lm_base, token_bytes, mix_targets, language_split)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_join": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op7_ngram_join": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL} | {
+        "license_base": LICENSE_BASE_SQL, "shard_counts": SHARD_COUNTS_SQL, "shard_sizes": SHARD_SIZES_SQL, "lm_base": LM_BASE_SQL, "token_bytes": TOKEN_BYTES_SQL, "mix_targets": MIX_TARGETS_SQL, "language_split": LANGUAGE_SPLIT_SQL,
+    }

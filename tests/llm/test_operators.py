@@ -760,4 +760,5 @@ def test_queries_equal_sql(spark, sf_dir, name):
     df = Q.queries()[name](spark, sf_dir)
     cursor = con.execute(Q.oracle_sql()[name])
     at = [[c[0] for c in cursor.description].index(c) for c in df.columns]
-    assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in cursor.fetchall())
+    got, expected = sorted((tuple(r) for r in df.collect()), key=repr), sorted((tuple(r[i] for i in at) for r in cursor.fetchall()), key=repr)
+    assert got == expected and len(got) > 0
