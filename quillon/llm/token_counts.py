@@ -38,8 +38,16 @@ _LETTER, _NUMBER = r"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"0-9\xb2\xb
 WORD = re.compile(rf"[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 
 
+#: The normalizers and the words' pattern of the vocabulary that PLAIN and WORD speak for.
+SHORT_WAY = ({"NFC", "Replace", "Lowercase"}, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _parts(stage: dict | None, key: str) -> list[dict]:
+    return [] if stage is None else stage[key] if stage["type"] == "Sequence" else [stage]
+
+
 class PrefixCounter:
-    """Counts for one tokenizer file of the library `tokenizers` with a model that encodes words alone."""
+    """Counts for one tokenizer file of the library `tokenizers`: BPE over bytes that encodes words alone. Others are refused by name."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,6 +56,11 @@ class PrefixCounter:
         self.path, self.tokenizer, self.store = path, Tokenizer.from_file(path), {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        cuts, model = _parts(spec["pre_tokenizer"], "pretokenizers"), spec["model"]
+        if model.get("type", "BPE") != "BPE" or model.get("byte_fallback") or model.get("dropout") or not any(c["type"] == "ByteLevel" and not c["add_prefix_space"] for c in cuts):
+            raise ValueError(f"{path} is no byte-level BPE whose words are encoded alone")
+        patterns = [c["pattern"].get("Regex") for c in cuts if c["type"] == "Split"]
+        self.short = ({n["type"] for n in _parts(spec["normalizer"], "normalizers")}, *patterns) == SHORT_WAY
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
@@ -60,10 +73,10 @@ class PrefixCounter:
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special strings, as the library would encode each."""
-        if PLAIN.fullmatch(text):
+        if self.short and PLAIN.fullmatch(text):
             return WORD.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
         t = self.tokenizer
-        return [text_of(w) for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))]
+        return [text_of(w) for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text) if t.normalizer else text)]
 
     def _learn(self, words: set[str]) -> None:
         new = list(words - self.store.keys())
@@ -127,16 +140,16 @@ class PrefixCounter:
         marked = "".join(byte[x] for x in word.encode())
         last, n_open, n_ended = [""], [0], [0]
         for i in range(1, len(marked) + 1):
-            for suffix, counts in (("", n_open), (self.suffix, n_ended)):
+            for suffix in dict.fromkeys(("", self.suffix)):
                 found = None
                 for j in range(max(0, i - self.longest), i):
                     t = marked[j:i] + suffix
                     if last[j] is not None and t in self.vocab and self.apart(last[j], t):
                         found = (t, n_open[j] + 1)
                         break
-                if suffix or not self.suffix:
-                    n_ended.append(found[1]) if suffix else None
-                if not suffix:
+                if suffix:
+                    n_ended.append(found[1])
+                else:
                     last.append(found[0] if found else None)
                     n_open.append(found[1] if found else 1 << 30)
         counts = n_ended if self.suffix else n_open

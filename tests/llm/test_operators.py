@@ -283,6 +283,28 @@ def test_token_counts_equal_the_library(counter, spark, sf_dir, odd):
     assert sorted((r.row.doc_id or 0, r.found.n_tokens) for r in found) == sorted((i or 0, library(counter, t or "")) for i, t, *_ in odd[1])
 
 
+def test_token_counts_of_another_vocabulary(spark, sf_dir, tmp_path):
+    """Spaces belong to words there, and there is no normalizer."""
+    import json
+
+    import public_tokenizers
+
+    other = PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ODD_TEXTS + ["  two  spaces \n\n x", "\t\ttab 's", "12345 67"] + [t for _, t in rows_of(documents(spark, sf_dir))][:120]
+    assert [int(t[-1]) for t in other.prefix_counts(texts)] == [library(other, t) for t in texts]
+    found = token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "byte_bpe_50k.json", limit=50, keep=["doc_id"]).collect()
+    assert sorted((r.row.doc_id, r.found.n_tokens) for r in found) == [(i, library(other, t)) for i, t in enumerate(texts)]
+    words_ = {w for t in texts[:40] for w in other.words(t)}
+    for w in sorted(words_)[:80]:
+        assert other.word_prefix_counts(w) == [library(other, w[:k]) for k in range(len(w) + 1)], w
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        PrefixCounter(str(tmp_path / "other.json"))
+
+
 def test_every_prefix_of_a_word(counter, spark, sf_dir):
     r = random.Random(2)
     some = r.sample([w for _, t in rows_of(documents(spark, sf_dir))[:50] for w in counter.words(t)], 60) + ["'re", "'ll", "'s", "!!!???", "日本語", "ééé"]
