@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:
-    return (
+def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8, shared: str | None = None) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("quillon")
         .config("spark.driver.memory", memory)
@@ -16,8 +16,8 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
