@@ -1,7 +1,7 @@
 """Exact deduplication by deterministic block naming.
 
-A text is cut into blocks of BLOCK bytes. Distinct blocks are sorted and numbered; then adjacent pairs of numbers are
-sorted and numbered, again and again, until each text has one number. Equal numbers mean equal bytes: no hash decides
+A text is cut into blocks of BLOCK bytes. Distinct blocks are sorted, in parts by hash, and numbered; then adjacent pairs of
+numbers are sorted and numbered, again and again, until each text has one number, the same however rows are dealt. Equal numbers mean equal bytes: no hash decides
 that two texts are equal. A length and a hash serve only to prove texts different: a row that is alone with its length
 and hash has no copy and isn't cut. The rows that aren't alone are found by a set of at most 2 ** BUCKET_BITS hash
 buckets, which is what is broadcast.
@@ -18,17 +18,21 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import plain, stash, unstash
 
 BLOCK = 8192
 BUCKET_BITS = 18
+NAME_PARTS = 1 << 20
 KEY = ["id", "n", "h"]
 
 
 def _names(values: DataFrame, label: str) -> DataFrame:
-    """Distinct rows with an integer each: partitioned by value, sorted, and numbered, so that no value goes to the driver."""
-    return stash(values.distinct().sortWithinPartitions(*values.columns).withColumn("name", F.monotonically_increasing_id()), label)
+    """Distinct rows with an integer each that the rows alone decide: their hash's part of NAME_PARTS, and their place in it when it is sorted."""
+    part = F.pmod(F.xxhash64(*values.columns), F.lit(NAME_PARTS))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*values.columns)).cast("long")
+    return stash(values.distinct().withColumn("part", part).withColumn("name", F.shiftleft("part", 40) + rank).drop("part"), label)
 
 
 def _blocks(raw: Column, n: Column, block: int) -> Column:

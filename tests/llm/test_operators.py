@@ -701,6 +701,16 @@ def test_exact_dedup(spark, block, odd):
         assert (got[i].keep_id, got[i].group_size, got[i].kept, got[i].text_sha256) == (max(same), len(same), i == max(same), hashlib.sha256((t or "").encode()).hexdigest())
 
 
+def test_block_names_are_the_datas_own(spark):
+    from quillon.llm.exact_dedup import block_names
+
+    r = random.Random(9)
+    rows = [(i, "".join(r.choice("ab") for _ in range(r.randint(0, 12)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "id long, t string").selectExpr("id", "octet_length(t) n", "xxhash64(t) h", "cast(t as binary) raw").selectExpr("id", "cast(n as long) n", "h", "raw")
+    names = [{x.id: x.name for x in block_names(docs.repartition(k), block=3).collect()} for k in (1, 5)]
+    assert names[0] == names[1] and len({(len(t), names[0][i]) for i, t in rows}) == len({t for _, t in rows})
+
+
 def test_exact_dedup_odd(odd, empty):
     got = sorted((x.id or 0, x.keep_id, x.group_size, x.kept) for x in exact_dedup(odd[0]).collect())
     assert got == sorted([(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (4, 5, 4, False), (5, 5, 4, True), (5, 5, 4, True), (0, 5, 4, False), (6, 6, 1, True), (7, 7, 1, True), (8, 8, 1, True)])
