@@ -26,7 +26,7 @@ class Index:
 
 def postings_of(reviews: DataFrame) -> DataFrame:
     """A1, A2: all occurrences of a (term, review) are in one row, so they are counted there, as runs of the sorted tokens: nothing is shuffled."""
-    rows = reviews.select("review_id", F.array_sort(tokens("text")).alias("s")).where(F.size("s") > 0)
+    rows = reviews.select("review_id", F.sort_array(tokens("text")).alias("s")).where(F.size("s") > 0)
     heads = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", F.greatest(i - 1, F.lit(0)))))
     rows = rows.withColumn("at", heads)
     runs = F.transform("at", lambda p, k: F.struct(F.get("s", p).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("s")) - p).cast("long").alias("tf")))
