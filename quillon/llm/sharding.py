@@ -9,8 +9,8 @@ kinds, weighted edges, groups then go to the shards that most of their edges lea
 rows beyond a shard's quota, fill the shards up until the counts are at most one apart.
 
 Defined results: a null text has no bytes and counts as equal to the empty text; repeated rows are documents of one group;
-an empty table has no shards. The driver sees counts by shard, by pairs of shards, and of large groups; broadcast are at most
-(shards + 1) * 2 ** 20 offsets, one for about ROWS_A_BUCKET rows.
+an empty table has no shards. The driver sees counts by shard, by pairs of shards, and of large groups; broadcast are the
+places of large groups, a few for each cell. Offsets, one for about ROWS_A_BUCKET rows, are joined.
 """
 
 from __future__ import annotations
@@ -192,7 +192,7 @@ def shard(rows: DataFrame, shards: int = SHARDS, edges: DataFrame | None = None)
         ends.append(at)
     at_kind = lambda values: F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col("kind"))
     rank = F.row_number().over(Window.partitionBy("kind", "bucket").orderBy("id", "g")) - 1 + F.col("before")
-    out = placed.join(F.broadcast(offsets.drop("n")), ["kind", "bucket"]).withColumn("rank", rank)
+    out = placed.join(offsets.drop("n"), ["kind", "bucket"]).withColumn("rank", rank)
     stays = (F.col("kind") >= 0) & (F.col("rank") < at_kind(kept))
     out = out.withColumn("p", F.when(F.col("kind") >= 0, at_kind(lead) + F.col("rank") - at_kind(kept)).otherwise(F.col("rank") + first_free))
     free = sum((F.col("p") >= e).cast("int") for e in ends)
