@@ -33,9 +33,19 @@ def postings_of(reviews: DataFrame) -> DataFrame:
     return rows.select("review_id", F.inline(runs)).select("term", "review_id", "tf")
 
 
-def lexicon_of(postings: DataFrame) -> DataFrame:
-    """A3, A4, W1."""
-    return with_ordinal(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "term", "term_id").select("term_id", "term", "df", "cf")
+def terms_of(postings: DataFrame) -> DataFrame:
+    """A3, A4."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def lexicon_of(terms: DataFrame) -> DataFrame:
+    """W1."""
+    return with_ordinal(terms, "term", "term_id").select("term_id", "term", "df", "cf")
+
+
+def with_length(reviews: DataFrame) -> DataFrame:
+    """A8."""
+    return reviews.withColumn("length", F.size(tokens("text"))).select("review_id", "product_id", "score", "helpful_num", "helpful_den", "length", "text")
 
 
 def products_of(reviews: DataFrame) -> DataFrame:
@@ -57,10 +67,10 @@ def stats_of(reviews: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def build(reviews: DataFrame) -> Index:
     """The six tables as lazy plans over reviews; review_id tells the rows apart."""
-    with_length = reviews.withColumn("length", F.size(tokens("text"))).select("review_id", "product_id", "score", "helpful_num", "helpful_den", "length", "text")
-    postings = postings_of(with_length)
-    lexicon = lexicon_of(postings)
-    return Index(with_length, postings, lexicon, products_of(with_length), product_reviews_of(with_length), stats_of(with_length, lexicon))
+    r = with_length(reviews)
+    postings = postings_of(r)
+    lexicon = lexicon_of(terms_of(postings))
+    return Index(r, postings, lexicon, products_of(r), product_reviews_of(r), stats_of(r, lexicon))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -70,7 +80,7 @@ def _fs(spark: SparkSession, path: str):
 
 def write(reviews: DataFrame, directory: str) -> Index:
     """Writes all six tables beside the directory and renames once all are there, so no partial index is ever seen. Tables are
-    built from those written before, so the text is cut into tokens once for postings and once for lengths."""
+    built from those written before, and what is dealt by ranges, which reads its input twice, is made cheap to read first."""
     spark = reviews.sparkSession
     fs, target = _fs(spark, directory)
     if fs.exists(target):
@@ -81,10 +91,11 @@ def write(reviews: DataFrame, directory: str) -> Index:
         df.write.parquet(f"{beside}/{name}")
         return spark.read.parquet(f"{beside}/{name}")
 
-    lazy = build(reviews)
-    r = put(lazy.reviews.repartitionByRange("review_id").sortWithinPartitions("review_id"), "reviews")
+    r = put(with_length(reviews.repartitionByRange("review_id").sortWithinPartitions("review_id")), "reviews")
     p = put(postings_of(r).repartitionByRange("term", "review_id").sortWithinPartitions("term", "review_id"), "postings")
-    x = put(lexicon_of(p).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
+    terms = put(terms_of(p), "terms")
+    x = put(lexicon_of(terms).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{beside}/terms"), True)
     put(product_reviews_of(r).repartitionByRange("product_id", "review_id").sortWithinPartitions("product_id", "review_id"), "product_reviews")
     put(products_of(r).repartitionByRange("product_id").sortWithinPartitions("product_id"), "products")
     put(stats_of(r, x), "stats")
