@@ -11,6 +11,8 @@ from .chat_format import END, TEXT, TURN, chat_format, read_back
 from .common import documents, stash
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
+from .history import SPAN, history
 from . import lm_score
 from .language_id import held_out, language_id, learn
 from .license_scan import license_scan, summary
@@ -18,6 +20,7 @@ from .mixing import mix, sized
 from .ngram_join import Alike, ngram_join
 from .sharding import shard_documents
 from .token_counts import token_counts
+from .topk_search import top_k
 
 #: \x00-\x7F but for digits and a-z, for RE2.
 ALNUM_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -127,6 +130,72 @@ FROM t GROUP BY conv_id
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", moved.alias("label"))
+    found = hard_negatives(rows, F.col("id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+_VECTORS_SQL = """
+r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+_PRODUCT_SQL = "CAST(coalesce(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT)"
+
+OP11_SQL = f"""
+WITH {_VECTORS_SQL},
+x AS (SELECT * FROM r WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, {_PRODUCT_SQL} AS score FROM x a JOIN x b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0, k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP12_SQL = f"""
+WITH {_VECTORS_SQL},
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {_PRODUCT_SQL} AS score FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+def document_changes(docs: DataFrame) -> DataFrame:
+    """Two changes of every document: concerned, kind, since, until, value, and what they arrive by: h, doc_id, j."""
+    digest = F.substring(F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("j").cast("string")), 256), 1, 12)
+    rows = docs.where("doc_id is not null").select("doc_id", "source", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
+    rows = rows.withColumn("h", F.conv(digest, 16, 10).cast("long"))
+    kind, since = F.floor(F.col("h") / 1000) % 10, F.col("h") % 60
+    named = F.when(kind < 2, "delete").when(kind < 5, "correction").otherwise("update")
+    return rows.select((F.col("doc_id") - F.col("doc_id") % 10).alias("concerned"), named.alias("kind"), since.alias("since"), F.when(kind.between(2, 4), since + 10).alias("until"), F.col("source").alias("value"), "h", "doc_id", "j")
+
+
+def op13_dimension_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = document_changes(documents(spark, sf_dir).select("doc_id", "source"))
+    return history(changes, key="concerned", arrival=("h", "doc_id", "j"), span=SPAN).withColumnRenamed("key", "doc_id")
+
+
+OP13_SQL = """
+WITH j AS (SELECT doc_id, source, unnest([0, 1]) AS j FROM documents WHERE doc_id IS NOT NULL),
+h AS (SELECT *, CAST(concat('0x', substr(sha256(CAST(doc_id AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 12)) AS BIGINT) AS h FROM j),
+c AS (SELECT doc_id - doc_id % 10 AS key, row_number() OVER (ORDER BY h, doc_id, j) AS arrived, h % 60 AS since, (h // 1000) % 10 AS kind, source FROM h),
+days AS (SELECT key, unnest(range(0, 71)) AS day FROM (SELECT DISTINCT key FROM c)),
+fixed AS (SELECT d.key, day, max(arrived) AS arrived FROM days d JOIN c ON c.key = d.key AND kind BETWEEN 2 AND 4 AND day >= since AND day < since + 10 GROUP BY d.key, day),
+base AS (SELECT d.key, day, max_by(arrived, (since, arrived)) AS arrived FROM days d JOIN c ON c.key = d.key AND kind NOT BETWEEN 2 AND 4 AND day >= since GROUP BY d.key, day),
+state AS (SELECT d.key, d.day, c.source AS value, kind >= 2 AS present FROM days d LEFT JOIN fixed USING (key, day) LEFT JOIN base ON base.key = d.key AND base.day = d.day
+  LEFT JOIN c ON c.arrived = coalesce(fixed.arrived, base.arrived)),
+held AS (SELECT key, day, value, day - row_number() OVER (PARTITION BY key, value ORDER BY day) AS island FROM state WHERE present),
+runs AS (SELECT key, value, min(day) AS valid_from, max(day) + 1 AS ends FROM held GROUP BY key, value, island)
+SELECT key AS doc_id, CAST(row_number() OVER (PARTITION BY key ORDER BY valid_from) AS INTEGER) AS version, valid_from, CASE WHEN ends <= 70 THEN ends END AS valid_to, value FROM runs
+"""
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op1, what SQL can say."""
     return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -220,12 +289,12 @@ LANGUAGE_SPLIT_SQL = f"""SELECT doc_id, coalesce({_crc32("CAST(doc_id AS VARCHAR
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_sharding, op3_lm_scoring, op4_token_counts, op5_mixing, op6_language_id, op7_ngram_join, op8_decontamination, op9_exact_dedup, op10_chat_format)
+    own = (op1_license_scan, op2_sharding, op3_lm_scoring, op4_token_counts, op5_mixing, op6_language_id, op7_ngram_join, op8_decontamination, op9_exact_dedup, op10_chat_format, op11_hard_negatives, op12_topk_search, op13_dimension_history)
     own += (license_base, shard_counts, shard_sizes, lm_base, token_bytes, mix_targets, language_split)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_join": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL} | {
+    return {"op7_ngram_join": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_topk_search": OP12_SQL, "op13_dimension_history": OP13_SQL} | {
         "license_base": LICENSE_BASE_SQL, "shard_counts": SHARD_COUNTS_SQL, "shard_sizes": SHARD_SIZES_SQL, "lm_base": LM_BASE_SQL, "token_bytes": TOKEN_BYTES_SQL, "mix_targets": MIX_TARGETS_SQL, "language_split": LANGUAGE_SPLIT_SQL,
     }
