@@ -80,7 +80,7 @@ _ARROW = {"int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa
 def cells(asked: Blocks, held: Blocks, answer: Callable[[dict, dict], Iterator[dict]], schema: str) -> DataFrame:
     """answer(block of queries, block of classes) for each pair of blocks; rows of schema."""
     cell = F.col("a") * held.n + F.col("b")
-    many = max(1, min(asked.n * held.n, 1 << 15))
+    many = max(1, min(4 * asked.n * held.n, 1 << 15))  # so that few cells meet in a task
     other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
     left = asked.rows.select(F.struct(*asked.rows.columns).alias("asked"), F.col("block").cast("long").alias("a"), other(held.n).alias("b"))
     right = held.rows.select(F.struct(*held.rows.columns).alias("held"), F.col("block").cast("long").alias("b"), other(asked.n).alias("a"))
