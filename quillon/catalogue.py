@@ -35,6 +35,40 @@ def _over(f: Callable[[Index], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(_index(spark, sf_dir))
 
 
+#: Review ids of a chunk in the indices that queries write: few, so that searches have ranges to skip in small tables, too.
+NARROW = 32
+
+
+def _new_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that Hadoop deletes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/quillon-{kind}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def _once(spark: SparkSession, key: tuple[str, str], write_to: Callable[[str], object]) -> str:
+    """The path that write_to has written in this session for key; written again if it has gone."""
+    if not hasattr(spark, "_quillon_written"):
+        spark._quillon_written = {}
+    path = spark._quillon_written.get(key)
+    p = path and spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p or not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        path = _new_path(spark, key[0])
+        write_to(path)
+        spark._quillon_written[key] = path
+    return path
+
+
+def _stored(f: Callable[[Index], DataFrame]) -> Query:
+    """f over an index of the documents that is written and opened again."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(open_index(spark, _once(spark, ("index", sf_dir), lambda path: write(from_documents(spark, sf_dir), path, NARROW))))
+
+    return query
+
+
 def review_lookup(ix: Index) -> DataFrame:
     return ix.reviews.where(F.col("review_id").isin(IDS) & (F.col("review_id") >= 1)).select("review_id", "product_id", "score", "helpful_num", "helpful_den", "length")
 
@@ -44,13 +78,24 @@ def token_rows(ix: Index) -> DataFrame:
 
 
 def dgap_rows(ix: Index) -> DataFrame:
-    return G.gaps(ix.postings)
+    return G.gaps(ix.chunks)
 
 
 def gap_prefix_sum(ix: Index) -> DataFrame:
-    """Gaps, then ids again from gaps and places alone."""
-    with_gap = G.gaps(ix.postings).join(G.positions(ix.postings), ["term", "review_id"])
-    return G.ids(with_gap.select("term", "seq", "gap")).select("term", "seq", "review_id")
+    """Gaps, then ids again from gaps and what stands before a chunk alone."""
+    return G.ids(G.gap_lists(ix.chunks)).select("term", "seq", "review_id")
+
+
+def posting_list_array(ix: Index) -> DataFrame:
+    """Whole lists of a few terms as text, put together from their chunks."""
+    parts = lookup.posting_lists(ix, SEEN).select("term", "chunk", F.array_join(F.transform("list", lambda x: x.cast("string")), ",").alias("part"))
+    return parts.groupBy("term").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), ",").alias("list"))
+
+
+def posting_chunks(ix: Index) -> DataFrame:
+    """Every list in chunks with what skips and enters them."""
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return ix.chunks.select("term", "chunk", "first_id", "last_id", "n", "cf", "max_tf", F.col("min_length").cast("long").alias("min_length"), F.round("max_ratio", 12).alias("max_ratio"), "before", "previous", joined("ids").alias("ids"), joined("tfs").alias("tfs"))
 
 
 def gamma_codes(ix: Index) -> DataFrame:
@@ -58,7 +103,7 @@ def gamma_codes(ix: Index) -> DataFrame:
 
 
 def gamma_roundtrip(ix: Index) -> DataFrame:
-    coded = G.gaps(ix.postings).select("term", "review_id", gamma_encode(F.col("gap")).alias("code"))
+    coded = G.gaps(ix.chunks).select("term", "review_id", gamma_encode(F.col("gap")).alias("code"))
     return coded.groupBy(gamma_decode(F.col("code")).alias("gap")).agg(F.count("*").alias("n"), F.max(F.length("code")).cast("long").alias("bits"))
 
 
@@ -112,15 +157,39 @@ def lm_lambda_edges(ix: Index) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _raw_file(spark: SparkSession, sf_dir: str) -> str:
-    """The documents as a folder of raw review files, in the shared folder: fields that are skipped, helpfulness unsorted, one line a text."""
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, text on one line, stars, num, den; what raw files are made of."""
     d, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     stars = F.coalesce(F.when(F.col("quality") == 1, 5).when(F.col("quality") == 0, 2), 1 + F.col("doc_id") % 5)
     text = F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ")
-    lines = F.concat(F.lit("product/productId: "), "source", F.lit("\nreview/userId: U"), "doc_id", F.lit("\nreview/helpfulness: "), F.col("doc_id") % 7, F.lit("/"), F.col("n_chars") % 11, F.lit("\nreview/score: "), stars, F.lit(".0\nreview/summary: skipped\nreview/text: "), text, F.lit("\n"))
-    path = f"{shared_dir(spark)}/quillon-raw-{uuid.uuid4().hex}"
-    d.join(labels, "doc_id", "left").repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(lines.alias("value")).write.text(path)
-    return path
+    return d.join(labels, "doc_id", "left").select("doc_id", "source", text.alias("text"), stars.alias("stars"), (F.col("doc_id") % 7).alias("num"), (F.col("n_chars") % 11).alias("den"))
+
+
+def _raw_file(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as a folder of raw review files, in the shared folder: fields that are skipped, helpfulness unsorted, one line a text."""
+    lines = F.concat(F.lit("product/productId: "), "source", F.lit("\nreview/userId: U"), "doc_id", F.lit("\nreview/helpfulness: "), "num", F.lit("/"), "den", F.lit("\nreview/score: "), "stars", F.lit(".0\nreview/summary: skipped\nreview/text: "), "text", F.lit("\n"))
+    rows = lambda: _labelled(spark, sf_dir).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(lines.alias("value"))
+    return _once(spark, ("raw", sf_dir), lambda path: rows().write.text(path))
+
+
+def raw_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1, X3, X4 where records are broken: by id, a field is missing, malformed, without a value or there twice, or lines end with both signs."""
+    case = F.col("doc_id") % 8
+    fields = [
+        F.concat(F.lit("product/productId: "), "source"),
+        F.when(case != 1, F.concat(F.lit("review/helpfulness: "), F.when(case == 2, F.lit("two/3")).when(case == 3, F.lit("4")).otherwise(F.concat("num", F.lit("/"), "den")))),
+        F.when(case == 4, F.lit("review/helpfulness: 1/1")),
+        F.when(case != 5, F.concat(F.lit("review/score: "), F.when(case == 6, F.lit("good")).otherwise(F.concat("stars", F.lit(".0"))))),
+        F.lit("anything else: 1"),
+        F.when(case == 7, F.lit("review/text:")).when(case != 3, F.concat(F.lit("review/text: "), "text")),
+        F.when(case == 4, F.lit("review/text: a second text")),
+        F.lit("product: no record begins here"),
+    ]
+    end = F.when(F.col("doc_id") % 3 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
+    value = F.concat(F.array_join(F.array_compact(F.array(*fields)), "\u0001"), F.lit("\u0001"))
+    rows = lambda: _labelled(spark, sf_dir).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.replace(value, F.lit("\u0001"), end).alias("value"))
+    path = _once(spark, ("broken", sf_dir), lambda path: rows().write.option("lineSep", "\n").text(path))
+    return parse_reviews(spark, path).select("review_id", "product_id", "score", "helpful_num", "helpful_den", F.sha2("text", 256).alias("text_sha256"))
 
 
 def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,9 +199,7 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw_index(spark: SparkSession, sf_dir: str) -> str:
-    path = f"{shared_dir(spark)}/quillon-index-{uuid.uuid4().hex}"
-    write(parse_reviews(spark, _raw_file(spark, sf_dir)), path)
-    return path
+    return _once(spark, ("raw-index", sf_dir), lambda path: write(parse_reviews(spark, _raw_file(spark, sf_dir)), path))
 
 
 def raw_index_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +217,8 @@ def raw_index_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of an index, and whether one is there after it has been deleted."""
-    path = _raw_index(spark, sf_dir)
-    r = open_index(spark, path).stats.first()
+    path = _new_path(spark, "deleted")
+    r = write(parse_reviews(spark, _raw_file(spark, sf_dir)), path).stats.first()
     delete(spark, path)
     try:
         open_index(spark, path)
@@ -166,14 +233,15 @@ def _turns(f: Callable[[Index], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
-    "review_lookup": _over(review_lookup),
+    "review_lookup": _stored(review_lookup),
     "review_lengths": _over(lambda ix: ix.reviews.select("review_id", F.col("length").cast("long").alias("length"))),
     "product_of_review": _over(lambda ix: ix.reviews.select("review_id", "product_id")),
     "helpfulness_normalized": _over(lambda ix: ix.reviews.select("review_id", "score", "helpful_num", "helpful_den")),
     "tokens": _over(token_rows),
     "postings": _over(lambda ix: ix.postings),
-    "posting_list_array": _over(lambda ix: lookup.posting_lists(ix, SEEN).select("term", F.array_join(F.transform("list", lambda x: x.cast("string")), ",").alias("list"))),
-    "posting_lookup": _over(lambda ix: lookup.postings(ix, "The").select("review_id", "tf")),
+    "posting_list_array": _stored(posting_list_array),
+    "posting_chunks": _stored(posting_chunks),
+    "posting_lookup": _stored(lambda ix: lookup.postings(ix, "The").select("review_id", "tf")),
     "token_frequency": _over(lambda ix: ix.lexicon.select("term", "df")),
     "token_collection_frequency": _over(lambda ix: ix.lexicon.select("term", "cf")),
     "corpus_stats": _over(lambda ix: ix.stats),
@@ -181,28 +249,29 @@ QUERIES: dict[str, Query] = {
     "products": _over(lambda ix: ix.products.select("product_ord", "product_id", "n_reviews")),
     "product_reviews": _over(lambda ix: ix.product_reviews.groupBy("product_id").agg(F.array_sort(F.collect_list("review_id")).alias("ids")).select("product_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("review_ids"))),
     "product_review_rows": _over(lambda ix: ix.product_reviews),
-    "product_reviews_lookup": _over(lambda ix: lookup.product_reviews(ix, "src3")),
+    "product_reviews_lookup": _stored(lambda ix: lookup.product_reviews(ix, "src3")),
     "product_review_counts": _over(lambda ix: ix.reviews.groupBy("product_id").agg(F.count("*").alias("n_reviews"))),
-    "dgaps": _over(dgap_rows),
-    "gap_prefix_sum": _over(gap_prefix_sum),
+    "dgaps": _stored(dgap_rows),
+    "gap_prefix_sum": _stored(gap_prefix_sum),
     "gamma_codes": _over(gamma_codes),
-    "gamma_roundtrip": _over(gamma_roundtrip),
+    "gamma_roundtrip": _stored(gamma_roundtrip),
     "front_coding": _over(front_coding),
     "front_decoding": _over(front_decoding),
     "product_front_coding": _over(product_front_coding),
     "lexicon_blocks": _over(lexicon_blocks),
-    "candidates": _over(lambda ix: rank.candidates(ix, ["anly", "worthless", "notaword"])),
-    "query_weights": _over(_weights),
-    "vsm_topk": _over(lambda ix: rank.vector_space(ix, PLAIN, K)),
-    "vsm_duplicate_terms": _over(lambda ix: rank.vector_space(ix, REPEATED, K)),
+    "candidates": _stored(lambda ix: rank.candidates(ix, ["anly", "worthless", "notaword"])),
+    "query_weights": _stored(_weights),
+    "vsm_topk": _stored(lambda ix: rank.vector_space(ix, PLAIN, K)),
+    "vsm_duplicate_terms": _stored(lambda ix: rank.vector_space(ix, REPEATED, K)),
     "vsm_zero_norm": vsm_zero_norm,
-    "lm_topk": _over(_language(PLAIN, 0.5)),
-    "lm_lambda_edges": _over(lm_lambda_edges),
-    "lm_unknown_term": _over(_language(UNKNOWN, 0.5)),
-    "lm_repeated_term": _over(_language(REPEATED, 0.3)),
-    "product_search": _over(lambda ix: rank.product_search(ix, PLAIN, 5)),
-    "product_search_exact_ratio": _over(lambda ix: rank.product_search(ix, PLAIN, 5, exact_ratio=True)),
+    "lm_topk": _stored(_language(PLAIN, 0.5)),
+    "lm_lambda_edges": _stored(lm_lambda_edges),
+    "lm_unknown_term": _stored(_language(UNKNOWN, 0.5)),
+    "lm_repeated_term": _stored(_language(REPEATED, 0.3)),
+    "product_search": _stored(lambda ix: rank.product_search(ix, PLAIN, 5)),
+    "product_search_exact_ratio": _stored(lambda ix: rank.product_search(ix, PLAIN, 5, exact_ratio=True)),
     "raw_reviews": raw_reviews,
+    "raw_malformed": raw_malformed,
     "raw_index_reviews": raw_index_reviews,
     "raw_index_lexicon": raw_index_lexicon,
     "index_delete": index_delete,
@@ -301,6 +370,10 @@ SQL: dict[str, str] = {
     "tokens": _select("SELECT review_id, CAST(i - 1 AS BIGINT) AS pos, ws[i] AS term FROM (SELECT review_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM words)"),
     "postings": _select("SELECT term, review_id, tf FROM postings"),
     "posting_list_array": _select(f"SELECT term, string_agg(review_id || ',' || tf, ',' ORDER BY review_id) AS list FROM postings WHERE term IN ({_list(SEEN)}) GROUP BY term"),
+    "posting_chunks": _select(f"""SELECT term, chunk, first_id, last_id, n, cf, max_tf, min_length, max_ratio, CAST(coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, lag(last_id, 1, 0) OVER w AS previous, ids, tfs FROM (
+  SELECT term, p.review_id // {NARROW} AS chunk, min(p.review_id) AS first_id, max(p.review_id) AS last_id, count(*) AS n, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf, CAST(min(length) AS BIGINT) AS min_length, round(max(tf / length), 12) AS max_ratio,
+    string_agg(CAST(p.review_id AS VARCHAR), ',' ORDER BY p.review_id) AS ids, string_agg(CAST(tf AS VARCHAR), ',' ORDER BY p.review_id) AS tfs
+  FROM postings p JOIN lengths l ON l.review_id = p.review_id GROUP BY term, p.review_id // {NARROW}) WINDOW w AS (PARTITION BY term ORDER BY chunk)"""),
     "posting_lookup": _select("SELECT review_id, tf FROM postings WHERE term = 'the'"),
     "token_frequency": _select("SELECT term, df FROM lexicon"),
     "token_collection_frequency": _select("SELECT term, cf FROM lexicon"),
@@ -331,6 +404,8 @@ SQL: dict[str, str] = {
     "product_search": _products(False),
     "product_search_exact_ratio": _products(True),
     "raw_reviews": _select("SELECT review_id, product_id, score, helpful_num, helpful_den, sha256(text) AS text_sha256 FROM reviews", _RAW),
+    "raw_malformed": _select("""SELECT review_id, product_id, CASE WHEN doc_id % 8 NOT IN (5, 6) THEN score END AS score, CASE WHEN doc_id % 8 NOT IN (1, 2, 3) THEN helpful_num END AS helpful_num, CASE WHEN doc_id % 8 NOT IN (1, 2, 3) THEN helpful_den END AS helpful_den,
+  CASE doc_id % 8 WHEN 3 THEN NULL WHEN 7 THEN sha256('') ELSE sha256(text) END AS text_sha256 FROM reviews""", _RAW.replace("SELECT d.doc_id", "SELECT d.doc_id", 1).replace("AS review_id,", "AS review_id, d.doc_id,", 1)),
     "raw_index_reviews": _select("SELECT r.review_id, product_id, score, helpful_num, helpful_den, CAST(length AS BIGINT) AS length FROM reviews r JOIN lengths l ON l.review_id = r.review_id", _RAW),
     "raw_index_lexicon": _select("SELECT term_id, term, df, cf FROM lexicon", _RAW),
     "index_delete": _select("SELECT n_terms, n_reviews, n_tokens, false AS there FROM stats", _RAW),

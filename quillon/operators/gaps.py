@@ -1,46 +1,39 @@
-"""Gaps between the reviews of a term, and back; terms in very many reviews are cut into chunks of ids."""
+"""Gaps between the reviews of a term, and back, chunk by chunk.
+
+A chunk's row has all that its gaps and sums need: its postings, and the last id and the number of postings before it. So
+nothing is shuffled, however frequent a term is.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-CHUNK = 1 << 16
-BUCKETS = 1 << 16
-
-
-def _chunked(postings: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """term, review_id, chunk: of ids for terms in more than chunk reviews (and those that share a hash bucket with one), else 0; and the rows of the former alone. At most BUCKETS numbers are broadcast."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")
-    many = postings.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select(bucket).distinct().withColumn("many", F.lit(True))
-    rows = postings.select("term", "review_id", bucket).join(F.broadcast(many), "bucket", "left").drop("bucket")
-    rows = rows.withColumn("chunk", F.when(F.col("many"), F.floor(F.col("review_id") / chunk)).otherwise(F.lit(0)))
-    return rows.drop("many"), rows.where("many").drop("many")
-
-
-def gaps(postings: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """term, review_id, gap: to the review before, or to 0."""
-    rows, many = _chunked(postings, chunk)
-    ends = many.groupBy("term", "chunk").agg(F.max("review_id").alias("end"))
-    last = ends.select("term", "chunk", F.lag("end").over(Window.partitionBy("term").orderBy("chunk")).alias("last"))
-    inside = F.lag("review_id").over(Window.partitionBy("term", "chunk").orderBy("review_id"))
-    return rows.withColumn("before", inside).join(last, ["term", "chunk"], "left").select("term", "review_id", (F.col("review_id") - F.coalesce("before", "last", F.lit(0))).cast("long").alias("gap"))
-
-
-def ids(gapped: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """term, seq, gap (seq from 0 within a term) to term, seq, review_id: the running sums."""
-    rows = gapped.withColumn("chunk", F.floor(F.col("seq") / chunk))
-    sums = rows.groupBy("term", "chunk").agg(F.sum("gap").alias("sum"))
-    before = F.coalesce(F.sum("sum").over(Window.partitionBy("term").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.sum("gap").over(Window.partitionBy("term", "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(sums.select("term", "chunk", before.alias("before")), ["term", "chunk"]).select("term", "seq", (F.col("before") + inside).cast("long").alias("review_id"))
-
-
-def positions(postings: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """term, review_id, seq: the place of a review in its term's list, from 0."""
-    rows = postings.select("term", "review_id", F.floor(F.col("review_id") / chunk).alias("chunk"))
-    sizes = rows.groupBy("term", "chunk").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("term").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("term", "chunk").orderBy("review_id")) - 1
-    return rows.join(sizes.select("term", "chunk", before.alias("before")), ["term", "chunk"]).select("term", "review_id", (F.col("before") + inside).cast("long").alias("seq"))
+
+#: Sums within a chunk are taken over groups of so many gaps, then within a group.
+GROUP = 32
+
+
+def gap_lists(chunks: DataFrame) -> DataFrame:
+    """term, chunk, before, previous, gaps: to the posting before, across chunks, or to 0."""
+    gaps = F.transform("ids", lambda x, i: x - F.when(i == 0, F.col("previous")).otherwise(F.get("ids", i - 1)))
+    return chunks.select("term", "chunk", "before", "previous", gaps.alias("gaps"))
+
+
+def gaps(chunks: DataFrame) -> DataFrame:
+    """term, review_id, gap."""
+    both = F.arrays_zip("ids", F.transform("ids", lambda x, i: x - F.when(i == 0, F.col("previous")).otherwise(F.get("ids", i - 1))).alias("gaps"))
+    return chunks.select("term", F.inline(both)).toDF("term", "review_id", "gap")
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def ids(gapped: DataFrame) -> DataFrame:
+    """Of gap_lists: term, seq (from 0 within a term), review_id, from the gaps and what stands before the chunk alone."""
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("gaps") - 1) / GROUP).cast("int")), lambda g: _sum(F.slice("gaps", g * GROUP + 1, F.lit(GROUP))))
+    rows = gapped.withColumn("groups", groups)
+    rows = rows.withColumn("sums", F.transform("groups", lambda x, g: F.col("previous") + _sum(F.slice("groups", F.lit(1), g))))
+    at = lambda i: F.get("sums", F.floor(i / GROUP).cast("int")) + _sum(F.slice("gaps", F.floor(i / GROUP).cast("int") * GROUP + 1, i % GROUP + 1))
+    out = F.transform("gaps", lambda x, i: F.struct((F.col("before") + i).alias("seq"), at(i).alias("review_id")))
+    return rows.select("term", F.inline(out))

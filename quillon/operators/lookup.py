@@ -21,10 +21,9 @@ def postings(index: Index, term: str) -> DataFrame:
 
 
 def posting_lists(index: Index, terms: Sequence[str]) -> DataFrame:
-    """Term and its list as id, tf, id, tf, ... by id."""
-    rows = index.postings.where(F.col("term").isin([t.lower() for t in terms]))
-    lists = rows.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("review_id", "tf"))).alias("l"))
-    return lists.select("term", F.flatten(F.transform("l", lambda s: F.array(s["review_id"], s["tf"]))).alias("list"))
+    """The terms' lists as id, tf, id, tf, ... by id, a row a chunk, so that no row holds more than a chunk's postings: term, chunk, first_id, last_id, n, list."""
+    rows = index.chunks.where(F.col("term").isin([t.lower() for t in terms]))
+    return rows.select("term", "chunk", "first_id", "last_id", "n", F.flatten(F.transform(F.arrays_zip("ids", "tfs"), lambda s: F.array(s["ids"], s["tfs"]))).alias("list"))
 
 
 def product_reviews(index: Index, product_id: str) -> DataFrame:

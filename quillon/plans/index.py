@@ -1,36 +1,82 @@
-"""The index: reviews, postings, lexicon, products, their reviews and stats, as DataFrames over other DataFrames or over Parquet."""
+"""The index: reviews, posting chunks, lexicon, products, their reviews and stats, as DataFrames over other DataFrames or over Parquet.
+
+A term's posting list is cut by ranges of CHUNK review ids into chunks, one row each: a chunk's arrays hold at most CHUNK postings with
+their reviews' lengths, and beside them stand what a search or a scan needs to skip or enter the chunk: its first and last
+id, count, greatest tf, least length and greatest tf / length, the last id and the number of postings before it. All terms are
+cut at the same ids, so a range of ids can be judged for a whole query.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.ordinals import with_ordinal
 from ..functions.text import tokens
 
 MARK = "_QUILLON_INDEX"
+CHUNK = 1024
+STORED = ("reviews", "chunks", "lexicon", "products", "product_reviews", "stats")
+#: Columns by which rows are looked up; row groups without the value are told by Bloom filters.
+LOOKED_UP = {"chunks": "term", "lexicon": "term", "products": "product_id", "product_reviews": "product_id"}
 
 
 @dataclass
 class Index:
     reviews: DataFrame  # review_id, product_id, score, helpful_num, helpful_den, length, text
-    postings: DataFrame  # term, review_id, tf
+    entries: DataFrame  # term, review_id, tf, length
+    chunks: DataFrame  # term, chunk, first_id, last_id, n, cf, max_tf, min_length, max_ratio, before, previous, ids, tfs, lengths
     lexicon: DataFrame  # term_id, term, df, cf
     products: DataFrame  # product_ord, product_id, n_reviews
     product_reviews: DataFrame  # product_id, review_id
     stats: DataFrame  # n_terms, n_reviews, n_tokens
+    chunk: int = CHUNK
+    n_reviews: int | None = None  # known of a stored index alone
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.entries.select("term", "review_id", "tf")
 
-def postings_of(reviews: DataFrame) -> DataFrame:
-    """A1, A2: all occurrences of a (term, review) are in one row, so they are counted there, as runs of the sorted tokens: nothing is shuffled."""
-    rows = reviews.select("review_id", F.sort_array(tokens("text")).alias("s")).where(F.size("s") > 0)
-    heads = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", F.greatest(i - 1, F.lit(0)))))
+
+def entries_of(reviews: DataFrame) -> DataFrame:
+    """A1, A2: term, review_id, tf, length. All occurrences of a (term, review) are in one row, so they are counted there, as runs of the sorted tokens: nothing is shuffled."""
+    rows = reviews.select("review_id", F.sort_array(tokens("text")).alias("s"))
+    heads = F.filter(F.transform("s", lambda t, i: i), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
     rows = rows.withColumn("at", heads)
     runs = F.transform("at", lambda p, k: F.struct(F.get("s", p).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("s")) - p).cast("long").alias("tf")))
-    return rows.select("review_id", F.inline(runs)).select("term", "review_id", "tf")
+    return rows.select("review_id", F.size("s").alias("length"), F.inline(runs)).select("term", "review_id", "tf", "length")
+
+
+def postings_of(reviews: DataFrame) -> DataFrame:
+    return entries_of(reviews).select("term", "review_id", "tf")
+
+
+def chunk_lists(entries: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The chunks, without what stands before them. A frequent term is as many keys as it has chunks."""
+    number = F.floor(F.col("review_id") / chunk).cast("long").alias("chunk")
+    lists = entries.groupBy("term", number).agg(F.array_sort(F.collect_list(F.struct("review_id", "tf", "length"))).alias("l"))
+    ids, tfs, lengths = F.col("l.review_id"), F.col("l.tf"), F.col("l.length")
+    skips = [F.element_at(ids, 1).alias("first_id"), F.element_at(ids, -1).alias("last_id"), F.size("l").cast("long").alias("n"), F.aggregate(tfs, F.lit(0).cast("long"), lambda a, x: a + x).alias("cf")]
+    bounds = [F.array_max(tfs).alias("max_tf"), F.array_min(lengths).alias("min_length"), F.array_max(F.transform("l", lambda x: x["tf"] / x["length"])).alias("max_ratio")]
+    return lists.select("term", "chunk", *skips, *bounds, ids.alias("ids"), tfs.alias("tfs"), lengths.alias("lengths"))
+
+
+def with_skips(lists: DataFrame) -> DataFrame:
+    """before and previous: postings of the term before the chunk, and the last of their ids, else 0. The window sees a short row a chunk."""
+    order = Window.partitionBy("term").orderBy("chunk")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("before")
+    slim = lists.select("term", "chunk", "n", "last_id").select("term", "chunk", before, F.coalesce(F.lag("last_id").over(order), F.lit(0)).cast("long").alias("previous"))
+    return lists.join(slim, ["term", "chunk"]).select("term", "chunk", "first_id", "last_id", "n", "cf", "max_tf", "min_length", "max_ratio", "before", "previous", "ids", "tfs", "lengths")
+
+
+def entries_in(chunks: DataFrame) -> DataFrame:
+    """term, review_id, tf, length again."""
+    return chunks.select("term", F.inline(F.arrays_zip("ids", "tfs", "lengths"))).toDF("term", "review_id", "tf", "length")
 
 
 def terms_of(postings: DataFrame) -> DataFrame:
@@ -65,12 +111,12 @@ def stats_of(reviews: DataFrame, lexicon: DataFrame) -> DataFrame:
     return lexicon.agg(F.count("*").alias("n_terms")).crossJoin(F.broadcast(r)).select("n_terms", "n_reviews", "n_tokens")  # one row by one row
 
 
-def build(reviews: DataFrame) -> Index:
-    """The six tables as lazy plans over reviews; review_id tells the rows apart."""
+def build(reviews: DataFrame, chunk: int = CHUNK) -> Index:
+    """The tables as lazy plans over reviews; review_id tells the rows apart."""
     r = with_length(reviews)
-    postings = postings_of(r)
-    lexicon = lexicon_of(terms_of(postings))
-    return Index(r, postings, lexicon, products_of(r), product_reviews_of(r), stats_of(r, lexicon))
+    entries = entries_of(r)
+    lexicon = lexicon_of(terms_of(entries))
+    return Index(r, entries, with_skips(chunk_lists(entries, chunk)), lexicon, products_of(r), product_reviews_of(r), stats_of(r, lexicon), chunk)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -78,47 +124,86 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def write(reviews: DataFrame, directory: str) -> Index:
-    """Writes all six tables beside the directory and renames once all are there, so no partial index is ever seen. Tables are
-    built from those written before, and what is dealt by ranges, which reads its input twice, is made cheap to read first."""
+def write(reviews: DataFrame, directory: str, chunk: int = CHUNK) -> Index:
+    """Writes the tables into a folder of their own in the directory, and last a small manifest that names it. Only the manifest makes them
+    an index: what a failed write leaves is never read, and no rename is asked for, which object stores can't do at once. Of
+    two writers the first one with a manifest wins. Tables are built from those written before; what is dealt by ranges, which
+    reads its input twice, is cheap to read."""
     spark = reviews.sparkSession
-    fs, target = _fs(spark, directory)
-    if fs.exists(target):
+    if _manifest(spark, directory):
         raise FileExistsError(directory)
-    beside = f"{directory.rstrip('/')}.{uuid.uuid4().hex}"
+    data = f"data-{uuid.uuid4().hex}"
+    beside = f"{directory.rstrip('/')}/{data}"
 
     def put(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{beside}/{name}")
+        writer = df.write
+        if name in LOOKED_UP:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{LOOKED_UP[name]}", "true")
+        writer.parquet(f"{beside}/{name}")
         return spark.read.parquet(f"{beside}/{name}")
 
-    r = put(with_length(reviews.repartitionByRange("review_id").sortWithinPartitions("review_id")), "reviews")
-    p = put(postings_of(r).repartitionByRange("term", "review_id").sortWithinPartitions("term", "review_id"), "postings")
-    terms = put(terms_of(p), "terms")
-    x = put(lexicon_of(terms).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
-    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{beside}/terms"), True)
-    put(product_reviews_of(r).repartitionByRange("product_id", "review_id").sortWithinPartitions("product_id", "review_id"), "product_reviews")
-    put(products_of(r).repartitionByRange("product_id").sortWithinPartitions("product_id"), "products")
-    put(stats_of(r, x), "stats")
-    fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{beside}/{MARK}")).close()
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), target):
-        raise OSError(f"can't rename {beside} to {directory}")
+    def drop(path: str) -> None:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+
+    try:
+        r = put(with_length(reviews.repartitionByRange("review_id").sortWithinPartitions("review_id")), "reviews")
+        lists = put(chunk_lists(entries_of(r), chunk), "lists")
+        terms = put(lists.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")), "terms")
+        put(with_skips(lists).repartitionByRange("term", "chunk").sortWithinPartitions("term", "chunk"), "chunks")
+        drop(f"{beside}/lists")
+        x = put(lexicon_of(terms).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
+        drop(f"{beside}/terms")
+        put(product_reviews_of(r).repartitionByRange("product_id", "review_id").sortWithinPartitions("product_id", "review_id"), "product_reviews")
+        put(products_of(r).repartitionByRange("product_id").sortWithinPartitions("product_id"), "products")
+        totals = put(stats_of(r, x), "stats").first()
+        _commit(spark, directory, {"data": data, "chunk": chunk, "n_reviews": totals["n_reviews"]})
+    except BaseException:
+        drop(beside)
+        raise
     return open_index(spark, directory)
 
 
-def open_index(spark: SparkSession, directory: str) -> Index:
-    """Lazy; a look-up reads the row groups that its key may be in."""
-    _marked(spark, directory)
-    return Index(**{f.name: spark.read.parquet(f"{directory}/{f.name}") for f in fields(Index)})
+def _commit(spark: SparkSession, directory: str, manifest: dict) -> None:
+    fs, p = _fs(spark, f"{directory.rstrip('/')}/{MARK}")
+    if fs.exists(p):
+        raise FileExistsError(directory)
+    out = fs.create(p, False)
+    out.writeBytes(json.dumps(manifest))
+    out.close()
 
 
-def delete(spark: SparkSession, directory: str) -> None:
-    """Only what write has made."""
-    _marked(spark, directory)
-    fs, p = _fs(spark, directory)
-    fs.delete(p, True)
+def _manifest(spark: SparkSession, directory: str) -> dict | None:
+    fs, p = _fs(spark, f"{directory.rstrip('/')}/{MARK}")
+    if not fs.exists(p):
+        return None
+    source = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+    finally:
+        source.close()
 
 
-def _marked(spark: SparkSession, directory: str) -> None:
-    fs, p = _fs(spark, f"{directory}/{MARK}")
-    if not fs.exists(p):
+def _marked(spark: SparkSession, directory: str) -> dict:
+    manifest = _manifest(spark, directory)
+    if manifest is None:
         raise FileNotFoundError(f"{directory} is no index")
+    return manifest
+
+
+def open_index(spark: SparkSession, directory: str) -> Index:
+    """Lazy; a look-up reads the row groups that its key may be in."""
+    manifest = _marked(spark, directory)
+    tables = {name: spark.read.parquet(f"{directory.rstrip('/')}/{manifest['data']}/{name}") for name in STORED}
+    return Index(entries=entries_in(tables["chunks"]), chunk=manifest["chunk"], n_reviews=manifest["n_reviews"], **tables)
+
+
+def delete(spark: SparkSession, directory: str) -> None:
+    """Only what write has made; the manifest goes first, so that no reader opens what is half gone."""
+    data = _marked(spark, directory)["data"]
+    fs, top = _fs(spark, directory)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs.delete(path(f"{directory.rstrip('/')}/{MARK}"), False)
+    fs.delete(path(f"{directory.rstrip('/')}/{data}"), True)
+    if not list(fs.listStatus(top)):
+        fs.delete(top, False)

@@ -17,36 +17,40 @@ def normalised(num: Column, den: Column) -> tuple[Column, Column]:
     return F.least(num, den), F.greatest(num, den)
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """value, at (order within a block) and review_id: how many product lines there were up to the line, over all files in order.
+def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """review_id and value, a record from behind its first line's prefix; numbered over all files in order.
 
-    Blocks of files are read in parallel. A count a block gives the blocks' offsets; within a block a window counts on. A
-    record may thus go on from one block into the next, whatever line ends or blank lines it has.
+    The reader cuts files where a line begins with the product prefix, so a row is a record, whatever blocks it reaches over.
+    A row's number is its place among its block's rows plus the records of the blocks before. Only a count a block moves, and
+    comes back as a broadcast: a row for each block that the driver plans a task for, some tens of bytes for 128 MB of input.
     """
-    block = ["file", "start"]
-    lines = spark.read.text(path).select(
-        "value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.startswith("value", F.lit(PRODUCT)).cast("int").alias("first"),
+    rows = spark.read.option("lineSep", f"\n{PRODUCT}").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")
     )
-    wanted = lines.where(F.col("first").cast("boolean") | F.startswith("value", F.lit(HELPFULNESS)) | F.startswith("value", F.lit(SCORE)) | F.startswith("value", F.lit(TEXT)))
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = wanted.groupBy(*block).agg(F.sum("first").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    here = Window.partitionBy(*block).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return wanted.join(offsets, block).select("value", *block, "at", (F.col("before") + F.sum("first").over(here)).alias("review_id"))
+    blocks = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("least"), F.min_by(F.startswith("value", F.lit(PRODUCT)), "at").alias("head"))
+    other = (F.col("start") == 0) & ~F.col("head")  # a file's first row, if it has other lines before the first record
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "start", "least", other.alias("other"), F.coalesce(F.sum(F.col("n") - other.cast("int")).over(before), F.lit(0)).alias("before"))
+    placed = rows.join(F.broadcast(blocks), ["file", "start"]).withColumn("place", F.col("at") - F.col("least")).where(~(F.col("other") & (F.col("place") == 0)))
+    first_of_file = (F.col("start") == 0) & (F.col("place") == 0)  # with the prefix, as no separator stood before it
+    value = F.when(first_of_file, F.substring("value", len(PRODUCT) + 1, 1 << 30)).otherwise(F.col("value"))
+    return placed.select((F.col("before") + F.col("place") + 1 - F.col("other").cast("int")).cast("long").alias("review_id"), value.alias("value"))
 
 
 def parse_reviews(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A file, a folder or several paths. A field that a record lacks or that is malformed is null there only; of repeated
-    fields the first counts; lines before the first product line, and of other kinds, are skipped; texts are one line."""
+    fields the first counts; lines before the first product line, and of other kinds, are skipped; texts are one line. Lines end
+    with a line feed, a carriage return or both; a record begins behind a line feed. Texts aren't shuffled."""
 
-    def field(prefix: str, skip: int) -> Column:
-        return F.min_by(F.when(F.startswith("value", F.lit(prefix)), F.substring("value", skip + 1, 1 << 30)), F.when(F.startswith("value", F.lit(prefix)), F.struct("file", "start", "at")))
+    def field(prefix: str) -> Column:
+        return F.substring(F.get(F.filter("lines", lambda line: F.startswith(line, F.lit(prefix))), F.lit(0)), len(prefix) + 2, 1 << 30)
 
-    rows = numbered_lines(spark, path).where("review_id > 0").groupBy("review_id").agg(field(PRODUCT, 19).alias("product_id"), field(HELPFULNESS, 20).alias("help"), field(SCORE, 14).alias("stars"), field(TEXT, 13).alias("text"))
+    rows = records(spark, path).select("review_id", F.split("value", "\r\n|\n|\r").alias("lines"))
+    rows = rows.select("review_id", F.substring(F.get("lines", F.lit(0)), 2, 1 << 30).alias("product_id"), field(HELPFULNESS).alias("help"), field(SCORE).alias("stars"), field(TEXT).alias("text"))
     part = lambda k: F.expr(f"try_cast(get(split(help, '/'), {k}) AS INT)")
     num, den = normalised(part(0), part(1))
     whole = part(0).isNotNull() & part(1).isNotNull()
-    return rows.select(F.col("review_id").cast("long"), "product_id", F.expr("try_cast(substring(stars, 1, 1) AS INT)").alias("score"), F.when(whole, num).alias("helpful_num"), F.when(whole, den).alias("helpful_den"), F.lower("text").alias("text"))
+    return rows.select("review_id", "product_id", F.expr("try_cast(substring(stars, 1, 1) AS INT)").alias("score"), F.when(whole, num).alias("helpful_num"), F.when(whole, den).alias("helpful_den"), F.lower("text").alias("text"))
 
 
 def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,184 @@
+"""What an index must not read, move or show: pruned searches, chunks, gaps, look-ups, raw records, interrupted writes."""
+
+import dataclasses
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.operators import gaps as G
+from quillon.operators import lookup, rank
+from quillon.plans import index as ix
+from quillon.sources.reviews import from_documents, parse_reviews, records
+
+REVIEWS = "review_id long, product_id string, score int, helpful_num int, helpful_den int, text string"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_scanned(df):
+    """Rows that the scans of a plan without exchanges have put out."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    return ix.write(from_documents(spark, "/root/testdata/sf0.01"), str(tmp_path_factory.mktemp("ix") / "docs"), chunk=8)
+
+
+def whole(index):
+    """The same index, searched without bounds."""
+    return dataclasses.replace(index, n_reviews=None)
+
+
+@pytest.fixture
+def read(monkeypatch):
+    """Postings of the chunks that searches score, one number a scoring."""
+    counts = []
+
+    def counted(chunks, plain=ix.entries_in):
+        counts.append(chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        return plain(chunks)
+
+    monkeypatch.setattr(rank, "entries_in", counted)
+    return counts
+
+
+QUERIES = [["the"], ["the", "worthless"], ["the", "of", "worthless"], ["notaword", "the"], ["notaword"], ["worthless", "worthless", "anelle"]]
+
+
+@pytest.mark.parametrize("query", QUERIES)
+@pytest.mark.parametrize("k", [1, 10, 400])
+def test_pruned_equals_whole(stored, query, k):
+    assert rank.vector_space(stored, query, k).collect() == rank.vector_space(whole(stored), query, k).collect()
+    for lam in (0.0, 0.4, 1.0, 1.5, -0.5):
+        assert rank.language_model(stored, query, lam, k).collect() == rank.language_model(whole(stored), query, lam, k).collect()
+
+
+def test_frequent_terms_are_not_read_whole(stored, read):
+    df = {t: lookup.Reader(stored).token_frequency(t) for t in ("the", "worthless")}
+    assert df["the"] > 10 * df["worthless"] > 0
+    for query in (["the"], ["the", "worthless"]):
+        read.clear()
+        rank.vector_space(stored, query, 5).collect()
+        assert len(read) == 2 and sum(read) < 0.5 * sum(df[t] for t in query)
+    read.clear()
+    rank.language_model(stored, ["the"], 0.5, 5).collect()
+    assert sum(read) < 0.5 * df["the"]
+
+
+def test_ties_go_to_small_ids_and_others_are_skipped(spark, tmp_path, read):
+    reviews = spark.createDataFrame([(i, "p", 5, 0, 1, "same words") for i in range(1, 501)], REVIEWS)
+    index = ix.write(reviews, str(tmp_path / "ties"), chunk=4)
+    assert [r.review_id for r in rank.language_model(index, ["same", "absent"], 0.5, 3).collect()] == [1, 2, 3]
+    assert [r.review_id for r in rank.vector_space(index, ["same"], 6).collect()] == [1, 2, 3, 4, 5, 6]
+    assert max(read) <= 2 * 8 * 4  # of 500 postings, as all scores are 0
+
+
+def test_many_ranges_are_joined(stored, monkeypatch):
+    monkeypatch.setattr(rank, "PUSHED", 2)
+    assert rank.language_model(stored, ["the", "of"], 0.5, 30).collect() == rank.language_model(whole(stored), ["the", "of"], 0.5, 30).collect()
+
+
+def test_language_model_joins_no_reviews(stored):
+    plan = plan_of(rank.language_model(whole(stored), ["the", "of"], 0.5, 5))
+    assert "Join" not in plan and "/reviews" not in plan
+
+
+def test_a_hot_term_stays_in_bounded_rows(spark, tmp_path):
+    reviews = spark.range(1, 5001, 1, 3).select(F.col("id").alias("review_id"), F.lit("p").alias("product_id"), F.lit(1).alias("score"), F.lit(0).alias("helpful_num"), F.lit(1).alias("helpful_den"), F.concat(F.lit("hot w"), F.col("id") % 100).alias("text"))
+    index = ix.write(reviews, str(tmp_path / "hot"), chunk=64)
+    lists = lookup.posting_lists(index, ["Hot", "w7"])
+    assert lists.agg(F.max(F.size("list"))).first()[0] == 128
+    assert [x for r in lists.where("term = 'hot'").orderBy("chunk").collect() for x in r.list[::2]] == list(range(1, 5001))
+    assert index.chunks.where("term = 'hot'").count() == 79
+    assert index.postings.count() == 10_000 and index.entries.where("length <> 2").count() == 0
+
+
+def test_gaps_move_no_postings(stored):
+    for df in (G.gaps(stored.chunks), G.ids(G.gap_lists(stored.chunks))):
+        assert "Exchange" not in plan_of(df) and "Join" not in plan_of(df)
+    assert G.ids(G.gap_lists(stored.chunks)).select("term", "review_id").exceptAll(stored.postings.select("term", "review_id")).count() == 0
+
+
+def test_absent_keys_read_nothing(stored):
+    assert rows_scanned(stored.chunks.where("term = 'thenotthere'")) == 0 < rows_scanned(stored.chunks.where("term = 'the'"))
+    assert rows_scanned(stored.lexicon.where("term = 'thenotthere'")) == 0
+    assert rows_scanned(stored.product_reviews.where("product_id = 'src3x'")) == 0 < rows_scanned(stored.product_reviews.where("product_id = 'src3'"))
+
+
+def test_product_search_reads_its_pool(spark, tmp_path):
+    """Reviews outside the pool's id range are in row groups that the pushed filter leaves out."""
+    reviews = spark.range(1, 3001, 1, 3).select(F.col("id").alias("review_id"), F.concat(F.lit("p"), F.col("id") % 50).alias("product_id"), F.lit(5).alias("score"), F.lit(1).alias("helpful_num"), F.lit(1).alias("helpful_den"), F.when(F.col("id") < 20, "rare").otherwise("other").alias("text"))
+    index = ix.write(reviews, str(tmp_path / "pool"), chunk=64)
+    out = rank.product_search(index, ["rare"], 2)
+    assert "In(review_id" in plan_of(out) and "In(product_id" in plan_of(out)
+    assert [r.product_id for r in out.collect()] == ["p1", "p2"]
+
+
+def test_texts_of_raw_files_are_not_moved(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("product/productId: A\nreview/text: one\n\nproduct/productId: B\nreview/text: two\n")
+    plan = plan_of(parse_reviews(spark, str(tmp_path / "r.txt")))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange SinglePartition" in line]
+    assert moved and not any("value" in line for line in moved)
+
+
+@pytest.mark.parametrize("size", ["1k", "3001b", "7919b"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_over_blocks_and_files(spark, tmp_path, size, end):
+    """Blocks end anywhere, in separators too; a file may begin with other lines; empty files count nothing."""
+    made = []
+    for f, n in (("a.txt", 400), ("b.txt", 0), ("c.txt", 333)):
+        lines = [] if f == "a.txt" or not n else ["before", "the first", ""]
+        for i in range(n):
+            made.append((f"P{i % 7}", f"word {i} " + "x" * (i % 90)))
+            lines += [f"product/productId: {made[-1][0]}", "review/score: 3.0", f"review/text: {made[-1][1]}", ""]
+        (tmp_path / f).write_bytes(end.join(lines).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = parse_reviews(spark, str(tmp_path)).orderBy("review_id").collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.review_id, r.product_id, r.text) for r in got] == [(i + 1, p, t) for i, (p, t) in enumerate(made)]
+
+
+def test_records_of_files_without_any(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("nothing\nhere\n")
+    assert records(spark, str(tmp_path)).collect() == []
+
+
+def test_failed_and_abandoned_writes_stay_unseen(spark, tmp_path, monkeypatch):
+    reviews, at = spark.createDataFrame([(1, "p", 5, 0, 0, "a b"), (2, "q", 5, 0, 0, "b")], REVIEWS), tmp_path / "index"
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(ix, "stats_of", broken)
+        with pytest.raises(RuntimeError):
+            ix.write(reviews, str(at))
+    assert not list(at.glob("*"))
+    (at / "data-of-a-writer-that-died").mkdir()
+    with pytest.raises(FileNotFoundError):
+        ix.open_index(spark, str(at))
+    ix.write(reviews, str(at))
+    assert ix.open_index(spark, str(at)).postings.count() == 3
+    ix.delete(spark, str(at))
+    assert [p.name for p in at.iterdir() if not p.name.endswith(".crc")] == ["data-of-a-writer-that-died"]
+
+
+def test_of_two_writers_the_first_wins(spark, tmp_path, monkeypatch):
+    reviews, at = spark.createDataFrame([(1, "p", 5, 0, 0, "a b")], REVIEWS), str(tmp_path / "index")
+    with monkeypatch.context() as m:
+        m.setattr(ix, "_manifest", lambda *_: None)
+        first = ix._commit
+        m.setattr(ix, "_commit", lambda s, d, manifest: (first(s, d, {**manifest, "data": "other"}), first(s, d, manifest)))
+        with pytest.raises(FileExistsError):
+            ix.write(reviews, at)
+    assert not [p for p in (tmp_path / "index").iterdir() if p.name.startswith("data-")]
