@@ -5,10 +5,13 @@ any fixed order of shingles. The order is by frequency level, then by hash: one
 into 2 ** LEVEL_BITS buckets, and a bucket's level tells by which power of two it stands out from the mean. So what many
 texts share comes last, by a threshold that is relative to the corpus, and one sketch of each text suffices.
 
-The classes that share a shingle of their prefixes, sorted by size and cut where neighbouring sizes can't be alike, are a
-tile; equal tiles are worked on once. A tile is dealt in blocks of at most Tiling.members classes and bitmap_bytes of
+The classes that share a shingle of their prefixes are a tile, sorted by size. Where that shingle is the first that two of
+them have in common, at places p and q, they share at most the lesser of n - p and m - q shingles; so its place says up to
+what size a class can find an alike one there, and tiles are cut where no class before reaches the next size. Texts of one
+template that differ in a few words of their own, too few for a link, thus leave nothing of the tile that the template's
+first shingle makes. Equal tiles are worked on once. A tile is dealt in blocks of at most Tiling.members classes and bitmap_bytes of
 bitmaps, and pairs of blocks whose sizes may meet are cells: no task holds more than a cell. Each class has a parity bitmap
-with as many bits as it has shingles, to a power of two; the number of bits in which two bitmaps differ bounds the symmetric
+with twice as many bits as it has shingles, to a power of two, and LEAST_BITS at least; the number of bits in which two bitmaps differ bounds the symmetric
 difference from below, and so the overlap from above. Pairs that pass are decided by intersecting the sorted arrays.
 
 Pairs of alike classes are not all listed. Stars come first: within each block, classes are paired with pivots, those with
@@ -39,7 +42,9 @@ from . import textkernel as K
 from .common import is_picked, map_text, pick_key, picked, plain, release, slices, small_batches, stash, unstash
 from .components import components
 
-MOST_BITS = 1 << 16
+LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: Low bits of a packed size that hold a shingle's place in its class's order; further places count as the last.
+PLACE_BITS = 24
 LEVEL_BITS, PART_BITS = 20, 14
 BUCKET_BITS = 20
 
@@ -53,6 +58,10 @@ class Alike:
     def prefix(self, n: int) -> int:
         return n - -(-n * self.num // self.den) + 1
 
+    def reach(self, n, place):
+        """The largest set that one of n shingles can be alike, if the first that both have is at place of the n."""
+        return (n - place) * (self.den + self.num) // self.num - n
+
     def enough(self, overlap, a, b):
         return self.den * overlap >= self.num * (a + b - overlap)
 
@@ -82,7 +91,7 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 def bitmap_bits(n):
     """Bits of the bitmap of n shingles: rises with n, by powers of two."""
-    return min(MOST_BITS, max(64, 1 << (n - 1).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, 2 << (n - 1).bit_length()))
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -197,11 +206,11 @@ def fingerprint(shingles: np.ndarray) -> bytes:
 
 def _bytes_of(n: np.ndarray) -> np.ndarray:
     """Bytes of the bitmaps of sets of n shingles."""
-    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 64, MOST_BITS) >> 3
+    return np.clip(2 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS) >> 3
 
 
 def _tiles(alike: Alike, tiling: Tiling):
-    """token, n, rep sorted by them: tile, block, members, and their least and greatest n. A tile of one block is named by its members."""
+    """token, n (packed), rep sorted by them: tile, block, members, and their least and greatest n. A tile of one block is named by its members."""
 
     def block_end(n: np.ndarray) -> int:
         return max(2, min(tiling.members, int(np.searchsorted(np.cumsum(_bytes_of(n)), tiling.bitmap_bytes))))
@@ -217,22 +226,25 @@ def _tiles(alike: Alike, tiling: Tiling):
         yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(block), K.lists(rep[take], offsets, pa.int64()), pa.array(n[first]), pa.array(n[first + size - 1])], names=["tile", "block", "members", "lo", "hi"])
 
     def run(batches):
-        held = [np.empty(0, np.int64)] * 3
-        after, named = 0, None  # blocks that the first tile of held has had, and its name
+        held = [np.empty(0, np.int64)] * 4
+        after, named, reached = 0, None, 0  # blocks that the first tile of held has had, its name, and how far they reach
 
         def cut(last: bool):
-            nonlocal held, after, named
-            token, n, rep = held
+            nonlocal held, after, named, reached
+            token, n, rep, reach = held
             if not len(token):
                 return
-            apart = (token[1:] != token[:-1]) | (alike.den * n[:-1] < alike.num * n[1:])
+            other = token[1:] != token[:-1]
+            shift = np.concatenate([[0], np.cumsum(other)]) << 40  # so that a token's reach ends with it
+            far = np.maximum.accumulate(np.maximum(reach, np.where(shift == 0, reached, 0)) + shift) - shift
+            apart = other | (far[:-1] < n[1:])
             edge = np.flatnonzero(np.concatenate([[True], apart, [True]]))
             first, size = edge[:-1], np.diff(edge)
             done = len(first) if last else len(first) - 1
             skip = 0
             if after and done:  # the end of a tile of several blocks
                 yield from rows(named, np.array([after], np.int32), rep, n, first[:1], size[:1])
-                after, skip = 0, 1
+                after, skip, reached = 0, 1, 0
             first_, size_ = first[skip:done], size[skip:done]
             many = size_ > 1
             first_, size_ = first_[many], size_[many]
@@ -260,13 +272,16 @@ def _tiles(alike: Alike, tiling: Tiling):
             rest = int(edge[done]) if done < len(edge) else len(token)
             held = [x[rest:] for x in held]
             while not last and len(held[0]) > (step := block_end(held[1])):  # a tile that goes on
-                token, n, rep = held
-                named = named if after else name(token[:1], n[:1])
+                token, n, rep, reach = held
+                named, reached = named if after else name(token[:1], n[:1]), max(reached, int(reach[:step].max()))
                 yield from rows(named, np.array([after], np.int32), rep, n, np.array([0]), np.array([step]))
                 held, after = [x[step:] for x in held], after + 1
 
         for batch in batches:
-            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            token, packed, rep = (c.to_numpy() for c in batch.columns)
+            n = packed >> PLACE_BITS
+            new = (token, n, rep, alike.reach(n, packed & ((1 << PLACE_BITS) - 1)))
+            held = [np.concatenate([h, c]) for h, c in zip(held, new, strict=True)]
             yield from cut(False)
         yield from cut(True)
         release()
@@ -469,14 +484,16 @@ def _chosen(chosen):
 
 
 def _tokens(chosen):
-    """k, rid, n, prefix: token, n, rid of the rows whose k isn't chosen."""
+    """k, rid, n, prefix: token, n packed with the token's place, rid of the rows whose k isn't chosen."""
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(~is_picked(chosen.value, batch.column(0).to_numpy())))
             prefix = batch.column(3)
             each = pc.list_value_length(prefix).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([prefix.flatten(), *(pa.array(np.repeat(batch.column(c).to_numpy(), each)) for c in (2, 1))], names=["token", "n", "rep"])
+            rid, n = (np.repeat(batch.column(c).to_numpy(), each) for c in (1, 2))
+            place = np.arange(len(n)) - np.repeat(np.cumsum(each) - each, each)
+            yield pa.RecordBatch.from_arrays([prefix.flatten(), pa.array((n << PLACE_BITS) | np.minimum(place, (1 << PLACE_BITS) - 1)), pa.array(rid)], names=["token", "n", "rep"])
         release()
 
     return run
@@ -532,8 +549,10 @@ def ngram_join(docs: DataFrame, alike: Alike = Alike(), id_col: str = "doc_id",
 
 
 def distinct_documents(docs: DataFrame, alike: Alike, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs of which one a component is left: one with the least id, or with none if no row has an id. Rows
-    without shingles all stay. Only rows whose id and text fall on one of at most 2 ** BUCKET_BITS buckets are shuffled."""
+    """The rows of docs of which one a component is left: of those with the least id, or without one if no row has an id, the
+    one whose text has the least hash, and of rows with that id and text the least by all columns, in their order. So the
+    row that stays doesn't depend on how rows are dealt. Rows without shingles all stay. Only rows whose id and text fall on
+    one of at most 2 ** BUCKET_BITS buckets are shuffled."""
     names = docs.columns
     docs = plain(docs)
     rows = grouped(docs, alike, id_col, text)
@@ -547,7 +566,11 @@ def distinct_documents(docs: DataFrame, alike: Alike, id_col: str = "doc_id", te
     gone = cut.where("not kept")
     some = some.join(gone, some["_id"].eqNullSafe(gone["id"]) & (some["_h"] == gone["h"]), "left_anti")
     worded = F.col(f"_row.`{text}`").rlike(r"[^\x20\x09-\x0D]")
-    once = some.where(worded).groupBy("_id", "_h").agg(F.first("_row").alias("_row")).select("_row")
+    def ordered(name: str):  # maps have no order
+        return F.to_json(F.struct(F.col(f"_row.`{name}`"))) if "map<" in docs.schema[name].dataType.simpleString() else F.col(f"_row.`{name}`")
+
+    least = F.min_by("_row", F.struct(*[ordered(n) for n in docs.columns]))
+    once = some.where(worded).groupBy("_id", "_h").agg(least.alias("_row")).select("_row")
     parts = [marked.join(buckets, "_bucket", "left_anti").select("_row"), once, some.where(~F.coalesce(worded, F.lit(False))).select("_row")]
     return reduce(DataFrame.unionByName, parts).select("_row.*").toDF(*names)
 
@@ -559,12 +582,14 @@ def grouped(docs: DataFrame, alike: Alike, id_col: str = "doc_id", text: str = "
     raw = docs[f"`{text}`"].cast("string")
     found = map_text(docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), F.xxhash64(raw).alias("h"), raw.alias("t")), "t", ["id", "h"], _sketch(alike, levels), SKETCH)
     sketch = stash(found.select(F.monotonically_increasing_id().alias("rid"), "row.*", "found.*"), "sketch")
-    first = F.struct(F.col("id").isNull(), "id", "rid")
+    first = F.struct(F.col("id").isNull(), "id", "h", "rid")
     classes = stash(sketch.where("n > 0").groupBy("fp").agg(F.min("rid").alias("rid"), F.min(first).alias("first"), F.count("*").alias("rows")), "classes")
     shared = docs.sparkSession.sparkContext.broadcast(picked(classes.where("rows > 1").select(pick_key(F.col("fp")))))
     rows = sketch.where("n > 0").select(pick_key(F.col("fp")), "rid", "n", "prefix")
     alone = rows.mapInArrow(_tokens(shared), "token long, n long, rep long")
-    copies = rows.mapInArrow(_chosen(shared), rows.schema).join(classes.where("rows > 1").select("rid"), "rid", "left_semi").select(F.explode("prefix").alias("token"), "n", F.col("rid").alias("rep"))
+    copies = rows.mapInArrow(_chosen(shared), rows.schema).join(classes.where("rows > 1").select("rid"), "rid", "left_semi").select("n", "rid", F.posexplode("prefix").alias("place", "token"))
+    packed = F.shiftleft("n", PLACE_BITS).bitwiseOR(F.least("place", F.lit((1 << PLACE_BITS) - 1)).cast("long"))
+    copies = copies.select("token", packed.alias("n"), F.col("rid").alias("rep"))
     sorted_ = alone.unionByName(copies).repartition("token").sortWithinPartitions("token", "n", "rep")
     tiles = stash(sorted_.mapInArrow(_tiles(alike, tiling), TILES).dropDuplicates(["tile", "block"]), "tiles")
     bits = sketch.select(F.col("rid").alias("rep"), "n", "bits")
