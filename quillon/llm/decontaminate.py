@@ -8,7 +8,9 @@ around it and compared whole. Items of fewer words than SPAN keep one fingerprin
 Defined results: a null or empty text has no words and no hits; items without words are never found; repeated rows each
 give a row; an empty benchmark finds nothing. A benchmark of at most BLOCK_BYTES of text is held by every worker. A larger
 one stays a table of windows: workers hold a set of common.PICK_BITS bits of its fingerprints, find the documents' places
-that may be hits, and these places are joined with the windows by hash; documents without such a place aren't shuffled.
+that may be hits, and these places are joined with the distinct windows by hash; documents without such a place aren't shuffled. A
+document's distinct windows are then joined with the items that have them, so places aren't multiplied by the items that share one;
+a window that very many places have is a skewed key of a join of one row a window, which Spark splits.
 """
 
 from __future__ import annotations
@@ -207,9 +209,11 @@ def _by_join(docs: DataFrame, source: DataFrame, keep: list[str], text: str, spa
     bits = docs.sparkSession.sparkContext.broadcast(picked(windows.select("k")))
     placed = map_text(docs, text, keep, _places(bits, lengths, span, gram), PLACES)
     some = stash(placed.where(F.size("found.places") > 0).select(F.monotonically_increasing_id().alias("rid"), "row", "found"), "places")
-    places = some.select("rid", F.inline("found.places")).join(windows.select("n", "h", "item"), ["n", "h"])
+    places = stash(some.select("rid", F.inline("found.places")).join(windows.select("n", "h").distinct(), ["n", "h"]), "hits")
     one = F.struct(F.col("first"), (F.col("first") + F.col("n") - 1).cast("int").alias("last"))
-    hits = places.groupBy("rid").agg(F.array_sort(F.collect_set(one)).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")).withColumn("spans", _joined(F.col("spans")))
+    spans = places.groupBy("rid").agg(F.array_sort(F.collect_set(one)).alias("spans")).withColumn("spans", _joined(F.col("spans")))
+    owned = places.select("rid", "n", "h").distinct().join(windows.select("n", "h", "item"), ["n", "h"])
+    hits = spans.join(owned.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items")), "rid")
     kind = FOUND["spans"].dataType.simpleString()
     none = F.struct(F.col("found.n_words"), F.array().cast(kind).alias("spans"), F.array().cast("array<string>").alias("items")).alias("found")
     clean = placed.where(F.size("found.places") == 0).select("row", none)

@@ -36,6 +36,8 @@ ROUNDS = 60
 NEAR = 1e-7
 GRID = 32
 BUCKET_BITS = 18
+#: Parts of rows that are equal altogether, at most.
+TASKS = 1024
 #: What tells rows apart.
 EACH = ("key", "id", "hash", "copy")
 
@@ -160,7 +162,10 @@ class Mix:
 
 
 def numbered(sized: DataFrame) -> DataFrame:
-    """sized with copy: 0, or the number of the row among equal ones, from 0. Only rows whose key, id and hash are in one of at most 2 ** BUCKET_BITS buckets with equal rows are shuffled."""
+    """sized with copy: 0, or the number of the row among equal ones, from 0. Only rows whose key, id and hash are in one of at most 2 ** BUCKET_BITS buckets with equal rows are shuffled.
+
+    Equal rows are numbered in parts: by a hash of the row, and by the task that wrote them, as rows that are equal altogether
+    may be numbered in any order. Parts before count as offsets, of which there is one row a part."""
     bucket = F.pmod(F.xxhash64(*EACH[:3]), F.lit(1 << BUCKET_BITS))
     twice = sized.groupBy(*EACH[:3]).count().where("count > 1").select(bucket.alias("bucket")).distinct()
     twice = stash(twice, "twice")
@@ -168,8 +173,15 @@ def numbered(sized: DataFrame) -> DataFrame:
         return sized.withColumn("copy", F.lit(0))
     marked = sized.withColumn("bucket", bucket)
     alone = marked.join(F.broadcast(twice), "bucket", "left_anti").drop("bucket").withColumn("copy", F.lit(0))
+    content = F.xxhash64(F.to_json("row")) if "row" in sized.columns else F.lit(0).cast("long")
     some = marked.join(F.broadcast(twice), "bucket", "left_semi").drop("bucket")
-    return alone.unionByName(some.withColumn("copy", F.row_number().over(Window.partitionBy(*EACH[:3]).orderBy("id")) - 1))
+    some = stash(some.withColumn("content", content).withColumn("task", F.spark_partition_id() % TASKS), "repeated")  # written, so that tasks stay what they are
+    part = [*EACH[:3], "content", "task"]
+    before = F.sum("n").over(Window.partitionBy(*EACH[:3]).orderBy("content", "task").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = some.groupBy(*part).agg(F.count("*").alias("n")).select(*[F.col(c).alias(f"{c}_of") for c in part], F.coalesce(before, F.lit(0)).alias("before"))
+    rows = some.withColumn("within", F.row_number().over(Window.partitionBy(*part).orderBy("id")) - 1)
+    rows = rows.join(offsets, reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in part]))
+    return alone.unionByName(rows.withColumn("copy", (F.col("before") + F.col("within")).cast("int")).select(*sized.columns, "copy"))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> DataFrame:
