@@ -2,7 +2,8 @@
 
 A family gives a label, keywords (apart by |) of which each of its texts contains one, SPDX ids, the words of its name and of its addresses. Every
 family is spelled out by TEMPLATES into rules, in order of priority: identifier tags, grants and addresses, titles,
-mentions. OTHER holds rules that stand alone. A space in a rule is one word boundary; ANY is one word.
+mentions. OTHER holds rules that stand alone, NOTICES sentences of full notices, versions in other word orders, exceptions
+and terms of use. NEGATED is a grant that is denied: it hides the grant it contains, and is neither a license nor a score. A space in a rule is one word boundary; ANY is one word.
 """
 
 from __future__ import annotations
@@ -154,6 +155,103 @@ OTHER = [
     ("warranty-disclaimer", 3, "warrant", r"without (?:any )?warrant(?:y|ies)(?: of any kind)?"),
 ]
 
+_GPL, _LGPL, _AGPL = rf"(?:gnu )?general public {L}", rf"(?:gnu )?(?:lesser|library) general public {L}", rf"(?:gnu )?affero general public {L}"
+_FSF = "(?: as published by the free software foundation(?: inc)?)?"
+NEGATED = "not-granted"
+
+
+def _versions(label: str, keyword: str, words: str, version: str) -> list[tuple[str, int, str, str]]:
+    """A GNU license's version before its name, or in a later clause, and with the choice of later ones."""
+    return [
+        (label, 1, keyword, rf"version {version}(?: only)? of the {words}{_FSF}"),
+        (label, 1, keyword, rf"{words}{_FSF} version {version} (?:only )?of the {L}"),
+        (f"{label}-or-later", 1, keyword, rf"{words}{_FSF}(?: either)? version {version}(?: of the {L})? or (?:at your option )?any later version"),
+        (f"{label}-or-later", 1, keyword, rf"(?:either )?version {version} of the {words}{_FSF} or (?:at your option )?any later version"),
+    ]
+
+
+def _file_notice(label: str, keyword: str, words: str) -> tuple[str, int, str, str]:
+    return label, 1, keyword, rf"(?:subject to|licensed under) the (?:terms of the )?{words}(?: {ANY}){{0,8}}? you may not use this file except in compliance with the {L}"
+
+
+#: (label, priority, keyword, rule), written by hand from the notices themselves.
+NOTICES = [
+    *_versions("gpl-1.0", "general", _GPL, "1"),
+    *_versions("gpl-2.0", "general", _GPL, "2"),
+    *_versions("gpl-3.0", "general", _GPL, "3"),
+    *_versions("lgpl-2.0", "general", _LGPL, "2"),
+    *_versions("lgpl-2.1", "general", _LGPL, "2 1"),
+    *_versions("lgpl-3.0", "general", _LGPL, "3"),
+    *_versions("agpl-3.0", "affero", _AGPL, "3"),
+    _file_notice("apache-2.0", "compliance", rf"apache {L}"),
+    _file_notice("mpl-1.1", "compliance", rf"mozilla public {L}"),
+    _file_notice("cddl-1.0", "compliance", rf"common development and distribution {L}"),
+    _file_notice("ecl-2.0", "compliance", rf"educational community {L}"),
+    ("apache-2.0", 2, "compliance", rf"you may not use this (?:file|work|software) except in compliance with the {L}"),
+    ("apache-2.0", 2, "applicable", rf"unless required by applicable law or agreed to in writing software distributed under the {L} is distributed on an as is basis"),
+    ("apache-2.0", 2, "perpetual", rf"perpetual worldwide non ?exclusive no charge royalty free irrevocable copyright {L}"),
+    ("mit", 2, "substantial", r"(?:this|the above) (?:copyright notice and this )?permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit-0", 1, "hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("x11", 1, "advertising", r"the name of (?:the )?(?:x consortium|copyright holders?|authors?|above) shall not be used in advertising or otherwise to promote the sale"),
+    ("isc", 1, "permission", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee"),
+    ("isc", 2, "permission", r"permission to use copy modify and distribute this software for any purpose"),
+    ("hpnd", 1, "permission", r"permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose"),
+    ("bsl-1.0", 1, "organization", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("bsd-3-clause", 1, "endorse", rf"neither the names? (?:{ANY} ){{1,20}}?may be used to endorse or promote products derived from this software"),
+    ("bsd-3-clause", 2, "endorse", r"the names? of (?:the )?(?:authors?|copyright holders?|contributors) may not be used to endorse or promote products"),
+    ("bsd", 2, "redistributions", r"redistributions of source code must retain the(?: above)? copyright notice"),
+    ("bsd", 2, "redistributions", r"redistributions in binary form must reproduce the(?: above)? copyright notice"),
+    ("bsd-4-clause", 1, "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-0-clause", 1, "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("zlib", 2, "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", 2, "plainly", r"altered source versions must be plainly marked as such"),
+    ("zlib", 2, "liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", 1, "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", 1, "waived", r"waived all copyright and (?:all )?related (?:or|and) neighbou?ring rights"),
+    ("wtfpl", 1, "want", r"you just do what the (?:fuck|f) you want to"),
+    ("beerware", 1, "stuff", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("beerware", 2, "beer", rf"(?:the )?beer ?ware {L}"),
+    ("json", 1, " evil~", r"the software shall be used for good not evil"),
+    ("mpl-2.0", 1, " mpl~", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", 2, "provisions", r"the contents of this file (?:are|may be) (?:subject to|used under) the (?:terms|provisions) of"),
+    ("sleepycat", 2, "sleepycat", rf"sleepycat {L}"),
+    ("openldap-2.8", 2, "openldap", rf"openldap public {L}(?: {_v('2', '8')})?"),
+    ("ijg", 2, "jpeg", r"this software is based in part on the work of the independent jpeg group"),
+    ("ftl", 2, "freetype", rf"freetype (?:project )?{L}"),
+    ("imagemagick", 2, "imagemagick", rf"imagemagick {L}"),
+    ("curl", 2, " curl~", rf"curl {L}"),
+    ("icu", 2, " icu~", rf"icu {L}"),
+    ("unicode", 2, "unicode", rf"unicode (?:{L} agreement|{L} v3|inc {L})"),
+    ("artistic-or-gpl", 1, " perl~", r"under the same terms as (?:the )?perl(?: itself|5| 5)?(?: programming language)?"),
+    ("psf-2.0", 2, "python", rf"psf {L} agreement for python"),
+    ("ofl-1.1", 1, "reserved", r"with reserved font names?"),
+    ("cc", 3, "redistribute", r"you are free to share copy and redistribute the material in any medium or format"),
+    ("cc", 3, "attribution", r"you must give appropriate credit provide a link to the licen[sc]e"),
+    ("classpath-exception", 1, "classpath", r"(?:with )?(?:the )?(?:gnu )?classpath(?: linking)? exception(?: 2 0)?"),
+    ("classpath-exception", 1, "independent", r"as a special exception the copyright holders of this library give you permission to link this library with independent modules"),
+    ("gcc-exception", 1, "runtime", r"(?:with )?(?:the )?gcc runtime library exception(?: version)?(?: 3 1)?"),
+    ("llvm-exception", 1, "llvm", r"(?:with )?(?:the )?llvm exceptions?"),
+    ("openssl-exception", 1, "openssl", r"permission to link (?:the code of )?(?:portions of )?this program with (?:the )?openssl"),
+    ("bison-exception", 1, "bison", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("autoconf-exception", 1, "autoconf", rf"as a special exception (?:{ANY} ){{1,30}}?configuration script generated by autoconf"),
+    ("linux-syscall-note", 1, "syscall", r"(?:with )?linux syscall note"),
+    ("font-exception", 1, " font~", r"(?:with )?(?:gpl )?font exception"),
+    ("commons-clause", 1, "clause", rf"commons clause(?: {L})?(?: condition)?(?: v1 0)?"),
+    ("busl-1.1", 2, "additional", r"additional use grant"),
+    ("elastic-2.0", 1, "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("eula", 2, "agreement", rf"end user {L} agreement"),
+    ("non-commercial", 2, "commercial", r"(?:for )?(?:personal(?: and)? )?non ?commercial (?:use|purposes) only"),
+    ("non-commercial", 2, "purposes", r"for (?:academic|research|educational|evaluation) (?:and non ?commercial )?purposes only"),
+    ("proprietary", 2, "unauthori", r"unauthori[sz]ed (?:copying|use|reproduction|distribution|duplication)(?: or [^ ~]+)? of this (?:file|software|program|document|work)"),
+    ("proprietary", 2, "publication", r"no part of this publication may be reproduced"),
+    ("proprietary", 2, "secrets", r"contains (?:confidential (?:information )?and )?trade secrets of"),
+    ("proprietary", 2, "internal", r"for internal use only"),
+    ("warranty-disclaimer", 3, "warrant", r"without any express or implied warrant(?:y|ies)"),
+    ("warranty-disclaimer", 3, "merchantability", r"(?:implied )?warrant(?:y|ies) of merchantability"),
+    ("warranty-disclaimer", 3, "warrant", rf"provided (?:by (?:{ANY} ){{1,10}})?as is and any express or implied warranties"),
+    (NEGATED, 0, " not~| never~| longer~| nor~| t~", rf"(?:not|never|no longer|nor|t) (?:been |be )?{NOTICE}(?:{ANY} ){{0,6}}?{L}"),
+]
+
 
 #: What most rules can't match without, whatever their other words.
 STEM = "licen"
@@ -220,4 +318,5 @@ def _rule(label: str, kind: str, priority: int, keyword: str, text: str) -> Rule
 def rules() -> list[Rule]:
     out = [_rule(f.label, kind, p, f.keyword, text) for kind, p, make in TEMPLATES for f in FAMILIES if (text := make(f))]
     out += [_rule(label, "other", p, keyword, text) for label, p, keyword, text in OTHER]
+    out += [_rule(label, "notice", p, keyword, text) for label, p, keyword, text in NOTICES]
     return sorted(out, key=lambda r: (r.priority, r.label, r.kind))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, plain
-from .license_rules import STEM, Rule, rules
+from .license_rules import NEGATED, STEM, Rule, rules
 
 #: (label, phrase) that are found at every place.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
@@ -36,7 +36,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def pattern(text: str) -> str:
     """The rule's regex over numbered words."""
-    return f"(?<= )(?:{text.replace(' ?', '(?: )?').replace(' ', _NUMBER + ' ')}){_NUMBER}(?= )"
+    letters = [part.replace(" ?", "(?: )?").replace(" ", _NUMBER + " ") for part in text.split("[^ ~]")]
+    return f"(?<= )(?:{'[^ ~]'.join(letters)}){_NUMBER}(?= )"
 
 
 def keywords(table: list[Rule]) -> dict[str, list[str]]:
@@ -146,11 +147,12 @@ def license_scan(docs: DataFrame, keep: list[str] | None = None, text: str = "te
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """row, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections."""
+    """row, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections. Denied grants count as detections, but are no labels and no score."""
     labels = lambda *arrays: F.array_join(F.array_sort(F.array_distinct(F.concat(*arrays))), ",")
-    base, more = F.col("base.label"), F.col("detections.label")
-    best = F.get(F.array(*map(F.lit, SURE)), F.array_min("detections.priority"))
-    score = F.when(F.size("detections") > 0, best).when(F.size("base") > 0, F.lit(BASE_SURE)).otherwise(F.lit(0.0))
+    granted = F.filter("detections", lambda d: d["label"] != NEGATED)
+    base, more = F.col("base.label"), granted["label"]
+    best = F.get(F.array(*map(F.lit, SURE)), F.array_min(granted["priority"]))
+    score = F.when(F.size(granted) > 0, best).when(F.size("base") > 0, F.lit(BASE_SURE)).otherwise(F.lit(0.0))
     return found.select(
         "row", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.first").cast("long").alias("first_word"), F.array_max("base.first").cast("long").alias("last_word"),
         labels(base).alias("base_labels"), labels(base, more).alias("labels"), score.alias("score"), F.size("detections").cast("long").alias("n_detections"),
