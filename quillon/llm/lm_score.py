@@ -105,6 +105,13 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return (keys >> np.uint64(65 - segments.bit_length())).astype(np.int64) if segments > 1 else np.zeros(len(keys), np.int64)
 
 
+def by_segment(keys: np.ndarray, segments: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The segments that sorted keys occur in, and the keys of each; as much work as there are keys, however many segments there are."""
+    own = segment_of(keys, segments)
+    edge = np.flatnonzero(np.concatenate([[len(own) > 0], own[1:] != own[:-1]]))
+    return own[edge], np.split(keys, edge[1:])[: len(edge)]
+
+
 class LogFilter:
     """Segments of the filter for one kind of n-gram: lengths of their blobs, to be filled. Those without are empty."""
 
@@ -275,9 +282,8 @@ def _levels_at_segments(rows: DataFrame, model: Model, text: str) -> DataFrame:
             for lo, hi in _runs(chunks):
                 w, _ = tokens(batch.column(1).slice(lo, hi - lo))
                 for kind, keys in ((WORDS, np.unique(np.append(w, END))), (PAIRS, np.unique(pairs(w)))):
-                    cut = np.searchsorted(segment_of(keys, n), np.arange(n + 1))
-                    some = np.flatnonzero(np.diff(cut))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunks[lo])), pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([keys[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["chunk", "kind", "seg", "keys"])
+                    some, parts = by_segment(keys, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunks[lo])), pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "kind", "seg", "keys"])
 
     def answer(asked: pa.Table, parts: pa.Table) -> pa.Table:
         if not asked.num_rows:

@@ -36,3 +36,22 @@ def test_frequent_windows_do_not_multiply_places(spark):
     got = {r.row.doc_id: r.found for r in D.decontaminate(docs, bench, block_bytes=0).collect()}
     held = {r.row.doc_id: r.found for r in D.decontaminate(docs, bench).collect()}
     assert got == held and got[99].n_hit == 0 and len(got[3]["items"]) == 401 and got[3].n_hit == 148  # the last two words are in no window of ten
+
+
+def test_keys_are_cut_by_the_segments_that_occur():
+    import time
+
+    import numpy as np
+
+    from quillon.llm import lm_score as LM
+
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 30_000).astype(np.uint64) << np.uint64(1))
+    took = {}
+    for segments in (1, 16, 1 << 10, 1 << 20, 1 << 23):
+        began = time.perf_counter()
+        some, parts = LM.by_segment(keys, segments)
+        took[segments] = time.perf_counter() - began
+        assert (np.concatenate(parts) == keys).all() and len(some) == len(parts)
+        assert all((LM.segment_of(p, segments) == s).all() and len(p) for s, p in list(zip(some, parts, strict=True))[:200])
+    assert took[1 << 23] < 0.25
+    assert [len(x) for x in LM.by_segment(keys[:0], 1 << 20)] == [0, 0]
