@@ -40,22 +40,20 @@ NARROW = 32
 
 
 def _new_path(spark: SparkSession, kind: str) -> str:
-    """A path in the shared folder that Hadoop deletes when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/quillon-{kind}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
+    return f"{shared_dir(spark).rstrip('/')}/quillon-{kind}-{uuid.uuid4().hex}"
 
 
 def _once(spark: SparkSession, key: tuple[str, str], write_to: Callable[[str], object]) -> str:
-    """The path that write_to has written in this session for key; written again if it has gone."""
+    """The path in the shared folder that write_to has written in this session for key; written again if it has gone. Hadoop deletes it when the driver ends."""
     if not hasattr(spark, "_quillon_written"):
         spark._quillon_written = {}
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = lambda path: hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     path = spark._quillon_written.get(key)
-    p = path and spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p or not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if not path or not files(path).exists(hadoop(path)):
         path = _new_path(spark, key[0])
         write_to(path)
+        files(path).deleteOnExit(hadoop(path))
         spark._quillon_written[key] = path
     return path
 

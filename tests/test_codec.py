@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions.codec import common_prefix, front_decode, front_encode, gamma_decode, gamma_encode
 from quillon.functions.ordinals import with_ordinal
 from quillon.operators import gaps as G
+from quillon.plans.index import chunk_lists, with_skips
 from pyspark.sql.window import Window
 
 QUICK = settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -44,13 +45,14 @@ def test_front_coding_round_trip(spark):
 def test_gaps_and_back_with_small_chunks(spark):
     r = random.Random(5)
     rows = [(t, i) for t in "ab" for i in sorted(r.sample(range(1, 1000), 200))]
-    df = spark.createDataFrame(rows, "term string, review_id long")
-    gapped = G.gaps(df, chunk=16)
+    entries = spark.createDataFrame([(t, i, 1, 9) for t, i in rows], "term string, review_id long, tf long, length int")
+    chunks = with_skips(chunk_lists(entries, 16))
+    gapped = G.gaps(chunks)
     last = {}
     expected = set()
     for t, i in rows:
         expected.add((t, i, i - last.get(t, 0)))
         last[t] = i
     assert {tuple(x) for x in gapped.collect()} == expected
-    back = G.ids(gapped.join(G.positions(df, chunk=16), ["term", "review_id"]).select("term", "seq", "gap"), chunk=16)
+    back = G.ids(G.gap_lists(chunks))
     assert sorted((x.term, x.seq, x.review_id) for x in back.collect()) == sorted((t, k, i) for t in "ab" for k, i in enumerate(i for u, i in rows if u == t))
