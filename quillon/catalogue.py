@@ -58,11 +58,11 @@ def _once(spark: SparkSession, key: tuple[str, str], write_to: Callable[[str], o
     return path
 
 
-def _stored(f: Callable[[Index], DataFrame]) -> Query:
-    """f over an index of the documents that is written and opened again."""
+def _stored(f: Callable[[Index], DataFrame], kind: str = "index", source: Query = from_documents) -> Query:
+    """f over an index of the source's reviews that is written and opened again."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(open_index(spark, _once(spark, ("index", sf_dir), lambda path: write(from_documents(spark, sf_dir), path, NARROW))))
+        return f(open_index(spark, _once(spark, (kind, sf_dir), lambda path: write(source(spark, sf_dir), path, NARROW))))
 
     return query
 
@@ -227,7 +227,7 @@ def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turns(f: Callable[[Index], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(build(from_conversations(spark, sf_dir)))
+    return _stored(f, "turns", from_conversations)
 
 
 QUERIES: dict[str, Query] = {

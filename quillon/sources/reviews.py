@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordinals import with_ordinal
+
 PRODUCT, HELPFULNESS, SCORE, TEXT = "product/productId:", "review/helpfulness:", "review/score:", "review/text:"
 
 
@@ -62,11 +64,10 @@ def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as reviews of their conversation, without score and helpfulness. Ids follow conversation and turn; a count a
-    block of conversations gives the offsets."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("block", F.floor(F.col("conv_id") / 1024))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = c.groupBy("block").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    rank = F.row_number().over(Window.partitionBy("block").orderBy("conv_id", "turn"))
+    """Turns as reviews of their conversation, without score and helpfulness. Ids follow conversation and turn, however far apart
+    those are; turns without either come first, and of a repeated turn role and text decide."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    key = F.struct("conv_id", "turn", F.xxhash64("role", "text").alias("rest")).alias("place")
+    numbered = with_ordinal(c.select(key, F.col("conv_id").cast("string").alias("product_id"), F.lower("text").alias("text")), "place", "before")
     none = F.lit(None).cast("int")
-    return c.join(offsets, "block").select((F.col("before") + rank).cast("long").alias("review_id"), F.col("conv_id").cast("string").alias("product_id"), none.alias("score"), none.alias("helpful_num"), none.alias("helpful_den"), F.lower("text").alias("text"))
+    return numbered.select((F.col("before") + 1).alias("review_id"), "product_id", none.alias("score"), none.alias("helpful_num"), none.alias("helpful_den"), "text")
