@@ -238,6 +238,19 @@ def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARD_SIZES_SQL = "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, 'rows' AS law, CAST(NULL AS INTEGER) AS grown_shard FROM documents"
 
 
+def sharding_by_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op2 with edges: each document is linked to the least id of its near copies (five words, 0.8). cut: whether the two are in
+    different shards; hash_cut: whether dealing by the text's hash, which keeps equal texts together too, would part them.
+    Both are null without a link. Of rows that repeat an id, the smallest link, shard and hash stand for it."""
+    docs = documents(spark, sf_dir)
+    links = stash(ngram_join(docs, Alike(words=5, num=80, den=100)).where("id <> component_id").groupBy(F.col("id").alias("a")).agg(F.min("component_id").alias("b")), "links")
+    dealt = stash(shard_documents(docs, shards=24, edges=links.withColumn("w", F.lit(1).cast("long"))), "dealt").withColumn("by_hash", (F.col("text_crc32") % 24).cast("int"))
+    ends = dealt.where("id is not null").groupBy(F.col("id").alias("b")).agg(F.min("shard").alias("b_shard"), F.min("by_hash").alias("b_hash"))
+    known = links.join(ends, "b").select(F.col("a").alias("id"), F.col("b").alias("linked_to"), "b_shard", "b_hash")
+    out = dealt.join(known, "id", "left")
+    return out.select(F.col("id").alias("doc_id"), "linked_to", "shard", "slot", (F.col("shard") != F.col("b_shard")).alias("cut"), (F.col("by_hash") != F.col("b_hash")).alias("hash_cut"))
+
+
 def _crc32(digits: str) -> str:
     """DuckDB's SQL for the CRC-32 of a string of ASCII characters: a fold over its bytes, eight shifts after each."""
     steps = f"flatten(list_transform(string_split({digits}, ''), lambda ch: list_prepend(CAST(ascii(ch) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1])))"
@@ -295,7 +308,7 @@ LANGUAGE_SPLIT_SQL = f"""SELECT doc_id, coalesce({_crc32("CAST(doc_id AS VARCHAR
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_license_scan, op2_sharding, op3_lm_scoring, op4_token_counts, op5_mixing, op6_language_id, op7_ngram_join, op8_decontamination, op9_exact_dedup, op10_chat_format, op11_hard_negatives, op12_topk_search, op13_dimension_history)
-    own += (license_base, shard_counts, shard_sizes, lm_base, token_bytes, mix_targets, language_split, decontamination_by_join)
+    own += (license_base, shard_counts, shard_sizes, lm_base, token_bytes, mix_targets, language_split, decontamination_by_join, sharding_by_links)
     return {f.__name__: f for f in own}
 
 

@@ -5,7 +5,7 @@ of its group in the same one of CELLS cells; such a unit moves as one. In each r
 shards that hold most of it, as few as the quota allows; shards take no more than their quota, so of what wants to move
 from one shard to another a share is let through, group by group. Groups above a CELLS_PER_SHARD-th of a quota, of which there
 are no more than cells, are packed before all others, as whole as the quota allows. Where documents have links of other
-kinds, weighted edges, groups then go to the shards that most of their edges lead to, under the same quotas. When nothing moves any more, rows without a link, and
+kinds, weighted edges, groups then go to the shards that most of their edges lead to, under the same quotas. When nothing moves any more, or after ROUNDS rounds of each kind, rows without a link, and
 rows beyond a shard's quota, fill the shards up until the counts are at most one apart.
 
 Defined results: a null text has no bytes and counts as equal to the empty text; repeated rows are documents of one group;
