@@ -3,10 +3,10 @@
 Each source has a target of words. Among all rates r of documents that meet the targets and stay within MOST, those are
 taken that are nearest to 1 in relative entropy: r = min(MOST, exp(lambda * size / mean size)), a lambda for each source.
 Newton iterations find the lambdas from the dual's gradient and curvature, each a distributed aggregation over the
-counts of documents by source and size; a bracket around each root keeps them safe. Rates become whole copies by a
-threshold from a hash of the id; one shift a source, found by three passes over a grid, brings the sum of the copies'
-words to the target, and two ladders of single documents, four a power of two, to take once more or once less, close what is
-left.
+counts of documents by source and size, several to a job; a bracket around each root keeps them safe. Rates become whole
+copies by a threshold from a hash of the id; one shift a source brings the sum of the copies' words to the target, found in
+one pass from the words that each of CELLS possible shifts adds; and two ladders of single documents, four a power of two, to
+take once more or once less, close what is left.
 
 Defined results: a null text has size 0 and is taken whole, which is no words; a null source is a source of its own, the
 last; rows that repeat an id are told apart by their text's hash, and equal rows by a number, so each is rounded for itself
@@ -33,8 +33,11 @@ SHARE = 1.5
 MOST = 2
 WEIGHTS = (3, 1, 2)
 ROUNDS = 60
+#: Newton steps in one job.
+STEPS = 4
 NEAR = 1e-7
-GRID = 32
+#: Shifts from -1 up to 1 that a source may have; a source has as many rows at most when they are summed.
+CELLS = 1 << 15
 BUCKET_BITS = 18
 #: Parts of rows that are equal altogether, at most.
 TASKS = 1024
@@ -75,6 +78,21 @@ def targets(sizes: DataFrame, share: float, most: int, weights: tuple[int, ...])
     return t.withColumn("target", target).select("key", "source_size", "mean", "least", "target", (F.col("target") >= F.col("cap")).alias("full"))
 
 
+def _newton(table: DataFrame, state: DataFrame, most: int) -> DataFrame:
+    """state after one step, and off: how far from its target each source was before it. A source that is near stays."""
+    x = F.col("size") / F.col("mean")
+    tilt = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
+    moved = table.join(state, "key").groupBy("key", "target", "mean", "lo", "hi", "lam").agg(
+        F.sum(F.col("n") * F.col("size") * F.least(tilt, F.lit(float(most)))).alias("got"),
+        F.sum(F.when(tilt < float(most), F.col("n") * F.col("size") * x * tilt).otherwise(0.0)).alias("slope"),
+    )
+    gap = F.col("got") - F.col("target")
+    moved = moved.withColumn("lo", F.when(gap < 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(gap > 0, F.col("lam")).otherwise(F.col("hi")))
+    newton = F.col("lam") - F.try_divide(gap, F.col("slope"))
+    step = F.when(F.abs(gap) <= NEAR * F.col("target"), F.col("lam")).when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
+    return moved.select("key", "target", "mean", "lo", "hi", step.alias("lam"), (F.abs(gap) / F.col("target")).alias("off"))
+
+
 def balance(sizes: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     """sources with the column lam that meets each target."""
     table = stash(sizes.where("size > 0").groupBy("key", "size").agg(F.count("*").cast("double").alias("n")), "sizes")
@@ -83,22 +101,14 @@ def balance(sizes: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     start = sources.where(~F.col("full")).select("key", "target", "mean", (F.log(F.lit(float(most))) / x_least).alias("hi"), (F.log(F.col("target") / F.col("source_size")) / x_least).alias("lo"))
     state = start.select("key", "target", "mean", F.least("lo", F.lit(-1e-9)).alias("lo"), "hi", F.lit(0.0).alias("lam"))
     state = stash(state, "state")
-    for _ in range(ROUNDS):
-        x = F.col("size") / F.col("mean")
-        tilt = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
-        moved = table.join(state, "key").groupBy("key", "target", "mean", "lo", "hi", "lam").agg(
-            F.sum(F.col("n") * F.col("size") * F.least(tilt, F.lit(float(most)))).alias("got"),
-            F.sum(F.when(tilt < float(most), F.col("n") * F.col("size") * x * tilt).otherwise(0.0)).alias("slope"),
-        )
-        gap = F.col("got") - F.col("target")
-        moved = moved.withColumn("lo", F.when(gap < 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(gap > 0, F.col("lam")).otherwise(F.col("hi")))
-        newton = F.col("lam") - F.try_divide(gap, F.col("slope"))
-        step = F.when(F.abs(gap) <= NEAR * F.col("target"), F.col("lam")).when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
-        new = stash(moved.select("key", "target", "mean", "lo", "hi", step.alias("lam"), (F.abs(gap) / F.col("target")).alias("off")), "state")
+    for _ in range(0, ROUNDS, STEPS):
+        moved = state
+        for _ in range(STEPS):
+            moved = _newton(table, moved, most)
+        new = stash(moved, "state")
         unstash(state)
-        state = new.drop("off")
-        state._quillon_path = new._quillon_path
-        off = new.agg(F.max("off")).first()[0]
+        state = new
+        off = state.agg(F.max("off")).first()[0]
         if off is None or off <= NEAR:
             break
     else:  # the brackets halve each round, so what is left is beyond what doubles can tell apart
@@ -191,22 +201,36 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     return docs.select(docs[f"`{id_col}`"].alias("id"), _key(docs[f"`{source}`"]).alias("key"), word_count(docs[f"`{text}`"]).alias("size"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("hash"), *row)
 
 
+def shifts(own: Mix, sizes: DataFrame) -> DataFrame:
+    """own.sources with the column shift: of CELLS shifts from -1 up to 1, the greatest at which the copies' words aren't above
+    the target, or -1.
+
+    A document has floor(rate + u) - 1 copies at -1; one more from where the shift lifts rate + u to its own whole part on, and
+    another from the next whole number on. These are words at a cell each; running sums over a source's cells meet the target.
+    """
+    v = F.col("rate") + F.col("u")
+    whole = F.floor(v)
+    cell = lambda m: F.ceil((m - v + 1) * (CELLS // 2)).cast("int")
+    adds = F.array(
+        F.struct(F.lit(0).alias("cell"), (F.col("size") * F.greatest(whole - 1, F.lit(0))).alias("words")),
+        F.struct(cell(whole).alias("cell"), F.when(whole.between(1, own.most), F.col("size")).otherwise(0).alias("words")),
+        F.struct(cell(whole + 1).alias("cell"), F.when(whole + 1 <= own.most, F.col("size")).otherwise(0).alias("words")),
+    )
+    words = own.rated(sizes.where("size > 0")).where(~F.col("full")).select("key", "target", F.inline(adds)).groupBy("key", "target", "cell").agg(F.sum("words").alias("words"))
+    so_far = F.sum("words").over(Window.partitionBy("key").orderBy("cell"))
+    over = words.withColumn("so_far", so_far).where(F.col("so_far") > F.col("target")).groupBy("key").agg(F.min("cell").alias("over"))
+    at = F.greatest(F.lit(0), F.coalesce(F.col("over") - 1, F.lit(CELLS - 1)))
+    return own.sources.join(over, "key", "left").withColumn("shift", at * (2.0 / CELLS) - 1.0).drop("over")
+
+
 def mix(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> Mix:
     """sizes: id, key, size, hash of every document, stashed."""
     sizes = numbered(sizes)
     sources = stash(targets(sizes, share, most, weights), "targets")
-    sources = stash(balance(sizes, sources, most).withColumn("low", F.lit(-1.0)).withColumn("step", F.lit(2.0 / GRID)), "lambdas")
     none = sizes.select(*EACH, F.lit(0).alias("one")).limit(0)
-    for _ in range(3):
-        own = Mix(sources, none, most, share)
-        rated = own.rated(sizes)
-        sums = [F.sum(F.col("size") * own.copies(F.col("low") + F.col("step") * j)).alias(f"s{j}") for j in range(GRID)]
-        best = F.aggregate(F.array(*[F.col(f"s{j}") <= F.col("target") for j in range(1, GRID)]), F.lit(0), lambda a, x: a + x.cast("int"))
-        found = rated.groupBy("key", "target").agg(*sums).select("key", best.alias("best"))
-        new = stash(sources.join(found, "key").withColumn("low", F.col("low") + F.col("step") * F.col("best")).withColumn("step", F.col("step") / GRID).drop("best"), "shifts")
-        unstash(sources)
-        sources = new
-    sources = sources.withColumn("shift", F.col("low")).drop("low", "step")
+    balanced = stash(balance(sizes, sources, most), "lambdas")
+    sources = stash(shifts(Mix(balanced, none, most, share), sizes), "shifts")
+    unstash(balanced)
     own = Mix(sources, none, most, share)
     taken = own.rated(sizes).withColumn("copies", own.copies(F.col("shift")))
     lacks = taken.groupBy("key").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("lack"))
