@@ -6,7 +6,8 @@ maximisation estimates the proportions. Of the sets of its 1, 2, ... likeliest l
 penalised likelihood (BIC) is chosen; the language with the largest proportion in it is the prediction.
 
 Defined results: a null text or one without a letter is `und` with score 0; nulls in the label are not learned from;
-without any label all texts are `und`. Texts are read whole. What is broadcast are BUCKETS numbers a language.
+without any label all texts are `und`. More than MOST_LANGS labels are an error, so what the driver gets and what is broadcast,
+BUCKETS numbers a language, is bounded. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -21,12 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import map_text, plain, release, small_batches
+from .common import map_text, plain, release, slices, small_batches, stash, unstash
 
 BUCKETS = 1 << 16
 SMOOTH = 0.2
 ROUNDS = 12
 UNKNOWN = "und"
+#: Labels that a model can have: 64 MiB of BUCKETS numbers of four bytes each.
+MOST_LANGS = 256
+#: Distinct (label, bucket) counts that a task holds before it sends them on.
+HELD = 1 << 20
 
 _ASCII = np.zeros(256, bool)
 _ASCII[65:91] = _ASCII[97:123] = True
@@ -120,30 +125,50 @@ class Model:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> Model:
-    """Counts over all rows of labelled; the driver gets buckets numbers a language."""
+    """Counts over all rows of labelled, kept and sent sparsely; the driver gets buckets numbers a language at most."""
     labelled = plain(labelled)
     small_batches(labelled.sparkSession)
     rows = labelled.where(labelled[f"`{lang}`"].isNotNull()).select(labelled[f"`{lang}`"].cast("string").alias("lang"), F.coalesce(labelled[f"`{text}`"].cast("string"), F.lit("")).alias("text"))
 
     def count(batches):
-        held: dict[str, np.ndarray] = {}
-        from .common import slices
+        place: dict[str, int] = {}
+        keys, counts, fresh, waiting = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+        def merged():
+            every = np.concatenate([keys, *[k for k, _ in fresh]])
+            some, back = np.unique(every, return_inverse=True)
+            return some, np.bincount(back, weights=np.concatenate([counts, *[c for _, c in fresh]]), minlength=len(some)).astype(np.int64)
+
+        def sent():
+            names = pa.array(list(place), pa.string())
+            for lo in range(0, len(keys), 1 << 16):
+                part = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(keys[part] // buckets)), pa.array(keys[part] % buckets), pa.array(counts[part])], names=["lang", "bucket", "n"])
 
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 texts, names = batch.column(1).slice(lo, hi - lo), batch.column(0).slice(lo, hi - lo)
                 own, first, words, _ = _trigrams(texts)
                 coded = pc.dictionary_encode(names)
-                letters = np.repeat(coded.indices.to_numpy(), np.diff(np.append(first, len(own))[words]))
-                tall = np.bincount(letters * buckets + own, minlength=len(coded.dictionary) * buckets).reshape(-1, buckets)
-                for name, c in zip(coded.dictionary.to_pylist(), tall, strict=True):
-                    held[name] = held[name] + c if name in held else c
-        for name, c in held.items():
-            some = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(c[some], pa.int64())], names=["lang", "bucket", "n"])
+                at = np.array([place.setdefault(x, len(place)) for x in coded.dictionary.to_pylist()], np.int64)
+                letters = np.repeat(at[coded.indices.to_numpy()], np.diff(np.append(first, len(own))[words]))
+                fresh.append(np.unique(letters * buckets + own, return_counts=True))
+                waiting += len(fresh[-1][0])
+                if waiting > HELD:
+                    (keys, counts), fresh, waiting = merged(), [], 0
+                    if len(keys) > HELD:
+                        yield from sent()
+                        place, keys, counts = {}, keys[:0], counts[:0]
+        keys, counts = merged()
+        yield from sent()
         release()
 
-    counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = stash(rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    many = found.select("lang").distinct().count()
+    if many > MOST_LANGS:
+        raise ValueError(f"learn: {many} labels in {lang}, at most {MOST_LANGS} are allowed")
+    counts = found.toArrow()
+    unstash(found)
     langs = sorted(pc.unique(counts["lang"]).to_pylist())
     table = np.full((buckets, len(langs)), SMOOTH)
     if langs:
