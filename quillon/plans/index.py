@@ -4,12 +4,17 @@ A term's posting list is cut by ranges of CHUNK review ids into chunks, one row
 their reviews' lengths, and beside them stand what a search or a scan needs to skip or enter the chunk: its first and last
 id, count, greatest tf, least length and greatest tf / length, the last id and the number of postings before it. All terms are
 cut at the same ids, so a range of ids can be judged for a whole query.
+
+A stored index's lists are made and written by blocks of review ids, each in one task: what moves are the texts, once, and a short row for each
+term of a block, which says what stands before the block. No posting and no chunk is ever shuffled.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +26,8 @@ from ..functions.text import tokens
 
 MARK = "_QUILLON_INDEX"
 CHUNK = 1024
+#: A block of a stored index has at most about so many tokens, which its task sorts, but at least a chunk's ids; small tables have a block a core.
+BLOCK_TOKENS = 1 << 21
 STORED = ("reviews", "chunks", "lexicon", "products", "product_reviews", "stats")
 #: Columns by which rows are looked up; row groups without the value are told by Bloom filters.
 LOOKED_UP = {"chunks": "term", "lexicon": "term", "products": "product_id", "product_reviews": "product_id"}
@@ -43,27 +50,26 @@ class Index:
         return self.entries.select("term", "review_id", "tf")
 
 
-def entries_of(reviews: DataFrame) -> DataFrame:
-    """A1, A2: term, review_id, tf, length. All occurrences of a (term, review) are in one row, so they are counted there, as runs of the sorted tokens: nothing is shuffled."""
-    rows = reviews.select("review_id", F.sort_array(tokens("text")).alias("s"))
+def entries_of(reviews: DataFrame, beside: Sequence[str] = ()) -> DataFrame:
+    """A1, A2: term, review_id, tf, length and the columns beside. All occurrences of a (term, review) are in one row, so they are counted there, as runs of the sorted tokens: nothing is shuffled."""
+    rows = reviews.select(*beside, "review_id", F.sort_array(tokens("text")).alias("s"))
     heads = F.filter(F.transform("s", lambda t, i: i), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
     rows = rows.withColumn("at", heads)
     runs = F.transform("at", lambda p, k: F.struct(F.get("s", p).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("s")) - p).cast("long").alias("tf")))
-    return rows.select("review_id", F.size("s").alias("length"), F.inline(runs)).select("term", "review_id", "tf", "length")
+    return rows.select(*beside, "review_id", F.size("s").alias("length"), F.inline(runs)).select("term", "review_id", "tf", "length", *beside)
 
 
 def postings_of(reviews: DataFrame) -> DataFrame:
     return entries_of(reviews).select("term", "review_id", "tf")
 
 
-def chunk_lists(entries: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The chunks, without what stands before them. A frequent term is as many keys as it has chunks."""
+def chunk_lists(entries: DataFrame, chunk: int = CHUNK, beside: Sequence[str] = ()) -> DataFrame:
+    """The chunks, without what stands before them. A frequent term is as many keys as it has chunks. beside: columns that are one value for a chunk."""
     number = F.floor(F.col("review_id") / chunk).cast("long").alias("chunk")
-    lists = entries.groupBy("term", number).agg(F.array_sort(F.collect_list(F.struct("review_id", "tf", "length"))).alias("l"))
-    ids, tfs, lengths = F.col("l.review_id"), F.col("l.tf"), F.col("l.length")
-    skips = [F.element_at(ids, 1).alias("first_id"), F.element_at(ids, -1).alias("last_id"), F.size("l").cast("long").alias("n"), F.aggregate(tfs, F.lit(0).cast("long"), lambda a, x: a + x).alias("cf")]
-    bounds = [F.array_max(tfs).alias("max_tf"), F.array_min(lengths).alias("min_length"), F.array_max(F.transform("l", lambda x: x["tf"] / x["length"])).alias("max_ratio")]
-    return lists.select("term", "chunk", *skips, *bounds, ids.alias("ids"), tfs.alias("tfs"), lengths.alias("lengths"))
+    skips = [F.min("review_id").alias("first_id"), F.max("review_id").alias("last_id"), F.count("*").alias("n"), F.sum("tf").alias("cf")]
+    bounds = [F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.max(F.col("tf") / F.col("length")).alias("max_ratio")]
+    lists = entries.groupBy(*beside, "term", number).agg(*skips, *bounds, F.sort_array(F.collect_list(F.struct("review_id", "tf", "length"))).alias("l"))
+    return lists.select(*beside, "term", "chunk", "first_id", "last_id", "n", "cf", "max_tf", "min_length", "max_ratio", F.col("l.review_id").alias("ids"), F.col("l.tf").alias("tfs"), F.col("l.length").alias("lengths"))
 
 
 def with_skips(lists: DataFrame) -> DataFrame:
@@ -74,6 +80,29 @@ def with_skips(lists: DataFrame) -> DataFrame:
     return lists.join(slim, ["term", "chunk"]).select("term", "chunk", "first_id", "last_id", "n", "cf", "max_tf", "min_length", "max_ratio", "before", "previous", "ids", "tfs", "lengths")
 
 
+def chunks_by_block(reviews: DataFrame, chunk: int, n_reviews: int, n_tokens: int) -> DataFrame:
+    """The chunks with what stands before them, by term and chunk within a block of ids; a block is in one partition.
+
+    before and previous are counted within the block; what stands before a block's first chunk of a term comes from a window over a
+    row for each (term, block). Both sides of that join are dealt by block, and read the same shuffled texts."""
+    tokens_a_block = min(BLOCK_TOKENS, max(1, n_tokens // reviews.sparkSession.sparkContext.defaultParallelism))
+    block = chunk * max(1, tokens_a_block * n_reviews // (max(1, n_tokens) * chunk))
+    parts = max(1, math.ceil(n_reviews / block))
+    at = F.floor(F.col("review_id") / block).cast("long")
+    place = ["part", "block"]
+    texts = reviews.select("review_id", "text", at.alias("block"), F.pmod(at, F.lit(parts)).cast("int").alias("part"))
+    texts = texts.where("part is not null and block is not null").repartitionById(parts, "part")  # what the join asks for, said for both sides, so that they share the exchange
+    own = Window.partitionBy(*place, "term").orderBy("chunk")
+    lists = chunk_lists(entries_of(texts, place), chunk, place)
+    lists = lists.withColumn("before", F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("previous", F.lag("last_id").over(own))
+    sums = texts.select(*place, "review_id", F.explode(F.array_distinct(tokens("text"))).alias("term")).groupBy(*place, "term").agg(F.count("*").alias("n"), F.max("review_id").alias("last_id"))
+    over = Window.partitionBy("term").orderBy("block")
+    sums = sums.select(*place, "term", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"), F.coalesce(F.lag("last_id").over(over), F.lit(0)).alias("latest"))
+    rows = lists.join(sums.repartitionById(parts, "part"), [*place, "term"])
+    rows = rows.withColumn("before", (F.col("earlier") + F.col("before")).cast("long")).withColumn("previous", F.coalesce("previous", "latest").cast("long"))
+    return rows.select("term", "chunk", "first_id", "last_id", "n", "cf", "max_tf", "min_length", "max_ratio", "before", "previous", "ids", "tfs", "lengths")
+
+
 def entries_in(chunks: DataFrame) -> DataFrame:
     """term, review_id, tf, length again."""
     return chunks.select("term", F.inline(F.arrays_zip("ids", "tfs", "lengths"))).toDF("term", "review_id", "tf", "length")
@@ -105,18 +134,18 @@ def product_reviews_of(reviews: DataFrame) -> DataFrame:
     return reviews.where("product_id is not null").select("product_id", "review_id")
 
 
-def stats_of(reviews: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """A5 to A7."""
+def stats_of(reviews: DataFrame, terms: DataFrame) -> DataFrame:
+    """A5 to A7. terms: a row for each."""
     r = reviews.agg(F.count("*").alias("n_reviews"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("n_tokens"))
-    return lexicon.agg(F.count("*").alias("n_terms")).crossJoin(F.broadcast(r)).select("n_terms", "n_reviews", "n_tokens")  # one row by one row
+    return terms.agg(F.count("*").alias("n_terms")).crossJoin(F.broadcast(r)).select("n_terms", "n_reviews", "n_tokens")  # one row by one row
 
 
 def build(reviews: DataFrame, chunk: int = CHUNK) -> Index:
     """The tables as lazy plans over reviews; review_id tells the rows apart."""
     r = with_length(reviews)
     entries = entries_of(r)
-    lexicon = lexicon_of(terms_of(entries))
-    return Index(r, entries, with_skips(chunk_lists(entries, chunk)), lexicon, products_of(r), product_reviews_of(r), stats_of(r, lexicon), chunk)
+    terms = terms_of(entries)
+    return Index(r, entries, with_skips(chunk_lists(entries, chunk)), lexicon_of(terms), products_of(r), product_reviews_of(r), stats_of(r, terms), chunk)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -148,10 +177,9 @@ def write(reviews: DataFrame, directory: str, chunk: int = CHUNK) -> Index:
 
     try:
         r = put(with_length(reviews.repartitionByRange("review_id").sortWithinPartitions("review_id")), "reviews")
-        lists = put(chunk_lists(entries_of(r), chunk), "lists")
-        terms = put(lists.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")), "terms")
-        put(with_skips(lists).repartitionByRange("term", "chunk").sortWithinPartitions("term", "chunk"), "chunks")
-        drop(f"{beside}/lists")
+        size = r.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
+        chunks = put(chunks_by_block(r, chunk, size["n"], size["tokens"]), "chunks")
+        terms = put(chunks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")), "terms")
         x = put(lexicon_of(terms).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
         drop(f"{beside}/terms")
         put(product_reviews_of(r).repartitionByRange("product_id", "review_id").sortWithinPartitions("product_id", "review_id"), "product_reviews")

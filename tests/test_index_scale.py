@@ -104,6 +104,21 @@ def test_gaps_move_no_postings(stored):
     assert G.ids(G.gap_lists(stored.chunks)).select("term", "review_id").exceptAll(stored.postings.select("term", "review_id")).count() == 0
 
 
+def test_chunks_are_made_where_their_block_is(spark, tmp_path, monkeypatch):
+    """What a write moves to make chunks are texts, once, and a row for each term of a block; over many blocks, with ids far apart too, all is as in one."""
+    monkeypatch.setattr(ix, "BLOCK_TOKENS", 1 << 13)
+    docs = from_documents(spark, "/root/testdata/sf0.001").withColumn("review_id", F.col("review_id") + F.when(F.col("review_id") > 50, 1_000_003).otherwise(0))
+    lazy = ix.build(docs, 8)
+    made = ix.chunks_by_block(lazy.reviews, 8, 100, 40_000)
+    rows = made.collect()
+    plan = plan_of(made).split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1
+    assert "collect_list" in plan and not any("Exchange" in a and "ObjectHashAggregate" in b for a, b in zip(plan.splitlines(), plan.splitlines()[1:]))
+    assert sorted(rows) == sorted(lazy.chunks.collect()) and len({r.chunk for r in rows}) > 10
+    stored = ix.write(docs, str(tmp_path / "blocks"), 8)
+    assert sorted(stored.chunks.collect()) == sorted(rows) and sorted(stored.lexicon.collect()) == sorted(lazy.lexicon.collect())
+
+
 def test_absent_keys_read_nothing(stored):
     assert rows_scanned(stored.chunks.where("term = 'thenotthere'")) == 0 < rows_scanned(stored.chunks.where("term = 'the'"))
     assert rows_scanned(stored.lexicon.where("term = 'thenotthere'")) == 0
