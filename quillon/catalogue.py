@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -13,7 +14,7 @@ from .functions.codec import PRODUCT_BLOCK, TERM_BLOCK, front_decode, front_enco
 from .functions.text import tokens
 from .operators import gaps as G
 from .operators import lookup, rank
-from .plans.index import Index, build, delete, open_index, write
+from .plans.index import Index, build, delete, lexicon_of, open_index, terms_of, write
 from .session import shared_dir
 from .sources.reviews import from_conversations, from_documents, parse_reviews
 
@@ -67,6 +68,17 @@ def _stored(f: Callable[[Index], DataFrame], kind: str = "index", source: Query
     return query
 
 
+def _ranked(f: Callable[[Index], DataFrame]) -> Query:
+    """f over an index whose terms are counted and written once: ordinals read their keys several times, and texts would be cut into tokens each time."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ix = _index(spark, sf_dir)
+        terms = spark.read.parquet(_once(spark, ("terms", sf_dir), lambda path: terms_of(ix.entries).write.parquet(path)))
+        return f(dataclasses.replace(ix, lexicon=lexicon_of(terms)))
+
+    return query
+
+
 def review_lookup(ix: Index) -> DataFrame:
     return ix.reviews.where(F.col("review_id").isin(IDS) & (F.col("review_id") >= 1)).select("review_id", "product_id", "score", "helpful_num", "helpful_den", "length")
 
@@ -240,10 +252,10 @@ QUERIES: dict[str, Query] = {
     "posting_list_array": _stored(posting_list_array),
     "posting_chunks": _stored(posting_chunks),
     "posting_lookup": _stored(lambda ix: lookup.postings(ix, "The").select("review_id", "tf")),
-    "token_frequency": _over(lambda ix: ix.lexicon.select("term", "df")),
-    "token_collection_frequency": _over(lambda ix: ix.lexicon.select("term", "cf")),
+    "token_frequency": _over(lambda ix: terms_of(ix.entries).select("term", "df")),
+    "token_collection_frequency": _over(lambda ix: terms_of(ix.entries).select("term", "cf")),
     "corpus_stats": _over(lambda ix: ix.stats),
-    "lexicon": _over(lambda ix: ix.lexicon),
+    "lexicon": _ranked(lambda ix: ix.lexicon),
     "products": _over(lambda ix: ix.products.select("product_ord", "product_id", "n_reviews")),
     "product_reviews": _over(lambda ix: ix.product_reviews.groupBy("product_id").agg(F.array_sort(F.collect_list("review_id")).alias("ids")).select("product_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("review_ids"))),
     "product_review_rows": _over(lambda ix: ix.product_reviews),
@@ -253,10 +265,10 @@ QUERIES: dict[str, Query] = {
     "gap_prefix_sum": _stored(gap_prefix_sum),
     "gamma_codes": _over(gamma_codes),
     "gamma_roundtrip": _stored(gamma_roundtrip),
-    "front_coding": _over(front_coding),
-    "front_decoding": _over(front_decoding),
+    "front_coding": _ranked(front_coding),
+    "front_decoding": _ranked(front_decoding),
     "product_front_coding": _over(product_front_coding),
-    "lexicon_blocks": _over(lexicon_blocks),
+    "lexicon_blocks": _ranked(lexicon_blocks),
     "candidates": _stored(lambda ix: rank.candidates(ix, ["anly", "worthless", "notaword"])),
     "query_weights": _stored(_weights),
     "vsm_topk": _stored(lambda ix: rank.vector_space(ix, PLAIN, K)),
