@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from ..functions.ordinals import with_ordinal
 from ..functions.text import tokens
+from . import blocks
 
 MARK = "_QUILLON_INDEX"
 CHUNK = 1024
@@ -84,7 +85,7 @@ def chunks_by_block(reviews: DataFrame, chunk: int, n_reviews: int, n_tokens: in
     """The chunks with what stands before them, by term and chunk within a block of ids; a block is in one partition.
 
     before and previous are counted within the block; what stands before a block's first chunk of a term comes from a window over a
-    row for each (term, block). Both sides of that join are dealt by block, and read the same shuffled texts."""
+    row for each (term, block). Blocks and those rows are dealt alike, and both passes over a block read the same shuffled texts."""
     tokens_a_block = min(BLOCK_TOKENS, max(1, n_tokens // reviews.sparkSession.sparkContext.defaultParallelism))
     block = chunk * max(1, tokens_a_block * n_reviews // (max(1, n_tokens) * chunk))
     parts = max(1, math.ceil(n_reviews / block))
@@ -92,15 +93,11 @@ def chunks_by_block(reviews: DataFrame, chunk: int, n_reviews: int, n_tokens: in
     place = ["part", "block"]
     texts = reviews.select("review_id", "text", at.alias("block"), F.pmod(at, F.lit(parts)).cast("int").alias("part"))
     texts = texts.where("part is not null and block is not null").repartitionById(parts, "part")  # what the join asks for, said for both sides, so that they share the exchange
-    own = Window.partitionBy(*place, "term").orderBy("chunk")
-    lists = chunk_lists(entries_of(texts, place), chunk, place)
-    lists = lists.withColumn("before", F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("previous", F.lag("last_id").over(own))
-    sums = texts.select(*place, "review_id", F.explode(F.array_distinct(tokens("text"))).alias("term")).groupBy(*place, "term").agg(F.count("*").alias("n"), F.max("review_id").alias("last_id"))
+    sums = texts.groupBy(*place).applyInArrow(blocks.sums, blocks.SUMS)
     over = Window.partitionBy("term").orderBy("block")
-    sums = sums.select(*place, "term", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"), F.coalesce(F.lag("last_id").over(over), F.lit(0)).alias("latest"))
-    rows = lists.join(sums.repartitionById(parts, "part"), [*place, "term"])
-    rows = rows.withColumn("before", (F.col("earlier") + F.col("before")).cast("long")).withColumn("previous", F.coalesce("previous", "latest").cast("long"))
-    return rows.select("term", "chunk", "first_id", "last_id", "n", "cf", "max_tf", "min_length", "max_ratio", "before", "previous", "ids", "tfs", "lengths")
+    sums = sums.select(*place, "term", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("earlier"), F.coalesce(F.lag("last_id").over(over), F.lit(0)).cast("long").alias("latest"))
+    both = texts.groupBy(*place).cogroup(sums.repartitionById(parts, "part").groupBy(*place))
+    return both.applyInArrow(lambda reviews, before: blocks.chunks(reviews, before, chunk), blocks.CHUNKS)
 
 
 def entries_in(chunks: DataFrame) -> DataFrame:
@@ -118,6 +115,19 @@ def lexicon_of(terms: DataFrame) -> DataFrame:
     return with_ordinal(terms, "term", "term_id").select("term_id", "term", "df", "cf")
 
 
+def placed_by_range(df: DataFrame, key: str) -> DataFrame:
+    """df by ranges of key, with the number of its range and its place there; to be written, as a second run may cut other ranges."""
+    rows = df.repartitionByRange(key).sortWithinPartitions(key)
+    return rows.select(*df.columns, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place"))
+
+
+def numbered(terms: DataFrame) -> DataFrame:
+    """W1 of what placed_by_range has placed: what moves is a count a range, which comes back as a broadcast."""
+    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = terms.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    return terms.join(F.broadcast(offsets), "_range").withColumn("term_id", F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
 def with_length(reviews: DataFrame) -> DataFrame:
     """A8."""
     return reviews.withColumn("length", F.size(tokens("text"))).select("review_id", "product_id", "score", "helpful_num", "helpful_den", "length", "text")
@@ -179,8 +189,8 @@ def write(reviews: DataFrame, directory: str, chunk: int = CHUNK) -> Index:
         r = put(with_length(reviews.repartitionByRange("review_id").sortWithinPartitions("review_id")), "reviews")
         size = r.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
         chunks = put(chunks_by_block(r, chunk, size["n"], size["tokens"]), "chunks")
-        terms = put(chunks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")), "terms")
-        x = put(lexicon_of(terms).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
+        terms = put(placed_by_range(chunks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")), "term"), "terms")
+        x = put(numbered(terms).select("term_id", "term", "df", "cf"), "lexicon")
         drop(f"{beside}/terms")
         put(product_reviews_of(r).repartitionByRange("product_id", "review_id").sortWithinPartitions("product_id", "review_id"), "product_reviews")
         put(products_of(r).repartitionByRange("product_id").sortWithinPartitions("product_id"), "products")
