@@ -6,7 +6,7 @@ import dataclasses
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -168,16 +168,20 @@ def lm_lambda_edges(ix: Index) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, text on one line, stars, num, den; what raw files are made of."""
+    """doc_id, source, text, stars, num, den; what raw files are made of."""
     d, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     stars = F.coalesce(F.when(F.col("quality") == 1, 5).when(F.col("quality") == 0, 2), 1 + F.col("doc_id") % 5)
-    text = F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ")
-    return d.join(labels, "doc_id", "left").select("doc_id", "source", text.alias("text"), stars.alias("stars"), (F.col("doc_id") % 7).alias("num"), (F.col("n_chars") % 11).alias("den"))
+    return d.join(labels, "doc_id", "left").select("doc_id", "source", "text", stars.alias("stars"), (F.col("doc_id") % 7).alias("num"), (F.col("n_chars") % 11).alias("den"))
+
+
+def _one_line() -> Column:
+    """Put behind the exchange by ranges, which runs what stands before it twice."""
+    return F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
 
 
 def _raw_file(spark: SparkSession, sf_dir: str) -> str:
     """The documents as a folder of raw review files, in the shared folder: fields that are skipped, helpfulness unsorted, one line a text."""
-    lines = F.concat(F.lit("product/productId: "), "source", F.lit("\nreview/userId: U"), "doc_id", F.lit("\nreview/helpfulness: "), "num", F.lit("/"), "den", F.lit("\nreview/score: "), "stars", F.lit(".0\nreview/summary: skipped\nreview/text: "), "text", F.lit("\n"))
+    lines = F.concat(F.lit("product/productId: "), "source", F.lit("\nreview/userId: U"), "doc_id", F.lit("\nreview/helpfulness: "), "num", F.lit("/"), "den", F.lit("\nreview/score: "), "stars", F.lit(".0\nreview/summary: skipped\nreview/text: "), _one_line(), F.lit("\n"))
     rows = lambda: _labelled(spark, sf_dir).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(lines.alias("value"))
     return _once(spark, ("raw", sf_dir), lambda path: rows().write.text(path))
 
@@ -191,7 +195,7 @@ def raw_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(case == 4, F.lit("review/helpfulness: 1/1")),
         F.when(case != 5, F.concat(F.lit("review/score: "), F.when(case == 6, F.lit("good")).otherwise(F.concat("stars", F.lit(".0"))))),
         F.lit("anything else: 1"),
-        F.when(case == 7, F.lit("review/text:")).when(case != 3, F.concat(F.lit("review/text: "), "text")),
+        F.when(case == 7, F.lit("review/text:")).when(case != 3, F.concat(F.lit("review/text: "), _one_line())),
         F.when(case == 4, F.lit("review/text: a second text")),
         F.lit("product: no record begins here"),
     ]
