@@ -175,7 +175,7 @@ def write(reviews: DataFrame, directory: str, chunk: int = CHUNK) -> Index:
     beside = f"{directory.rstrip('/')}/{data}"
 
     def put(df: DataFrame, name: str) -> DataFrame:
-        writer = df.write
+        writer = df.write.option("compression", "zstd")
         if name in LOOKED_UP:
             writer = writer.option(f"parquet.bloom.filter.enabled#{LOOKED_UP[name]}", "true")
         writer.parquet(f"{beside}/{name}")
