@@ -15,11 +15,12 @@ places of large groups, a few for each cell. Offsets, one for about ROWS_A_BUCKE
 
 from __future__ import annotations
 
+import json
 import math
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,26 +36,39 @@ LEAST_BUCKETS = 256
 def let_through(demand: dict[tuple[int, int], int], load: list[int], quota: int) -> dict[tuple[int, int], float]:
     """The share of each demand (from, to) with which no shard exceeds its quota, by repeated scaling of what comes in."""
     part = {k: 1.0 for k in demand}
+    coming, going = ([[(k, d) for k, d in demand.items() if k[end] == j] for j in range(len(load))] for end in (1, 0))
     for _ in range(50):
         tight = False
         for j in range(len(load)):
-            into = sum(part[k] * d for k, d in demand.items() if k[1] == j)
-            out = sum(part[k] * d for k, d in demand.items() if k[0] == j)
+            into = sum(part[k] * d for k, d in coming[j])
+            out = sum(part[k] * d for k, d in going[j])
             room = max(0.0, quota - load[j] + out)
             if into > room + 0.5:
                 tight = True
-                for k in demand:
-                    if k[1] == j:
-                        part[k] *= room / into
+                for k, _ in coming[j]:
+                    part[k] *= room / into
         if not tight:
             break
     else:  # what is let in at the last pass may still exceed a quota by what others then keep; scale all down to what fits without outflow
-        for (a, j), d in demand.items():
-            into = sum(part[k] * n for k, n in demand.items() if k[1] == j)
+        for a, j in demand:
+            into = sum(part[k] * n for k, n in coming[j])
             part[a, j] *= min(1.0, max(0.0, quota - load[j]) / into) if into else 0.0
     return part
 
 
+def share(part: dict[tuple[int, int], float], shards: int, a: Column, b: Column) -> Column:
+    """part[a, b], 0 where it isn't there; one literal in the plan, however many pairs there are."""
+    values = ["0.0"] * (shards * shards)
+    for (i, j), p in part.items():
+        values[i * shards + j] = repr(float(p))
+    return F.coalesce(F.get(F.split(F.lit(",".join(values)), ",").cast("array<double>"), a * shards + b), F.lit(0.0))
+
+
+def flows(moves: DataFrame) -> dict[tuple[int, int | None], int]:
+    """moves: shard, to, w. The rows w by shard and to, which may be null, in one job."""
+    return {(d["shard"], d["to"]): d["w"] for d in moves.groupBy("shard", "to").agg(F.sum("w").alias("w")).collect()}
+
+
 def pack(large: list[tuple[bytes, int]], shards: int, quota: int) -> tuple[list[tuple[bytes, float, float, int]], list[int]]:
     """(group, from, to, shard): which part of each large group goes where, the largest first into the emptiest shards; and the room that is left."""
     room, out = [quota] * shards, []
@@ -81,9 +95,6 @@ def cell_shards(room: list[int], cells: int) -> list[int]:
 def propagate(units: DataFrame, fixed: list[int], shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
     """units: g, cell, w (rows), total (rows of g), shard; stashed. fixed: rows by shard that stay. Returns units with their last shards."""
     for r in range(rounds):
-        load = list(fixed)
-        for row in units.groupBy("shard").agg(F.sum("w").alias("w")).collect():
-            load[row.shard] += row.w
         held = units.groupBy("g", "shard").agg(F.sum("w").alias("w"), F.max("total").alias("total"))
         wanted = F.least(F.lit(shards), F.ceil(F.col("total") / quota))
         place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("w"), F.xxhash64("g", "shard"), "shard"))
@@ -91,14 +102,15 @@ def propagate(units: DataFrame, fixed: list[int], shards: int, quota: int, round
         pick = F.get(F.col("homes"), F.pmod(F.xxhash64("cell", F.lit(r)), F.size("homes")).cast("int"))
         called = units.join(homes, "g").withColumn("to", F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(pick)).drop("homes")
         called = stash(called, "called")
-        demand = {(d["shard"], d["to"]): d["w"] for d in called.where(F.col("shard") != F.col("to")).groupBy("shard", "to").agg(F.sum("w").alias("w")).collect()}
+        flow, load = flows(called), list(fixed)
+        for (a, _), w in flow.items():
+            load[a] += w
+        demand = {k: w for k, w in flow.items() if k[0] != k[1]}
         if not demand:
             unstash(called)
             break
         part = let_through(demand, load, quota)
-        shares = F.create_map(*[F.lit(x) for (a, b), p in part.items() for x in (a * shards + b, p)])
-        share = F.coalesce(F.try_element_at(shares, F.col("shard") * shards + F.col("to")), F.lit(0.0))
-        goes = F.pmod(F.xxhash64("g", F.lit(r)), F.lit(1 << 30)) / float(1 << 30) < share
+        goes = F.pmod(F.xxhash64("g", F.lit(r)), F.lit(1 << 30)) / float(1 << 30) < share(part, shards, F.col("shard"), F.col("to"))
         new = stash(called.withColumn("shard", F.when(goes, F.col("to")).otherwise(F.col("shard"))).drop("to"), "units")
         unstash(units, called)
         units = new
@@ -108,34 +120,40 @@ def propagate(units: DataFrame, fixed: list[int], shards: int, quota: int, round
 def attract(units: DataFrame, edges: DataFrame, fixed: DataFrame, load: list[int], shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
     """units: g, cell, w, total, shard; stashed. edges: a, b (groups), w. fixed: g, shard, w of units that stay. load: their rows by shard.
 
-    In each round every group counts the weight of its edges into each shard, and wants to go where most of them lead if that
-    is more than where it is. Quotas let a share of each demand through; groups move whole. Odd and even groups take turns, so
+    Groups move whole, so what changes is a row for each group; its units follow at the end. In each round every group counts the weight of its edges into each shard, and wants to go where most of them lead if that
+    is more than where it is. Quotas let a share of each demand through. Odd and even groups take turns, so
     that two neighbours don't swap places for ever."""
     both = stash(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "edges")
+    still = stash(fixed.groupBy(F.col("g").alias("b")).agg(F.max(F.struct("w", "shard"))["shard"].alias("shard")), "still")
+    of_units = [F.max(F.struct("w", "shard"))["shard"].alias("home"), F.sum("w").alias("size"), F.collect_list(F.struct("shard", "w")).alias("parts")]  # a part for each cell at most
+    groups = stash(units.groupBy("g").agg(*of_units).withColumn("moved", F.lit(False)), "groups")
     for r in range(rounds):
-        now = list(load)
-        for row in units.groupBy("shard").agg(F.sum("w").alias("w")).collect():
-            now[row.shard] += row.w
-        homes = units.groupBy("g").agg(F.max(F.struct("w", "shard"))["shard"].alias("home"), F.sum("w").alias("size"))
-        where = homes.select(F.col("g").alias("b"), F.col("home").alias("shard")).unionByName(fixed.groupBy("g").agg(F.max(F.struct("w", "shard"))["shard"].alias("shard")).withColumnRenamed("g", "b"))
-        votes = both.join(where, "b").groupBy("a", "shard").agg(F.sum("w").alias("w")).withColumnRenamed("a", "g").join(homes, "g")
+        where = groups.select(F.col("g").alias("b"), F.col("home").alias("shard")).unionByName(still)
+        votes = both.join(where, "b").groupBy("a", "shard").agg(F.sum("w").alias("w")).withColumnRenamed("a", "g").join(groups.select("g", "home", "size"), "g")
         best = votes.groupBy("g", "home", "size").agg(F.max(F.struct("w", F.xxhash64("g", "shard").alias("h"), "shard")).alias("best"), F.sum(F.when(F.col("shard") == F.col("home"), F.col("w"))).alias("stay"))
         turn = F.pmod(F.xxhash64("g"), F.lit(2)) == r % 2
         moves = best.where(turn & (F.col("best.w") > F.coalesce("stay", F.lit(0)))).select("g", "home", "size", F.col("best.shard").alias("to"))
         moves = stash(moves.where("to <> home"), "moves")
-        demand = {(d.home, d.to): d["size"] for d in moves.groupBy("home", "to").agg(F.sum("size").alias("size")).collect()}
+        here = groups.select(F.inline("parts")).withColumn("to", F.lit(None).cast("int"))
+        flow, now = flows(here.unionByName(moves.select(F.col("home").alias("shard"), "to", F.col("size").alias("w")))), list(load)
+        for (a, b), w in flow.items():
+            now[a] += w if b is None else 0
+        demand = {k: w for k, w in flow.items() if k[1] is not None}
         if not demand:
             unstash(moves)
             if r % 2:
                 break
             continue
-        shares = F.create_map(*[F.lit(x) for (a, b), p in let_through(demand, now, quota).items() for x in (a * shards + b, p)])
-        goes = F.pmod(F.xxhash64("g", F.lit(r + 101)), F.lit(1 << 30)) / float(1 << 30) < F.try_element_at(shares, F.col("home") * shards + F.col("to"))
-        new = stash(units.join(moves.where(goes).select("g", "to"), "g", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"), "units")
-        unstash(units, moves)
-        units = new
-    unstash(both)
-    return units
+        part = let_through(demand, now, quota)
+        goes = F.pmod(F.xxhash64("g", F.lit(r + 101)), F.lit(1 << 30)) / float(1 << 30) < share(part, shards, F.col("home"), F.col("to"))
+        on = groups.join(moves.where(goes).select("g", "to"), "g", "left")
+        parts = F.when(F.col("to").isNull(), F.col("parts")).otherwise(F.array(F.struct(F.col("to").alias("shard"), F.col("size").alias("w"))))
+        new = stash(on.select("g", F.coalesce("to", "home").alias("home"), "size", parts.alias("parts"), (F.col("moved") | F.col("to").isNotNull()).alias("moved")), "groups")
+        unstash(groups, moves)
+        groups = new
+    new = stash(units.join(groups.where("moved").select("g", "home"), "g", "left").withColumn("shard", F.coalesce("home", "shard")).drop("home"), "units")
+    unstash(both, still, groups, units)
+    return new
 
 
 def shard(rows: DataFrame, shards: int = SHARDS, edges: DataFrame | None = None) -> DataFrame:
@@ -158,7 +176,8 @@ def shard(rows: DataFrame, shards: int = SHARDS, edges: DataFrame | None = None)
     is_large = F.col("total") * CELLS_PER_SHARD > quota  # so there are at most `cells` of them
     large = [(bytes(x.g), x.total) for x in units.where(is_large).groupBy("g").agg(F.max("total").alias("total")).collect()]
     parts, room = pack(large, shards, quota)
-    ranges = base.sparkSession.createDataFrame(parts, "g binary, lo double, hi double, shard int")
+    known = F.from_json(F.lit(json.dumps([{"g": g.hex(), "lo": lo, "hi": hi, "shard": s} for g, lo, hi, s in parts])), "array<struct<g string, lo double, hi double, shard int>>")
+    ranges = base.sparkSession.range(0, 1, 1, 1).select(F.inline(known)).withColumn("g", F.unhex("g"))
     middle = (F.col("cell") + 0.5) / cells
     placed_large = stash(units.where(is_large).join(F.broadcast(ranges), "g").where((middle >= F.col("lo")) & (middle < F.col("hi"))).select("g", "cell", "w", "shard"), "large")
     fixed = [0] * shards
