@@ -77,6 +77,13 @@ def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_merge of keys that count once each."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.diff(first, append=len(keys))
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     return (1 + np.floor(np.log(counts) / math.log(GROWTH) + 1e-9)).astype(np.int64)
 
@@ -172,7 +179,7 @@ def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
             for lo, hi in slices(batch.column(0)):
                 w, _ = tokens(batch.column(0).slice(lo, hi - lo))
                 for kind, grams in ((WORDS, w), (PAIRS, pairs(w))):
-                    held[kind].append(_merge(grams, np.ones(len(grams), np.int64)))
+                    held[kind].append(_counted(grams))
                     size[kind] += len(held[kind][-1][0])
                     counted[kind] += len(grams)
                     if size[kind] > HELD or counted[kind] > COUNTED:
@@ -349,7 +356,10 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", he
     docs, spark = plain(docs), docs.sparkSession
     counts = stash(model.counts(), "counts")
     routed = model.filter_bytes > broadcast_bytes
-    shared = spark.sparkContext.broadcast((_head(counts, head), None if routed else model.filters()))
+    filters = None if routed else model.filters()
+    hs, cs = _head(counts, head)
+    known = filters[WORDS - 1].level(hs).astype(np.uint8) if filters else None  # words of the head are looked up once, not in each slice
+    shared = spark.sparkContext.broadcast((hs, cs, known, filters))
     rows = _chunked(docs, keep, text) if routed else docs
     n, types, low_sum = model.n_tokens, model.n_types, model.low_sum
     below = float(n + types + 1)
@@ -357,20 +367,25 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", he
 
     def kernel(texts: pa.Array, _):
         if not ready:
-            ready["head"], filters = shared.value
+            ready["head"], ready["known"], filters = shared.value[:2], *shared.value[2:]
             if filters is not None:
                 ready["words"], ready["pairs"] = filters
         w, at = tokens(texts)
         some, back = np.unique(w, return_inverse=True)
         hs, cs = ready["head"]
         place = np.minimum(np.searchsorted(hs, some), max(0, len(hs) - 1))
-        c = np.where(hs[place] == some, cs[place], 0) if len(hs) else np.zeros(len(some), np.int64)
+        in_head = hs[place] == some if len(hs) else np.zeros(len(some), bool)
+        c = np.zeros(len(some), np.int64)
+        c[in_head] = cs[place[in_head]]
         c = c[back]
         base = np.where(c > 0, np.log10((c + 1) / below), 0.0)
         tail = np.flatnonzero(c == 0)
         out = {"n_tokens": pa.array(np.diff(at), pa.int64()), "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), at[:-1]), pa.int64()), "base": pa.array(np.add.reduceat(base, at[:-1]))}
         if "words" in ready:
-            word = ready["words"].level(some)[back]
+            level = np.zeros(len(some), np.int64)
+            level[in_head] = ready["known"][place[in_head]]
+            level[~in_head] = ready["words"].level(some[~in_head])
+            word = level[back]
             context = np.empty_like(word)
             context[1:] = word[:-1]
             context[:1] = ready["words"].level(np.array([END]))
