@@ -5,8 +5,8 @@ their reviews' lengths, and beside them stand what a search or a scan needs to s
 id, count, greatest tf, least length and greatest tf / length, the last id and the number of postings before it. All terms are
 cut at the same ids, so a range of ids can be judged for a whole query.
 
-A stored index's lists are made and written by blocks of review ids, each in one task: what moves are the texts, once, and a short row for each
-term of a block, which says what stands before the block. No posting and no chunk is ever shuffled.
+A stored index's reviews are a bucketed table, by blocks of review ids, and its lists are made and written by the same blocks, each in one task, from that
+table: what moves are the texts, once in all, and a short row for each term of a block, which says what stands before the block. No posting and no chunk is ever shuffled.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ MARK = "_QUILLON_INDEX"
 CHUNK = 1024
 #: A block of a stored index has at most about so many tokens, which its task sorts, but at least a chunk's ids; small tables have a block a core.
 BLOCK_TOKENS = 1 << 21
+#: Tokens of a text that isn't cut yet are taken to be so many bytes long, with what separates them.
+TOKEN_BYTES = 6
 STORED = ("reviews", "chunks", "lexicon", "products", "product_reviews", "stats")
 #: Columns by which rows are looked up; row groups without the value are told by Bloom filters.
-LOOKED_UP = {"chunks": "term", "lexicon": "term", "products": "product_id", "product_reviews": "product_id"}
+LOOKED_UP = {"reviews": "review_id", "chunks": "term", "lexicon": "term", "products": "product_id", "product_reviews": "product_id"}
 
 
 @dataclass
@@ -81,25 +83,49 @@ def with_skips(lists: DataFrame) -> DataFrame:
     return lists.join(slim, ["term", "chunk"]).select("term", "chunk", "first_id", "last_id", "n", "cf", "max_tf", "min_length", "max_ratio", "before", "previous", "ids", "tfs", "lengths")
 
 
+def blocks_for(spark: SparkSession, chunk: int, n_reviews: int, n_tokens: int) -> tuple[int, int]:
+    """Review ids of a block, and how many partitions or buckets blocks are dealt to by hash: as many as there are blocks, and enough for all cores."""
+    cores = spark.sparkContext.defaultParallelism
+    tokens_a_block = min(BLOCK_TOKENS, max(1, n_tokens // cores))
+    block = chunk * max(1, tokens_a_block * n_reviews // (max(1, n_tokens) * chunk))
+    return block, max(1, math.ceil(n_reviews / block), 2 * cores)
+
+
+def with_block(reviews: DataFrame, block: int) -> DataFrame:
+    return reviews.withColumn("block", F.floor(F.col("review_id") / block).cast("long"))
+
+
 def chunks_by_block(reviews: DataFrame, chunk: int, n_reviews: int, n_tokens: int) -> DataFrame:
-    """The chunks with what stands before them, by term and chunk within a block of ids; a block is in one partition.
+    """The chunks of reviews that lie anyhow."""
+    block, parts = blocks_for(reviews.sparkSession, chunk, n_reviews, n_tokens)
+    texts = with_block(reviews.select("review_id", "text"), block).where("block is not null")
+    return chunks_of_blocks(texts.repartition(parts, "block"), chunk, parts)
+
+
+def chunks_of_blocks(texts: DataFrame, chunk: int, parts: int) -> DataFrame:
+    """The chunks with what stands before them, by term and chunk within a block of ids. texts: review_id, text and block, dealt to parts by the hash of block, by an exchange or as buckets.
 
     before and previous are counted within the block; what stands before a block's first chunk of a term comes from a window over a
-    row for each (term, block). Blocks and those rows are dealt alike, and both passes over a block read the same shuffled texts."""
-    tokens_a_block = min(BLOCK_TOKENS, max(1, n_tokens // reviews.sparkSession.sparkContext.defaultParallelism))
-    block = chunk * max(1, tokens_a_block * n_reviews // (max(1, n_tokens) * chunk))
-    parts = max(1, math.ceil(n_reviews / block))
-    at = F.floor(F.col("review_id") / block).cast("long")
-    place = ["part", "block"]
-    texts = reviews.select("review_id", "text", at.alias("block"), F.pmod(at, F.lit(parts)).cast("int").alias("part"))
-    texts = texts.where("part is not null and block is not null").repartitionById(parts, "part")  # what the join asks for, said for both sides, so that they share the exchange
-    sums = texts.groupBy(*place).applyInArrow(blocks.sums, blocks.SUMS)
+    row for each (term, block), and moves for blocks that a term isn't new in. Blocks and those rows are dealt alike, and both passes over a block read the same texts."""
+    sums = texts.groupBy("block").applyInArrow(blocks.sums, blocks.SUMS)
     over = Window.partitionBy("term").orderBy("block")
-    sums = sums.select(*place, "term", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("earlier"), F.coalesce(F.lag("last_id").over(over), F.lit(0)).cast("long").alias("latest"))
-    both = texts.groupBy(*place).cogroup(sums.repartitionById(parts, "part").groupBy(*place))
+    sums = sums.select("block", "term", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("earlier"), F.coalesce(F.lag("last_id").over(over), F.lit(0)).cast("long").alias("latest"))
+    both = texts.groupBy("block").cogroup(sums.where("earlier > 0").repartition(parts, "block").groupBy("block"))  # said for both sides, so that the texts stay where they are
     return both.applyInArrow(lambda reviews, before: blocks.chunks(reviews, before, chunk), blocks.CHUNKS)
 
 
+def slim(chunks: DataFrame) -> DataFrame:
+    """As they are stored: of a chunk of one posting, which most are, all that its first_id, max_tf and min_length say is null."""
+    said = ("last_id", "cf", "max_ratio", "ids", "tfs", "lengths")
+    return chunks.select(*[F.when(F.col("n") > 1, F.col(c)).alias(c) if c in said else F.col(c) for c in chunks.columns])
+
+
+def whole(chunks: DataFrame) -> DataFrame:
+    """The chunks again."""
+    said = {"last_id": F.col("first_id"), "cf": F.col("max_tf"), "max_ratio": F.col("max_tf") / F.col("min_length"), "ids": F.array("first_id"), "tfs": F.array("max_tf"), "lengths": F.array("min_length")}
+    return chunks.select(*[F.coalesce(c, said[c]).alias(c) if c in said else F.col(c) for c in chunks.columns])
+
+
 def entries_in(chunks: DataFrame) -> DataFrame:
     """term, review_id, tf, length again."""
     return chunks.select("term", F.inline(F.arrays_zip("ids", "tfs", "lengths"))).toDF("term", "review_id", "tf", "length")
@@ -166,19 +192,23 @@ def _fs(spark: SparkSession, path: str):
 def write(reviews: DataFrame, directory: str, chunk: int = CHUNK) -> Index:
     """Writes the tables into a folder of their own in the directory, and last a small manifest that names it. Only the manifest makes them
     an index: what a failed write leaves is never read, and no rename is asked for, which object stores can't do at once. Of
-    two writers the first one with a manifest wins. Tables are built from those written before; what is dealt by ranges, which
-    reads its input twice, is cheap to read."""
+    two writers the first one with a manifest wins. Tables are built from those written before; the reviews alone are read twice, at first
+    for their number and bytes. Their table has a name in the session's catalogue while lists are made from its buckets."""
     spark = reviews.sparkSession
     if _manifest(spark, directory):
         raise FileExistsError(directory)
     data = f"data-{uuid.uuid4().hex}"
+    table = f"quillon_reviews_{data[5:]}"
     beside = f"{directory.rstrip('/')}/{data}"
 
-    def put(df: DataFrame, name: str) -> DataFrame:
+    def put(df: DataFrame, name: str, buckets: int = 0) -> DataFrame:
         writer = df.write.option("compression", "zstd")
         if name in LOOKED_UP:
-            writer = writer.option(f"parquet.bloom.filter.enabled#{LOOKED_UP[name]}", "true")
-        writer.parquet(f"{beside}/{name}")
+            writer = writer.option(f"parquet.bloom.filter.enabled#{LOOKED_UP[name]}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        if buckets:
+            writer.bucketBy(buckets, "block").sortBy("review_id").format("parquet").option("path", f"{beside}/{name}").saveAsTable(table)
+        else:
+            writer.parquet(f"{beside}/{name}")
         return spark.read.parquet(f"{beside}/{name}")
 
     def drop(path: str) -> None:
@@ -186,9 +216,11 @@ def write(reviews: DataFrame, directory: str, chunk: int = CHUNK) -> Index:
         fs.delete(p, True)
 
     try:
-        r = put(with_length(reviews.repartitionByRange("review_id").sortWithinPartitions("review_id")), "reviews")
-        size = r.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
-        chunks = put(chunks_by_block(r, chunk, size["n"], size["tokens"]), "chunks")
+        size = reviews.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+        block, parts = blocks_for(spark, chunk, size["n"], size["bytes"] // TOKEN_BYTES)
+        r = put(with_block(with_length(reviews), block).repartition(parts, "block"), "reviews", parts)
+        texts = spark.table(table).select("review_id", "text", "block").where("block is not null")
+        chunks = whole(put(slim(chunks_of_blocks(texts, chunk, parts)), "chunks"))
         terms = put(placed_by_range(chunks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")), "term"), "terms")
         x = put(numbered(terms).select("term_id", "term", "df", "cf"), "lexicon")
         drop(f"{beside}/terms")
@@ -199,6 +231,8 @@ def write(reviews: DataFrame, directory: str, chunk: int = CHUNK) -> Index:
     except BaseException:
         drop(beside)
         raise
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")  # the name alone
     return open_index(spark, directory)
 
 
@@ -233,6 +267,7 @@ def open_index(spark: SparkSession, directory: str) -> Index:
     """Lazy; a look-up reads the row groups that its key may be in."""
     manifest = _marked(spark, directory)
     tables = {name: spark.read.parquet(f"{directory.rstrip('/')}/{manifest['data']}/{name}") for name in STORED}
+    tables |= {"reviews": tables["reviews"].drop("block"), "chunks": whole(tables["chunks"])}
     return Index(entries=entries_in(tables["chunks"]), chunk=manifest["chunk"], n_reviews=manifest["n_reviews"], **tables)
 
 
