@@ -16,7 +16,7 @@ from .operators import gaps as G
 from .operators import lookup, rank
 from .plans.index import Index, build, delete, lexicon_of, open_index, terms_of, write
 from .session import shared_dir
-from .sources.reviews import from_conversations, from_documents, parse_reviews
+from .sources.reviews import Joined, documents, from_conversations, from_documents, parse_reviews
 
 K = 10
 PLAIN = ["the", "of", "worthless"]
@@ -59,7 +59,7 @@ def _once(spark: SparkSession, key: tuple[str, str], write_to: Callable[[str], o
     return path
 
 
-def _stored(f: Callable[[Index], DataFrame], kind: str = "index", source: Query = from_documents) -> Query:
+def _stored(f: Callable[[Index], DataFrame], kind: str = "index", source: Callable[[SparkSession, str], DataFrame | Joined] = documents) -> Query:
     """f over an index of the source's reviews that is written and opened again."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from ..functions.ordinals import with_ordinal
 from ..functions.text import tokens
+from ..sources.reviews import Joined
 from . import blocks
 
 MARK = "_QUILLON_INDEX"
@@ -189,12 +190,13 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def write(reviews: DataFrame, directory: str, chunk: int = CHUNK) -> Index:
+def write(reviews: DataFrame | Joined, directory: str, chunk: int = CHUNK) -> Index:
     """Writes the tables into a folder of their own in the directory, and last a small manifest that names it. Only the manifest makes them
     an index: what a failed write leaves is never read, and no rename is asked for, which object stores can't do at once. Of
-    two writers the first one with a manifest wins. Tables are built from those written before; the reviews alone are read twice, at first
-    for their number and bytes. Their table has a name in the session's catalogue while lists are made from its buckets."""
-    spark = reviews.sparkSession
+    two writers the first one with a manifest wins. Tables are built from those written before; the texts alone are read twice, at first
+    for their number and bytes, before anything is joined with them. Their table has a name in the session's catalogue while lists are made from its buckets."""
+    texts = reviews.texts if isinstance(reviews, Joined) else reviews
+    spark = texts.sparkSession
     if _manifest(spark, directory):
         raise FileExistsError(directory)
     data = f"data-{uuid.uuid4().hex}"
@@ -216,9 +218,10 @@ def write(reviews: DataFrame, directory: str, chunk: int = CHUNK) -> Index:
         fs.delete(p, True)
 
     try:
-        size = reviews.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+        size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
         block, parts = blocks_for(spark, chunk, size["n"], size["bytes"] // TOKEN_BYTES)
-        r = put(with_block(with_length(reviews), block).repartition(parts, "block"), "reviews", parts)
+        rows = reviews.reviews() if isinstance(reviews, Joined) else reviews
+        r = put(with_block(with_length(rows), block).repartition(parts, "block"), "reviews", parts)
         texts = spark.table(table).select("review_id", "text", "block").where("block is not null")
         chunks = whole(put(slim(chunks_of_blocks(texts, chunk, parts)), "chunks"))
         terms = put(placed_by_range(chunks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")), "term"), "terms")

@@ -5,6 +5,9 @@ All give review_id, product_id, score, helpful_num, helpful_den, text. Ids are 1
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +17,18 @@ from ..functions.ordinals import with_ordinal
 PRODUCT, HELPFULNESS, SCORE, TEXT = "product/productId:", "review/helpfulness:", "review/score:", "review/text:"
 
 
+@dataclass
+class Joined:
+    """Reviews that a table of texts makes with a table of short rows beside it, by review_id. What asks for texts alone needs no join, which may move them."""
+
+    texts: DataFrame
+    beside: DataFrame
+    finish: Callable[[DataFrame], DataFrame]
+
+    def reviews(self) -> DataFrame:
+        return self.finish(self.texts.join(self.beside, "review_id", "left"))
+
+
 def normalised(num: Column, den: Column) -> tuple[Column, Column]:
     """The larger of the two is the denominator."""
     return F.least(num, den), F.greatest(num, den)
@@ -55,12 +70,17 @@ def parse_reviews(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select("review_id", "product_id", F.expr("try_cast(substring(stars, 1, 1) AS INT)").alias("score"), F.when(whole, num).alias("helpful_num"), F.when(whole, den).alias("helpful_den"), F.lower("text").alias("text"))
 
 
-def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str) -> Joined:
     """Documents as reviews of their source. Scores and helpfulness are synthetic: made from labels, ids and lengths."""
-    d, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    d, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     num, den = normalised(F.col("doc_id") % 7, F.col("n_chars") % 11)
-    stars = F.coalesce(F.when(F.col("quality") == 1, 5).when(F.col("quality") == 0, 2), 1 + F.col("doc_id") % 5)
-    return d.join(labels, "doc_id", "left").select((F.col("doc_id") + 1).alias("review_id"), F.col("source").alias("product_id"), stars.cast("int").alias("score"), num.cast("int").alias("helpful_num"), den.cast("int").alias("helpful_den"), F.lower("text").alias("text"))
+    texts = d.select((F.col("doc_id") + 1).alias("review_id"), F.col("source").alias("product_id"), (1 + F.col("doc_id") % 5).alias("unlabelled"), num.cast("int").alias("helpful_num"), den.cast("int").alias("helpful_den"), F.lower("text").alias("text"))
+    stars = F.coalesce(F.when(F.col("quality") == 1, 5).when(F.col("quality") == 0, 2), "unlabelled").cast("int").alias("score")
+    return Joined(texts, labels.select(F.try_add("doc_id", F.lit(1)).alias("review_id"), "quality"), lambda both: both.select("review_id", "product_id", stars, "helpful_num", "helpful_den", "text"))
+
+
+def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).reviews()
 
 
 def from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

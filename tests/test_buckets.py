@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import lookup
 from quillon.plans import index as ix
+from quillon.sources.reviews import Joined, documents, from_documents
 
 ROWS = [(i * i, f"p{i % 3}", 5, 1, 2, None if i == 9 else "the of worthless " * (i % 5) + f"w{i % 7} x{i}") for i in range(1, 200)]
 REVIEWS = "review_id long, product_id string, score int, helpful_num int, helpful_den int, text string"
@@ -62,3 +63,15 @@ def test_a_failed_write_leaves_no_name(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         ix.write(spark.createDataFrame(ROWS[:9], REVIEWS), str(tmp_path / "x"), 32)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quillon_reviews_")] and not list(tmp_path.glob("x/data-*"))
+
+
+def test_texts_are_counted_before_labels_join(spark, sf_dir, tmp_path, monkeypatch):
+    """A join with more labels than are broadcast moves the texts: it's made once."""
+    steps, join, sizes = [], Joined.reviews, ix.blocks_for
+    monkeypatch.setattr(Joined, "reviews", lambda self: steps.append("join") or join(self))
+    monkeypatch.setattr(ix, "blocks_for", lambda *args: steps.append("sizes") or sizes(*args))
+    made = documents(spark, sf_dir)
+    assert "Join" not in made.texts._jdf.queryExecution().executedPlan().toString()
+    index = ix.write(made, str(tmp_path / "x"), 32)
+    assert steps == ["sizes", "join"]
+    assert sorted(index.reviews.collect()) == sorted(ix.with_length(from_documents(spark, sf_dir)).collect())
