@@ -9,7 +9,8 @@ context's probabilities don't exceed 1 but for the filter's rare false positives
 The filter lies in segments by n-gram hash, one for about SEGMENT_TEXT bytes of text, each built by one task from what all
 tasks counted; nothing is pruned. Up to
 BROADCAST_BYTES all segments go to every worker. A larger filter stays where it is, and the probes go to it: the same
-segments, the same scores (score_routed).
+segments, the same scores (score_routed). The distinct n-grams of about CHUNK_BYTES of text go together, one row for each
+segment, and a segment looks up all that it is asked at once.
 
 The base score needs exact counts. The words with the greatest counts, HEAD at most, go to every worker; all others are
 joined by hash, and none of them can be frequent. Words are identified by 64-bit hashes.
@@ -40,6 +41,10 @@ HEAD = 1 << 20
 BROADCAST_BYTES = 160 << 20
 #: Bytes of training text for each segment, about.
 SEGMENT_TEXT = 16 << 20
+#: Bytes of text whose probes go to the segments together; a longer text comes alone.
+CHUNK_BYTES = 4 << 20
+#: n-grams in a batch of probes, so that their bytes stay far below what four bytes reach.
+PROBED = 1 << 23
 #: Tokens that a task counts at most before it sends, so that a count fits four bytes.
 COUNTED = 1 << 31
 #: n-grams that a task holds before it merges and, beyond twice as many, sends them on.
@@ -136,20 +141,29 @@ class LogFilter:
         return self
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        own = segment_of(keys, self.segments)
-        size, start = self.sizes[own], self.start[own]
-        out, active, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        while len(active):
-            k, s, at = keys[active], size[active], start[active]
-            present = np.ones(len(active), bool)
-            for p in _places(k, level, s):
-                p = p + at
-                present &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 != 0
-            active = active[present]
-            out[active] = level
+        out, own = np.zeros(len(keys), np.int64), segment_of(keys, self.segments)
+        size, start, left, level = self.sizes[own], self.start[own], np.arange(len(keys)), 1
+        while len(keys):
+            a = K.mix(keys + np.uint64(int(_LEVEL) * level & 0xFFFFFFFFFFFFFFFF))
+            step = (a >> np.uint64(32)) | np.uint64(1)
+            some = np.flatnonzero(self._set(a, size, start))  # the first bit tells most of those that are absent
+            a, step, size, start = a[some], step[some], size[some], start[some]
+            present = np.ones(len(some), np.uint8)
+            for _ in range(1, HASHES):
+                a += step
+                present &= self._set(a, size, start)
+            yes = np.flatnonzero(present)
+            some, size, start = some[yes], size[yes], start[yes]
+            keys, left = keys[some], left[some]
+            out[left] = level
             level += 1
         return out
 
+    def _set(self, hashes: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The bits, 0 or 1, at the places of hashes (as _places has them)."""
+        p = (((hashes & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)).view(np.int64) + start
+        return (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1
+
 
 def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
     """texts: one string column. kind, seg, keys (sorted uint64), counts (uint32): what each task has counted."""
@@ -249,10 +263,11 @@ def train(docs: DataFrame, text: str = "text", bits_each: float = BITS) -> Model
 
 def _log_prob(word: np.ndarray, context: np.ndarray, pair: np.ndarray, n: float, types: int, mu: float) -> np.ndarray:
     """log10 of the smoothed probability, from levels."""
-    low = lambda q: np.where(q > 0, np.floor(GROWTH ** (q - 1.0) + 1e-6), 0.0)
-    alone = (low(word) + 1) / (n + types + 1)
-    up = np.where(context > 0, np.ceil(GROWTH ** context.astype(float)), 0.0)
-    return np.log10(np.minimum(1.0, (np.minimum(low(pair), np.maximum(up, 1)) + mu * alone) / (up + mu)))
+    q = np.arange(1 + max(int(x.max(initial=0)) for x in (word, context, pair)))
+    low = np.where(q > 0, np.floor(GROWTH ** (q - 1.0) + 1e-6), 0.0)  # by level: there are few, and many n-grams
+    alone = (low + 1) / (n + types + 1)
+    up = np.where(q > 0, np.ceil(GROWTH ** q.astype(float)), 0.0)[context]
+    return np.log10(np.minimum(1.0, (np.minimum(low[pair], np.maximum(up, 1)) + mu * alone[word]) / (up + mu)))
 
 
 def _distinct_levels(f: LogFilter, keys: np.ndarray) -> np.ndarray:
@@ -261,6 +276,8 @@ def _distinct_levels(f: LogFilter, keys: np.ndarray) -> np.ndarray:
 
 
 FOUND = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("tail", T.ArrayType(T.LongType()))])
+#: Beside them, where probes go to the segments: the text, and which chunk of its task it is in.
+ROUTED = T.StructType([*FOUND, T.StructField("chunk", T.LongType()), T.StructField("t", T.StringType())])
 
 
 def _head(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,34 +296,73 @@ def _head(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
+def _blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values, one for values up to each of the ends."""
+    offsets = np.concatenate([[0], ends]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(blobs: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of binary values, one after another, and how many each has."""
+    parts, lengths = [np.empty(0, kind)], [np.empty(0, np.int64)]
+    for x in blobs.chunks:
+        if len(x):
+            at = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64)
+            parts.append(np.frombuffer(x.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind) if at[-1] > at[0] else np.empty(0, kind))
+            lengths.append(np.diff(at) // np.dtype(kind).itemsize)
+    return np.concatenate(parts), np.concatenate(lengths)
+
+
 def _levels_at_segments(rows: DataFrame, model: Model, text: str) -> DataFrame:
-    """rows: chunk, text. chunk, kind, seg, levels (a byte for each distinct key of the chunk in that segment, sorted): the probes go to the segments."""
+    """rows: rid, chunk, text. chunk, sub, kind, seg, levels (a byte for each distinct key of the run of rows in that segment, sorted): the probes go to the segments.
+
+    A run is what one task reads of a chunk in a row, all of it but where a file is read in parts; sub is its first rid.
+    """
     n = model.n_segments
 
+    def asked(chunk, sub, texts):
+        w, _ = tokens(pa.concat_arrays(texts))
+        for kind, keys in ((WORDS, np.unique(w)), (PAIRS, np.unique(pairs(w)))):
+            own = segment_of(keys, n)
+            ends = np.append(np.flatnonzero(own[1:] != own[:-1]) + 1, len(keys))
+            lo = 0
+            while lo < len(ends):
+                at = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, at + PROBED, side="right")))
+                some = hi - lo
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(some, chunk)), pa.array(np.full(some, sub)), pa.array(np.full(some, kind, np.int32)), pa.array(own[ends[lo:hi] - 1].astype(np.int32)), _blobs(keys[at : ends[hi - 1]], ends[lo:hi] - at)], names=["chunk", "sub", "kind", "seg", "keys"])
+                lo = hi
+
     def ask(batches):
+        texts, chunk, sub, last = [], None, None, None
         for batch in batches:
-            chunks = batch.column(0).to_numpy()
-            for lo, hi in _runs(chunks):
-                w, _ = tokens(batch.column(1).slice(lo, hi - lo))
-                for kind, keys in ((WORDS, np.unique(np.append(w, END))), (PAIRS, np.unique(pairs(w)))):
-                    some, parts = by_segment(keys, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunks[lo])), pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "kind", "seg", "keys"])
+            rids, chunks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, hi in _runs(rids, chunks):
+                if texts and (chunks[lo] != chunk or rids[lo] != last + 1):
+                    yield from asked(chunk, sub, texts)
+                    texts = []
+                if not texts:
+                    chunk, sub = chunks[lo], rids[lo]
+                texts.append(batch.column(2).slice(lo, hi - lo))
+                last = rids[hi - 1]
+        if texts:
+            yield from asked(chunk, sub, texts)
+        release()
 
     def answer(asked: pa.Table, parts: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return asked.select(["chunk", "kind", "seg"]).append_column("levels", pa.array([], pa.binary()))
         blob = parts["filter"][0].as_py() if parts.num_rows else bytes(16)
-        f = LogFilter({0: len(blob)}, 1).fill(0, blob)
-        levels_ = [f.level(np.frombuffer(k.as_buffer(), np.uint64)).astype(np.uint8).tobytes() for k in asked["keys"]]
-        return asked.select(["chunk", "kind", "seg"]).append_column("levels", pa.array(levels_, pa.binary()))
+        keys, lengths = _values(asked["keys"], np.uint64)
+        levels_ = _distinct_levels(LogFilter({0: len(blob)}, 1).fill(0, blob), keys).astype(np.uint8)
+        return asked.select(["chunk", "sub", "kind", "seg"]).append_column("levels", _blobs(levels_, np.cumsum(lengths)))
 
-    asked = rows.select("chunk", F.coalesce(rows[text], F.lit("")).alias("t")).mapInArrow(ask, "chunk long, kind int, seg int, keys binary")
-    return asked.groupBy("kind", "seg").cogroup(model.segments.select("kind", "seg", "filter").groupBy("kind", "seg")).applyInArrow(answer, "chunk long, kind int, seg int, levels binary")
+    asks = rows.select("rid", "chunk", F.coalesce(rows[text], F.lit("")).alias("t")).mapInArrow(ask, "chunk long, sub long, kind int, seg int, keys binary")
+    return asks.groupBy("kind", "seg").cogroup(model.segments.select("kind", "seg", "filter").groupBy("kind", "seg")).applyInArrow(answer, "chunk long, sub long, kind int, seg int, levels binary")
 
 
-def _runs(values: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
-    return list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if len(values) else []
+def _runs(rids: np.ndarray, chunks: np.ndarray) -> list[tuple[int, int]]:
+    """Rows that follow each other in one chunk."""
+    edge = np.flatnonzero(np.concatenate([[True], (chunks[1:] != chunks[:-1]) | (rids[1:] != rids[:-1] + 1), [True]]))
+    return list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if len(rids) else []
 
 
 def score_routed(rows: DataFrame, model: Model, text: str, mu: float = MU) -> DataFrame:
@@ -316,41 +372,28 @@ def score_routed(rows: DataFrame, model: Model, text: str, mu: float = MU) -> Da
     def join(texts: pa.Table, got: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table({"rid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        order = np.lexsort((got["seg"].to_numpy(), got["kind"].to_numpy()))
-        got = got.take(pa.array(order))
-        kind = got["kind"].to_numpy()
-        known = {k: np.frombuffer(b"".join(x.as_py() for x, y in zip(got["levels"], kind, strict=True) if y == k), np.uint8).astype(np.int64) for k in (WORDS, PAIRS)}
+        got = got.sort_by([("sub", "ascending"), ("kind", "ascending"), ("seg", "ascending")])
+        known, lengths = _values(got["levels"], np.uint8)
+        ends, sub, kind = np.cumsum(lengths), got["sub"].to_numpy(), got["kind"].to_numpy()
+        last = np.flatnonzero(np.append((sub[1:] != sub[:-1]) | (kind[1:] != kind[:-1]), True))  # words and pairs of each run
+        parts = np.split(known.astype(np.int64), ends[last[:-1]])
         texts = texts.sort_by("rid")
-        w, at = tokens(texts["t"].combine_chunks())
-        some = np.unique(np.append(w, END))
-        word = known[WORDS][np.searchsorted(some, w)]
-        context = np.concatenate([known[WORDS][np.searchsorted(some, [END])], word[:-1]])
-        _, back = np.unique(pairs(w), return_inverse=True)
-        logs = _log_prob(word, context, known[PAIRS][back], low_sum, types, mu)
-        return pa.table({"rid": texts["rid"], "score": pa.array(np.add.reduceat(logs, at[:-1]))})
+        rid, t = texts["rid"].to_numpy(), texts["t"].combine_chunks()
+        starts = np.append(np.searchsorted(rid, sub[last[::2]]), len(rid))
+        out = []
+        for i, (lo, hi) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+            w, at = tokens(t.slice(lo, hi - lo))
+            some, back = np.unique(w, return_inverse=True)
+            word = parts[2 * i][back]
+            context = np.concatenate([parts[2 * i][np.searchsorted(some, [END])], word[:-1]])
+            _, back = np.unique(pairs(w), return_inverse=True)
+            out.append(np.add.reduceat(_log_prob(word, context, parts[2 * i + 1][back], low_sum, types, mu), at[:-1]))
+        return pa.table({"rid": texts["rid"], "score": pa.array(np.concatenate(out))})
 
     texts = rows.select("rid", "chunk", F.coalesce(rows[text], F.lit("")).alias("t"))
     return texts.groupBy("chunk").cogroup(_levels_at_segments(rows, model, text).groupBy("chunk")).applyInArrow(join, "rid long, score double")
 
 
-def _chunked(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """rid, chunk (about a slice of text), row, t."""
-
-    def number(batches):
-        at = None
-        for batch in batches:
-            texts, rid = batch.column(2), batch.column(0).to_numpy()
-            chunk = np.empty(len(rid), np.int64)
-            for lo, hi in slices(texts):
-                chunk[lo:hi] = at = rid[lo]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chunk), batch.column(1), texts], names=["rid", "chunk", "row", "t"])
-
-    row = F.struct(*[docs[f"`{n}`"] for n in keep]).alias("row")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), row, docs[f"`{text}`"].cast("string").alias("t"))
-    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("chunk", T.LongType()), rows.schema["row"], T.StructField("t", T.StringType())])
-    return stash(rows.mapInArrow(number, schema), "rows")
-
-
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", head: int = HEAD, broadcast_bytes: int = BROADCAST_BYTES, mu: float = MU) -> DataFrame:
     """row (struct of the columns keep), n_tokens, n_known, base_score and score."""
     docs, spark = plain(docs), docs.sparkSession
@@ -360,10 +403,10 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", he
     hs, cs = _head(counts, head)
     known = filters[WORDS - 1].level(hs).astype(np.uint8) if filters else None  # words of the head are looked up once, not in each slice
     shared = spark.sparkContext.broadcast((hs, cs, known, filters))
-    rows = _chunked(docs, keep, text) if routed else docs
     n, types, low_sum = model.n_tokens, model.n_types, model.low_sum
     below = float(n + types + 1)
     ready: dict[str, object] = {}
+    chunk = [0, 0]  # number, bytes
 
     def kernel(texts: pa.Array, _):
         if not ready:
@@ -394,17 +437,22 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", he
         else:
             out["score"] = pa.nulls(len(texts), pa.float64())
         out["tail"] = K.lists(w[tail].view(np.int64), np.searchsorted(tail, at), pa.int64())
+        if routed:
+            size = len(K.text_bytes(texts)[0])
+            if chunk[1] and chunk[1] + size > CHUNK_BYTES:
+                chunk[:] = chunk[0] + 1, 0
+            chunk[1] += size
+            out["chunk"], out["t"] = pa.array(np.full(len(texts), chunk[0])), texts
         return out
 
-    if routed:
-        scored = map_text(rows, "t", ["rid", "row"], kernel, FOUND).select("row.*", "found.*")
-    else:
-        scored = map_text(docs, text, keep, kernel, FOUND).select(F.monotonically_increasing_id().alias("rid"), "row", "found.*")
-    scored = stash(scored, "scored")
+    found = map_text(docs, text, keep, kernel, ROUTED if routed else FOUND).select(F.monotonically_increasing_id().alias("rid"), "row", "found.*")
+    if routed:  # a rid has its partition from bit 33 on
+        found = found.withColumn("chunk", F.shiftleft(F.shiftright("rid", 33), 33) + F.col("chunk"))
+    scored = stash(found, "scored")
     rare = scored.select("rid", F.explode("tail").alias("h")).groupBy("rid", "h").agg(F.count("*").alias("tf"))
     c = F.coalesce("c", F.lit(0))
     sums = rare.join(counts, "h", "left").groupBy("rid").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * F.log10((c + 1) / F.lit(below))).alias("base_more"))
-    out = scored.drop("tail").join(sums, "rid", "left")
+    out = scored.drop("tail", "chunk", "t").join(sums, "rid", "left")
     if routed:
-        out = out.drop("score").join(score_routed(rows, model, "t", mu), "rid")
+        out = out.drop("score").join(score_routed(scored, model, "t", mu), "rid")
     return out.select("row", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), "score")
