@@ -275,7 +275,7 @@ def _distinct_levels(f: LogFilter, keys: np.ndarray) -> np.ndarray:
     return f.level(some)[back]
 
 
-FOUND = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("tail", T.ArrayType(T.LongType()))])
+FOUND = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("tail", T.ArrayType(T.LongType())), T.StructField("tf", T.ArrayType(T.LongType()))])
 #: Beside them, where probes go to the segments: the text, and which chunk of its task it is in.
 ROUTED = T.StructType([*FOUND, T.StructField("chunk", T.LongType()), T.StructField("t", T.StringType())])
 
@@ -420,10 +420,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", he
         in_head = hs[place] == some if len(hs) else np.zeros(len(some), bool)
         c = np.zeros(len(some), np.int64)
         c[in_head] = cs[place[in_head]]
-        c = c[back]
-        base = np.where(c > 0, np.log10((c + 1) / below), 0.0)
-        tail = np.flatnonzero(c == 0)
-        out = {"n_tokens": pa.array(np.diff(at), pa.int64()), "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), at[:-1]), pa.int64()), "base": pa.array(np.add.reduceat(base, at[:-1]))}
+        base, here = np.where(c > 0, np.log10((c + 1) / below), 0.0)[back], (c > 0)[back]
+        out = {"n_tokens": pa.array(np.diff(at), pa.int64()), "n_known": pa.array(np.add.reduceat(here.astype(np.int64), at[:-1]), pa.int64()), "base": pa.array(np.add.reduceat(base, at[:-1]))}
         if "words" in ready:
             level = np.zeros(len(some), np.int64)
             level[in_head] = ready["known"][place[in_head]]
@@ -436,7 +434,13 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", he
             out["score"] = pa.array(np.add.reduceat(logs, at[:-1]))
         else:
             out["score"] = pa.nulls(len(texts), pa.float64())
-        out["tail"] = K.lists(w[tail].view(np.int64), np.searchsorted(tail, at), pa.int64())
+        tail = np.flatnonzero(~here)
+        of, rare = np.searchsorted(at, tail, side="right") - 1, w[tail]
+        order = np.lexsort((rare, of))
+        of, rare = of[order], rare[order]
+        first = np.flatnonzero(np.concatenate([[len(rare) > 0], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])])[: len(rare)])
+        ends = np.searchsorted(of[first], np.arange(len(at)))
+        out["tail"], out["tf"] = K.lists(rare[first].view(np.int64), ends, pa.int64()), K.lists(np.diff(first, append=len(rare)), ends, pa.int64())
         if routed:
             size = len(K.text_bytes(texts)[0])
             if chunk[1] and chunk[1] + size > CHUNK_BYTES:
@@ -449,10 +453,10 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", he
     if routed:  # a rid has its partition from bit 33 on
         found = found.withColumn("chunk", F.shiftleft(F.shiftright("rid", 33), 33) + F.col("chunk"))
     scored = stash(found, "scored")
-    rare = scored.select("rid", F.explode("tail").alias("h")).groupBy("rid", "h").agg(F.count("*").alias("tf"))
+    rare = scored.select("rid", F.inline(F.arrays_zip("tail", "tf")).alias("h", "tf"))
     c = F.coalesce("c", F.lit(0))
     sums = rare.join(counts, "h", "left").groupBy("rid").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * F.log10((c + 1) / F.lit(below))).alias("base_more"))
-    out = scored.drop("tail", "chunk", "t").join(sums, "rid", "left")
+    out = scored.drop("tail", "tf", "chunk", "t").join(sums, "rid", "left")
     if routed:
         out = out.drop("score").join(score_routed(scored, model, "t", mu), "rid")
     return out.select("row", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), "score")

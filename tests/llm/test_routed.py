@@ -69,3 +69,12 @@ def test_levels_bit_by_bit(segments):
         while all(bits[p[0]] for p in lm_score._places(np.array([k]), want + 1, int.from_bytes(blobs[s][:8], "little"))):
             want += 1
         assert f.level(np.array([k]))[0] == want
+
+
+def test_rare_words_of_a_text_move_once(spark, docs):
+    """A text's words outside the head come counted: they are dealt by word, joined with counts, and summed by text, without a grouping before."""
+    model = lm_score.train(docs.where("doc_id % 3 > 0"))
+    out = lm_score.score(docs, model, ["doc_id"], head=3)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    want = scores(docs, model)
+    assert sorted((r.row.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in out.collect()) == want
